@@ -1,0 +1,121 @@
+"""A budget ledger derived from star-schema order tables.
+
+The published ledgers are not part of this repository, so tests, checks and
+benchmarks derive one: a lineitem row becomes a budget line, its part the
+project, its supplier the executing unit, its ship year the fiscal year.
+Amounts and codes are text with unreadable values mixed in, as in the
+published files; amounts are whole numbers, so that sums are exact in any order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fiscal_ledger import schema as s
+
+
+def _text(column: Column) -> Column:
+    return column.cast("string")
+
+
+def _whole_text(column: Column) -> Column:
+    return column.cast("bigint").cast("string")
+
+
+def _units(spark: SparkSession, folder: str) -> DataFrame:
+    region = spark.read.parquet(f"{folder}/region.parquet").select("r_regionkey", "r_name")
+    nation = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    supplier = spark.read.parquet(f"{folder}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    return (
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            "s_suppkey",
+            F.col("r_name").alias(s.LEVEL),
+            F.col("n_name").alias(s.SECTOR),
+            F.concat(
+                F.lit("PLIEGO "), _text(F.col("n_nationkey")), F.lit("/"), _text(F.col("s_suppkey") % 3)
+            ).alias(s.ENTITY),
+            F.lpad(_text(F.col("s_suppkey")), 6, "0").alias(s.UNIT_CODE),
+            F.col("s_name").alias(s.UNIT),
+        )
+    )
+
+
+def _projects(spark: SparkSession, folder: str) -> DataFrame:
+    partkey, size_class = F.col("p_partkey"), F.col("p_size") % 3
+    programme = F.when(F.col("p_brand") == "Brand#1", "9001").when(F.col("p_brand") == "Brand#2", "9002")
+    programme = programme.when(F.col("p_brand") == "Brand#3", F.lit(None).cast("string"))
+    return spark.read.parquet(f"{folder}/part.parquet").select(
+        "p_partkey",
+        programme.otherwise(F.lpad(F.expr("substring(p_brand, 7)"), 4, "0")).alias(s.PROGRAMME),
+        F.when(partkey % 50 == 0, s.CATCH_ALL_CUI)
+        .when(partkey % 211 == 7, F.lit(None).cast("string"))
+        .otherwise(_text(partkey + 2000000))
+        .alias(s.CUI),
+        F.when(partkey % 37 != 3, F.col("p_name")).alias(s.PROJECT),
+        F.col("p_type").alias(s.FUNCTION),
+        F.when(size_class == 0, "6").when(size_class == 1, "5").otherwise("7").alias(s.EXPENSE_CLASS),
+        F.when(size_class == 0, "GASTO DE CAPITAL")
+        .when(size_class == 1, "GASTO CORRIENTE")
+        .otherwise("SERVICIO DE LA DEUDA")
+        .alias(s.EXPENSE_CLASS_NAME),
+    )
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    line, order, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey")
+    price, quantity = F.floor("l_extendedprice"), F.floor("l_quantity")
+    stage = F.col("l_returnflag")
+    funding = F.when(line == 1, "00").when(line == 2, "09").when(line == 3, "07")
+    funding = funding.when(line == 4, "08").when(line == 5, "13").when(line == 6, "18").otherwise("19")
+    return (
+        spark.read.parquet(f"{folder}/lineitem.parquet")
+        .withColumns(
+            {
+                "pia": F.when(part % 7 == 0, F.lit(0)).otherwise(price),
+                "pim": F.when(part % 11 == 0, F.lit(0)).otherwise(price + 500 * quantity),
+            }
+        )
+        .withColumn("cert", F.when(part % 13 == 0, F.lit(0)).otherwise(F.floor(F.col("pim") * 9 / 10)))
+        .withColumn(
+            "dev",
+            F.when(stage == "A", F.floor(F.col("cert") * 7 / 10))
+            .when(stage == "N", F.floor(F.col("cert") * 4 / 10))
+            .otherwise(F.lit(0)),
+        )
+        .select(
+            "l_partkey",
+            "l_suppkey",
+            F.year("l_shipdate").alias(s.YEAR),
+            F.when(order % 97 == 0, "S/M").otherwise(_text(F.month("l_shipdate"))).alias(s.MONTH),
+            funding.alias(s.FUNDING_CODE),
+            F.when(line != 5, F.concat(F.lit("RUBRO "), _text(line))).alias(s.FUNDING),
+            F.lpad(_text(order % 40), 4, "0").alias(s.GOAL_CODE),
+            F.concat(F.lit("META "), _text(order % 40)).alias(s.GOAL),
+            _whole_text(F.col("pia")).alias(s.PIA),
+            F.when(order % 101 == 0, "N/D").otherwise(_whole_text(F.col("pim"))).alias(s.PIM),
+            _whole_text(F.col("cert")).alias(s.CERTIFIED),
+            _whole_text(F.floor(F.col("cert") * 8 / 10)).alias(s.COMMITTED_ANNUAL),
+            _whole_text(F.floor(F.col("cert") * 6 / 10)).alias(s.COMMITTED_MONTHLY),
+            _whole_text(F.col("dev")).alias(s.ACCRUED),
+            F.when(order % 103 == 0, "").otherwise(_whole_text(F.floor(F.col("dev") * 95 / 100))).alias(s.PAID),
+        )
+    )
+
+
+def star_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw ledger of the star-schema tables in a folder.
+
+    The text of units and projects is made once per supplier and part, before
+    the joins. No side is broadcast by hint: suppliers and parts grow with
+    the data, so Spark decides from their sizes, and where it sorts and merges,
+    AQE splits a part or supplier that holds a large share of the lines.
+    """
+    return (
+        _lines(spark, folder)
+        .join(_projects(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
+        .join(_units(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(*s.COLUMNS)
+    )
