@@ -16,49 +16,53 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.plans import monthly_cube, write_cube, years_available
 from fiscal_ledger.settings import new_table_path
-from fiscal_ledger.sources import ledger_ingest, normalise, open_ledger, scan_files, star_ledger
+from fiscal_ledger.sources import ledger_ingest, normalise, scan_files, star_ledger
 
-_written: dict[tuple[str, str, str], str] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, folder: str, name: str, write: Callable[[str], object]) -> str | None:
-    """The path of a table of this application, written on first use; None without a shared folder."""
+def _once(
+    spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame], derive: Callable[[], DataFrame]
+) -> DataFrame:
+    """A table of this application, written on first use, or derived anew without a shared folder."""
     known = (spark.sparkContext.applicationId, folder, name)
-    if known not in _written:
+    if known not in _tables:
         path = new_table_path(spark, name)
         if path is None:
-            return None
-        write(path)
-        _written[known] = path
-    return _written[known]
+            return derive()
+        _tables[known] = write(path)
+    return _tables[known]
 
 
 def typed_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger as a typed table partitioned by year."""
-    path = _once(
-        spark, folder, "typed", lambda p: ledger_ingest(star_ledger(spark, folder), p, rebalance=True)
+    return _once(
+        spark,
+        folder,
+        "typed",
+        write=lambda path: ledger_ingest(star_ledger(spark, folder), path, rebalance=True),
+        derive=lambda: normalise(star_ledger(spark, folder)),
     )
-    return normalise(star_ledger(spark, folder)) if path is None else open_ledger(spark, path)
 
 
 def cube_table(spark: SparkSession, folder: str) -> DataFrame:
     """The monthly cube of the ledger as a table."""
     ledger = typed_ledger(spark, folder)
-    path = _once(spark, folder, "cube", lambda p: write_cube(ledger, p))
-    return monthly_cube(ledger) if path is None else open_ledger(spark, path)
+    return _once(
+        spark, folder, "cube", write=lambda path: write_cube(ledger, path), derive=lambda: monthly_cube(ledger)
+    )
 
 
-def _write_yearly_files(raw: DataFrame, path: str) -> None:
+def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
     # The copy of the year names the folders and leaves the column in the files.
     dated = raw.withColumn("file_year", F.col(s.YEAR))
     dated.hint("rebalance", F.col("file_year")).write.partitionBy("file_year").parquet(path)
+    spark = raw.sparkSession
+    years = [row.fiscal_year for row in years_available(spark.read.parquet(path)).collect()]
+    return scan_files(spark, [f"{path}/file_year={year}" for year in years])
 
 
 def yearly_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The raw ledger read back from one Parquet folder per fiscal year, latest year first."""
     raw = star_ledger(spark, folder)
-    path = _once(spark, folder, "yearly", lambda p: _write_yearly_files(raw, p))
-    if path is None:
-        return raw
-    years = [row.fiscal_year for row in years_available(spark.read.parquet(path)).collect()]
-    return scan_files(spark, [f"{path}/file_year={year}" for year in years])
+    return _once(spark, folder, "yearly", write=lambda path: _write_yearly_files(raw, path), derive=lambda: raw)

@@ -1,7 +1,7 @@
 """Building blocks of the queries: filters and totals."""
 
 from fiscal_ledger.operators.filters import LedgerFilter, Where, condition, is_capital, matches_search, outside_overhead
-from fiscal_ledger.operators.totals import key, sum_where, total, totals, totals_with_names
+from fiscal_ledger.operators.totals import key, sum_where, total, totals
 
 __all__ = [
     "LedgerFilter",
@@ -14,5 +14,4 @@ __all__ = [
     "sum_where",
     "total",
     "totals",
-    "totals_with_names",
 ]

@@ -7,6 +7,7 @@ of them) and the breakdowns share them.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,23 +18,27 @@ from fiscal_ledger.functions.ratios import guarded_pct, nullif_pct
 from fiscal_ledger.operators.filters import Where, condition, is_capital, outside_overhead
 from fiscal_ledger.operators.totals import key, sum_where, totals
 
+_MEASURE = {s.ALIASES[m]: m for m in s.MEASURES}
+_CAPITAL = "capital_"
 
-def _sums() -> dict[str, Column]:
-    """Every sum an indicator needs, by name.
+
+def _sum(name: str) -> Column:
+    """A sum an indicator needs, under its name.
 
     The capital sums are NULL without capital rows, as if the other rows had
     been filtered out; the December, result and own-revenue sums are then 0.
     """
-    capital = {
-        f"capital_{s.ALIASES[m]}": F.sum(F.when(is_capital(), F.col(m))) for m in (s.PIA, s.PIM, s.ACCRUED)
-    }
-    return {
-        **{s.ALIASES[m]: F.sum(m) for m in s.MEASURES},
-        **capital,
-        "december_accrued": sum_where(F.col(s.MONTH) == s.DECEMBER, s.ACCRUED),
-        "results_accrued": sum_where(outside_overhead(), s.ACCRUED),
-        "own_revenue_accrued": sum_where(F.col(s.FUNDING_CODE) == s.OWN_REVENUE_FUNDING, s.ACCRUED),
-    }
+    if name.startswith(_CAPITAL):
+        value = F.sum(F.when(is_capital(), F.col(_MEASURE[name.removeprefix(_CAPITAL)])))
+    elif name == "december_accrued":
+        value = sum_where(F.col(s.MONTH) == s.DECEMBER, s.ACCRUED)
+    elif name == "results_accrued":
+        value = sum_where(outside_overhead(), s.ACCRUED)
+    elif name == "own_revenue_accrued":
+        value = sum_where(F.col(s.FUNDING_CODE) == s.OWN_REVENUE_FUNDING, s.ACCRUED)
+    else:
+        value = F.sum(_MEASURE[name])
+    return value.alias(name)
 
 
 @dataclass(frozen=True)
@@ -65,14 +70,16 @@ INDICATORS = {
 }
 
 
+def _needed(indicators: Iterable[Indicator]) -> list[str]:
+    return list(dict.fromkeys(name for indicator in indicators for name in indicator.sums()))
+
+
 def _indicators(ledger: DataFrame, where: Where, *names: str) -> DataFrame:
     chosen = [INDICATORS[name] for name in names]
     rows = ledger.where(condition(where))
     if all(indicator.capital for indicator in chosen):
         rows = rows.where(is_capital())
-    sums = _sums()
-    needed = dict.fromkeys(name for indicator in chosen for name in indicator.sums())
-    return rows.agg(*[sums[name].alias(name) for name in needed]).select(
+    return rows.agg(*[_sum(name) for name in _needed(chosen)]).select(
         *[indicator.percentage().alias(name) for name, indicator in zip(names, chosen, strict=True)]
     )
 
@@ -119,7 +126,8 @@ def kpi_autonomy(ledger: DataFrame, where: Where = None) -> DataFrame:
 
 def kpi_board(ledger: DataFrame, where: Where = None) -> DataFrame:
     """The seven sums and all indicators from one scan and one aggregation."""
-    summed = ledger.where(condition(where)).agg(*[column.alias(name) for name, column in _sums().items()])
+    sums = dict.fromkeys([*_MEASURE, *_needed(INDICATORS.values())])
+    summed = ledger.where(condition(where)).agg(*[_sum(name) for name in sums])
     return summed.select(
         *[s.ALIASES[m] for m in s.MEASURES],
         *[indicator.percentage().alias(name) for name, indicator in INDICATORS.items()],
@@ -127,13 +135,13 @@ def kpi_board(ledger: DataFrame, where: Where = None) -> DataFrame:
 
 
 def verdict_components(ledger: DataFrame, where: Where = None) -> DataFrame:
-    """The five sums that explain the management verdict."""
+    """The five sums that explain the management verdict; capital sums are 0 without capital rows."""
     return ledger.where(condition(where)).agg(
         sum_where(is_capital(), s.PIM).alias("capital_pim"),
         sum_where(is_capital(), s.ACCRUED).alias("capital_accrued"),
-        F.sum(s.ACCRUED).alias("accrued"),
-        sum_where(F.col(s.MONTH) == s.DECEMBER, s.ACCRUED).alias("december_accrued"),
-        sum_where(outside_overhead(), s.ACCRUED).alias("results_accrued"),
+        _sum("accrued"),
+        _sum("december_accrued"),
+        _sum("results_accrued"),
     )
 
 
@@ -164,10 +172,9 @@ def breakdown(ledger: DataFrame, kind: str, where: Where = None) -> DataFrame:
     rows = ledger.where(condition(where))
     if indicator.capital:
         rows = rows.where(is_capital())
-    sums = _sums()
     return (
         rows.groupBy(key(s.UNIT))
-        .agg(*[sums[name].alias(name) for name in (indicator.whole, indicator.part)])
+        .agg(_sum(indicator.whole), _sum(indicator.part))
         .where(F.col(indicator.whole) > 0)
         .withColumn("pct", nullif_pct(F.col(indicator.part), F.col(indicator.whole)))
         .orderBy(F.desc_nulls_last("pct"), F.asc_nulls_last("unit"))

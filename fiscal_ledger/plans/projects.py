@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import guarded_pct, nullif_pct, raw_pct_or_0
 from fiscal_ledger.operators.filters import Where, condition, is_capital, matches_search
-from fiscal_ledger.operators.totals import key, totals, totals_with_names
+from fiscal_ledger.operators.totals import key, totals
 
 _STAGES = (s.PIA, s.PIM, s.CERTIFIED, s.COMMITTED_ANNUAL, s.ACCRUED)
 
@@ -61,11 +61,11 @@ def project_search(ledger: DataFrame, text: str | None, where: Where = None) ->
 
 def risk_ranking(ledger: DataFrame, where: Where = None, limit: int = 50) -> DataFrame:
     """The capital projects with the lowest progress."""
-    projects = totals_with_names(
-        _capital_rows(ledger, where), (s.CUI, s.PROJECT), (s.UNIT,), (s.PIM, s.ACCRUED)
-    )
     return (
-        projects.where(F.col("pim") > 0)
+        _capital_rows(ledger, where)
+        .groupBy(key(s.CUI), key(s.PROJECT))
+        .agg(F.max(s.UNIT).alias("unit"), *totals(s.PIM, s.ACCRUED))
+        .where(F.col("pim") > 0)
         .withColumn("pct", nullif_pct(F.col("accrued"), F.col("pim")))
         .orderBy(F.asc_nulls_last("pct"), F.asc_nulls_last("cui"), F.asc_nulls_last("project"))
         .limit(limit)
@@ -79,15 +79,29 @@ def project_sheet(
     low_below: float = 30.0,
     critical_below: float = 15.0,
 ) -> DataFrame:
-    """One capital project in a row, or no row if there is none."""
-    rows = _capital_rows(ledger, where).where(F.col(s.CUI) == F.lit(cui))
-    sheet = totals_with_names(rows, (s.CUI,), (s.PROJECT, s.UNIT, s.FUNCTION), _STAGES)
+    """One capital project in a row, or no row if there is none.
+
+    All rows have the same CUI, so they are summed without a key: a MAX of
+    text per key would sort them first, and one project may hold many rows.
+    """
     pct = F.col("pct")
-    return sheet.withColumn("pct", guarded_pct(F.col("accrued"), F.col("pim"))).withColumns(
-        {
-            "low": F.coalesce(pct < low_below, F.lit(False)),
-            "critical": F.coalesce((F.col("pim") > 0) & (pct < critical_below), F.lit(False)),
-        }
+    return (
+        _capital_rows(ledger, where)
+        .where(F.col(s.CUI) == F.lit(cui))
+        .agg(
+            F.count("*").alias("lines"),
+            *[F.max(c).alias(s.ALIASES[c]) for c in (s.PROJECT, s.UNIT, s.FUNCTION)],
+            *totals(*_STAGES),
+        )
+        .where(F.col("lines") > 0)
+        .withColumn("pct", guarded_pct(F.col("accrued"), F.col("pim")))
+        .select(
+            F.lit(cui).alias("cui"),
+            *[s.ALIASES[c] for c in (s.PROJECT, s.UNIT, s.FUNCTION, *_STAGES)],
+            "pct",
+            F.coalesce(pct < low_below, F.lit(False)).alias("low"),
+            F.coalesce((F.col("pim") > 0) & (pct < critical_below), F.lit(False)).alias("critical"),
+        )
     )
 
 
