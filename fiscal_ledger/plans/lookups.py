@@ -56,17 +56,14 @@ def project_list(ledger: DataFrame, where: Where = None) -> DataFrame:
 def project_lookup(ledger: DataFrame, where: Where = None) -> DataFrame:
     """One label per CUI of the capital projects; a renamed project shows its last label in text order.
 
-    The distinct (CUI, label) pairs are hash-aggregated before the MAX of text,
-    which sorts its input.
+    Spark sorts the input of a MAX of text by key. The typed table keeps the
+    rows of each file in class and CUI order, so that sort finds them in place.
     """
-    labels = (
+    label = code_name_label(F.col(s.CUI), F.col(s.PROJECT))
+    return (
         ledger.where(condition(where))
         .where(is_capital())
-        .select(F.col(s.CUI).alias("cui"), F.col(s.PROJECT).alias("project"))
-        .distinct()
-    )
-    return (
-        labels.groupBy("cui")
-        .agg(F.max(code_name_label(F.col("cui"), F.col("project"))).alias("project_label"))
+        .groupBy(F.col(s.CUI).alias("cui"))
+        .agg(F.max(label).alias("project_label"))
         .orderBy("project_label")
     )

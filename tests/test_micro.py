@@ -1,0 +1,293 @@
+"""One rule per test, on hand-written rows."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from fiscal_ledger import LedgerFilter, plans
+from fiscal_ledger import schema as s
+from fiscal_ledger.functions import code_name_label, label_code, month_name
+from tests.micro import ledger, raw_ledger, rows
+
+INF = math.inf
+
+
+def test_renamed_project(spark):
+    frame = ledger(
+        spark,
+        {s.CUI: "1", s.PROJECT: "A", s.PIM: 1},
+        {s.CUI: "1", s.PROJECT: "B", s.PIM: 2},
+    )
+    assert rows(plans.project_lookup(frame)) == [("1", "1 - B")]
+    assert rows(plans.project_progress(frame), "cui", "project", "pim") == [("1", "A", 1.0), ("1", "B", 2.0)]
+    assert rows(plans.project_sheet(frame, "1"), "project", "pim") == [("B", 3.0)]
+    assert rows(plans.project_list(frame)) == [("1 - A",), ("1 - B",)]
+
+
+def test_same_name_for_two_projects(spark):
+    frame = ledger(spark, {s.CUI: "2", s.PROJECT: "C", s.PIM: 1}, {s.CUI: "3", s.PROJECT: "C", s.PIM: 2})
+    assert rows(plans.spillover_alerts(frame), "project", "pim") == [("C", 3.0)]
+    assert rows(plans.project_totals(frame)) == [(2, 3.0, 3.0)]
+
+
+def test_project_without_name_or_code(spark):
+    frame = ledger(
+        spark,
+        {s.CUI: "4", s.PROJECT: None, s.PIM: 1},
+        {s.CUI: None, s.PROJECT: "D", s.PIM: 1},
+    )
+    assert rows(plans.project_list(frame)) == [(" - D",), ("4 - ",)]
+    assert rows(plans.project_lookup(frame)) == [(None, " - D"), ("4", "4 - ")]
+    assert rows(plans.project_search(frame, "4"), "cui") == []
+    assert rows(plans.project_search(frame, "d"), "project") == ["D"]
+
+
+def test_search(spark):
+    frame = ledger(
+        spark,
+        {s.CUI: "21", s.PROJECT: "Ampliación VÍA", s.PIM: 1, s.ACCRUED: 1},
+        {s.CUI: "3x", s.PROJECT: "Puente (tramo 2)", s.PIM: 1},
+    )
+    assert rows(plans.project_search(frame, "vía"), "cui") == ["21"]
+    assert rows(plans.project_search(frame, "^puente|^21"), "cui") == ["21", "3x"]
+    assert rows(plans.project_search(frame, "X$"), "cui") == []
+    assert rows(plans.project_search(frame, "x$"), "cui") == ["3x"]
+    assert rows(plans.project_search(frame, ""), "cui") == rows(plans.project_search(frame, None), "cui") == ["21", "3x"]
+    with pytest.raises(Exception, match="(?i)regex|pattern"):
+        plans.project_search(frame, "(").collect()
+
+
+def test_lifecycle_skips_years_without_amount(spark):
+    frame = ledger(
+        spark,
+        {s.CUI: "5", s.YEAR: 2023, s.PIA: "N/D", s.PIM: 1, s.PROJECT: "X"},
+        {s.CUI: "5", s.YEAR: 2024, s.PIA: 3, s.PIM: 2, s.ACCRUED: 4, s.PROJECT: "Y"},
+        {s.CUI: "5", s.YEAR: 2024, s.PIA: 4, s.PIM: 2, s.ACCRUED: 4, s.PROJECT: "Z"},
+        {s.CUI: "5", s.YEAR: 2025, s.PIA: 8, s.PIM: 9, s.EXPENSE_CLASS: "5"},
+        {s.CUI: "5", s.YEAR: 2026, s.PIA: 8, s.PIM: None, s.PROJECT: None},
+        {s.CUI: s.CATCH_ALL_CUI, s.PIM: 1000},
+        {s.CUI: None, s.PIM: 1000},
+        {s.CUI: "6", s.PIM: None, s.PIA: None, s.ACCRUED: None},
+    )
+    assert rows(plans.lifecycle_audit(frame)) == [
+        ("5", "Z", 2023, 2026, 8.0, 7.0, 9.0),
+        ("6", "PROYECTO", 2025, 2025, None, None, None),
+    ]
+
+
+def test_units_without_positive_budget(spark):
+    frame = ledger(
+        spark,
+        {s.UNIT: "zero", s.ACCRUED: 1},
+        {s.UNIT: "missing", s.PIM: None, s.ACCRUED: 1},
+        {s.UNIT: "negative", s.PIM: -5, s.ACCRUED: 1},
+        {s.UNIT: "some", s.PIM: 4, s.ACCRUED: 1},
+        {s.UNIT: None, s.PIM: 4, s.ACCRUED: 3},
+        {s.UNIT: "odd", s.PIM: "NaN", s.ACCRUED: 1},
+    )
+    assert rows(plans.unit_ranking(frame), "unit", "accrued") == [(None, 3.0), ("odd", 1.0), ("some", 1.0)]
+    assert rows(plans.breakdown(frame, "ieg").where("unit <> 'odd' OR unit IS NULL"), "unit", "pct") == [
+        (None, 75.0),
+        ("some", 25.0),
+    ]
+    for unit in ("zero", "missing", "negative"):
+        assert rows(plans.kpi_ieg(frame, F.col(s.UNIT) == unit)) == [(0.0,)]
+
+
+def test_unknown_breakdown(spark):
+    with pytest.raises(ValueError, match="unknown breakdown 'margin'"):
+        plans.breakdown(ledger(spark, {}), "margin")
+
+
+def test_history_ratio(spark):
+    frame = ledger(
+        spark,
+        {s.YEAR: 2023, s.ACCRUED: 3},
+        {s.YEAR: 2024},
+        {s.YEAR: 2025, s.PIM: 4, s.ACCRUED: 1},
+        {s.YEAR: 2025, s.PIM: 4, s.ACCRUED: 1, s.EXPENSE_CLASS: "5"},
+    )
+    assert rows(plans.project_history(frame, "2000001"), "fiscal_year", "pct") == [(2023, INF), (2024, 0.0), (2025, 25.0)]
+
+
+def test_sheet_flags(spark):
+    frame = ledger(
+        spark,
+        {s.CUI: "1", s.PIM: 8, s.ACCRUED: 1, s.UNIT: "U1"},
+        {s.CUI: "1", s.UNIT: "U2", s.PIM: "N/D"},
+        {s.CUI: "2", s.PIM: 8, s.ACCRUED: 2},
+        {s.CUI: "3", s.PIM: 100, s.ACCRUED: 30},
+        {s.CUI: "4", s.ACCRUED: 30},
+        {s.CUI: "5", s.PIM: 100, s.ACCRUED: None},
+    )
+    flags = {c: rows(plans.project_sheet(frame, c), "unit", "pct", "low", "critical") for c in "12345"}
+    assert flags == {
+        "1": [("U2", 12.5, True, True)],
+        "2": [("UNIDAD 1", 25.0, True, False)],
+        "3": [("UNIDAD 1", 30.0, False, False)],
+        "4": [("UNIDAD 1", 0.0, True, False)],
+        "5": [("UNIDAD 1", None, False, False)],
+    }
+    assert rows(plans.project_sheet(frame, "9")) == []
+
+
+def test_running_sums_skip_missing_amounts(spark):
+    frame = ledger(
+        spark,
+        {s.MONTH: "1", s.ACCRUED: 10, s.PIM: 100},
+        {s.MONTH: "2", s.ACCRUED: None},
+        {s.MONTH: "S/M", s.ACCRUED: 5, s.PIM: 100},
+    )
+    columns = ("month", "cumulative_accrued", "pct_accrued", "month_name")
+    assert rows(plans.cumulative_evolution(frame), *columns) == [
+        (1, 10.0, 5.0, "Enero"),
+        (2, None, None, "Febrero"),
+        (None, 15.0, 7.5, None),
+    ]
+    assert rows(plans.cumulative_evolution(frame, total_pim=50), "pct_accrued") == [20.0, None, 30.0]
+    assert rows(plans.cumulative_evolution(frame, total_pim=0), "pct_accrued") == [0.0, 0.0, 0.0]
+    assert rows(plans.monthly_curve(frame), "month", "accrued") == [(1, 10.0), (2, None), (None, 5.0)]
+
+
+def test_closing_projection(spark):
+    frame = ledger(
+        spark,
+        {s.EXPENSE_CLASS_NAME: "only month 0", s.MONTH: "0", s.ACCRUED: 4, s.PIM: 1},
+        {s.EXPENSE_CLASS_NAME: "no month", s.MONTH: "S/M", s.ACCRUED: 4, s.PIM: 1},
+        {s.EXPENSE_CLASS_NAME: "no budget", s.MONTH: "4"},
+        {s.EXPENSE_CLASS_NAME: "half year", s.MONTH: "2", s.ACCRUED: 1, s.PIM: 24},
+        {s.EXPENSE_CLASS_NAME: "half year", s.MONTH: "6", s.ACCRUED: 5, s.PIM: 0},
+    )
+    result = {row.expense_class: (row.run_rate, row.projected, row.pct_projected) for row in plans.closing_projection(frame).collect()}
+    assert result["only month 0"] == (INF, INF, INF)
+    assert result["no month"] == (None, None, None)
+    assert result["no budget"][:2] == (0.0, 0.0) and math.isnan(result["no budget"][2])
+    assert result["half year"] == (1.0, 12.0, 50.0)
+
+
+def test_risk_order(spark):
+    cases = {
+        "extreme": {s.CERTIFIED: 0, s.COMMITTED_ANNUAL: 0},
+        "extreme too": {s.CERTIFIED: 0, s.COMMITTED_ANNUAL: 100},
+        "medium": {s.CERTIFIED: 1, s.COMMITTED_ANNUAL: 39},
+        "medium, certified missing": {s.CERTIFIED: None, s.COMMITTED_ANNUAL: 39},
+        "safe": {s.CERTIFIED: 1, s.COMMITTED_ANNUAL: 40},
+        "safe, committed missing": {s.CERTIFIED: 1, s.COMMITTED_ANNUAL: None},
+    }
+    frame = ledger(spark, *[{s.PROJECT: name, s.PIM: 100, **case} for name, case in cases.items()])
+    result = dict(rows(plans.spillover_alerts(frame), "project", "risk"))
+    assert result == {name: name.split(",")[0].split()[0] for name in cases}
+
+
+def test_risk_ranking_breaks_ties(spark):
+    frame = ledger(spark, *[{s.CUI: str(100 + i), s.PIM: 10, s.ACCRUED: 1} for i in range(60)], {s.CUI: "999", s.PIM: 9})
+    assert rows(plans.risk_ranking(frame), "cui") == ["999", *[str(100 + i) for i in range(49)]]
+    assert len(rows(plans.risk_ranking(frame, limit=61))) == 61
+
+
+def test_filters(spark):
+    frame = ledger(
+        spark,
+        {s.UNIT_CODE: "1", s.UNIT: "O'Higgins", s.SECTOR: "D'Art", s.PIM: 1},
+        {s.UNIT_CODE: "2", s.SECTOR: "D'Art", s.PIM: 2, s.YEAR: 2024},
+        {s.UNIT_CODE: "3", s.SECTOR: None, s.PIM: 4, s.YEAR: None},
+    )
+
+    def pim(where):
+        return rows(plans.kpi_summary(frame, where), "pim")[0]
+
+    assert rows(plans.executing_units(frame)) == [("1 - O'Higgins",), ("2 - UNIDAD 1",), ("3 - UNIDAD 1",)]
+    assert pim(LedgerFilter(sector="D'Art")) == 3.0
+    assert pim(LedgerFilter(sector="D'Art", year=2024)) == 2.0
+    assert pim(LedgerFilter(sector="D'Art", year=2024).without_year()) == 3.0
+    assert pim(LedgerFilter(year=0, sector="Todos", unit="Todos")) == pim(None) == pim(LedgerFilter()) == 7.0
+    assert pim(LedgerFilter().with_unit_label("1 - O'Higgins")) == 1.0
+    assert pim(LedgerFilter(unit="1").with_unit_label("Todos")) == 7.0
+    assert pim(LedgerFilter(year=2024).to_column() | F.col(s.YEAR).isNull()) == 6.0
+    assert rows(plans.filter_options(frame, s.SECTOR)) == [("D'Art",)]
+    assert rows(plans.years_available(frame)) == [(2025,), (2024,)]
+
+
+def test_december_results_and_own_revenue(spark):
+    frame = ledger(
+        spark,
+        {s.ACCRUED: 1, s.MONTH: "12", s.PROGRAMME: "9001"},
+        {s.ACCRUED: 2, s.MONTH: "12.0", s.PROGRAMME: "9002", s.FUNDING_CODE: "09"},
+        {s.ACCRUED: 3, s.MONTH: "S/M", s.PROGRAMME: None, s.FUNDING_CODE: "9"},
+        {s.ACCRUED: 4, s.MONTH: "1", s.FUNDING_CODE: None},
+    )
+    assert rows(plans.kpi_iced(frame)) == [(30.0,)]
+    assert rows(plans.kpi_iopr(frame)) == [(40.0,)]
+    assert rows(plans.kpi_autonomy(frame)) == [(20.0,)]
+    assert rows(plans.verdict_components(frame.where("MES_EJE = 1")), "december_accrued", "results_accrued") == [(0.0, 4.0)]
+
+
+def test_largest_drop_missing_keys(spark):
+    frame = ledger(
+        spark,
+        {s.FUNDING: None, s.PIM: 100},
+        *[{s.FUNDING: f"R{i}", s.PIM: i, s.ACCRUED: 1} for i in range(7)],
+        {s.FUNDING: "R6", s.FUNCTION: "odd", s.PIM: "NaN", s.ACCRUED: None},
+    )
+    assert rows(plans.top_funding_sources(frame), "funding_source", "pim") == [(f"R{i}", float(i)) for i in range(2, 7)]
+    assert rows(plans.top_funding_sources(frame, limit=7), "funding_source", "pct")[0] == ("R0", INF)
+
+
+def test_nothing_selected(spark):
+    frame = ledger(spark, {s.PIM: 1, s.ACCRUED: 1})
+    none = LedgerFilter(year=1900)
+    assert rows(plans.kpi_summary(frame, none)) == [(None,) * 7]
+    for kpi in ("ieg", "ieg_cap", "iopr", "iced", "iv_pim", "autonomy"):
+        assert rows(getattr(plans, f"kpi_{kpi}")(frame, none)) == [(0.0,)]
+    assert rows(plans.kpi_idg(frame, none)) == [(0.0, 0.0)]
+    assert rows(plans.kpi_board(frame, none)) == [(None,) * 7 + (0.0,) * 8]
+    assert rows(plans.verdict_components(frame, none)) == [(None,) * 5]
+    assert rows(plans.execution_overview(frame, none)) == [(None, None, 0.0, True)]
+    assert rows(plans.project_totals(frame, none)) == [(0, 0.0, 0.0)]
+    empty = (
+        *[getattr(plans, f"breakdown_{k}") for k in plans.kpis.BREAKDOWNS],
+        plans.executing_units, plans.budget_goals, plans.project_list, plans.project_lookup,
+        plans.risk_ranking, plans.project_progress, plans.spillover_alerts,
+        plans.monthly_curve, plans.cumulative_evolution, plans.closing_projection,
+        plans.unit_ranking, plans.funding_function_distribution, plans.top_funding_sources,
+        plans.top_functions, plans.lifecycle_audit,
+    )
+    for query in empty:
+        assert rows(query(frame, none)) == [], query.__name__
+    assert rows(plans.filter_options(frame, s.SECTOR, none)) == []
+    assert rows(plans.project_sheet(frame, "2000001", none)) == []
+    assert rows(plans.project_history(frame, "2000001", none)) == []
+    assert rows(plans.project_search(frame, "PRO", none)) == []
+
+
+def test_coercion_report(spark):
+    raw = raw_ledger(
+        spark,
+        {s.MONTH: "S/M", s.PIM: "N/D"},
+        {s.MONTH: None, s.PIM: ""},
+        {s.PIM: "1e3", s.YEAR: 2024, s.EXPENSE_CLASS: "x"},
+    )
+    report = {(row.fiscal_year, row.column_name): (row.present, row.rejected) for row in plans.coercion_report(raw).collect()}
+    assert len(report) == 18
+    assert report[2025, s.MONTH] == (1, 1)
+    assert report[2025, s.PIM] == (2, 2)
+    assert report[2024, s.PIM] == (1, 0)
+    assert report[2024, s.EXPENSE_CLASS] == (1, 1)
+    assert sum(rejected for _, rejected in report.values()) == 4
+
+
+def test_labels_and_months(spark):
+    frame = spark.createDataFrame([(9, "7 - A - B"), (13, " - x"), (None, None)], "m int, l string")
+    result = frame.select(
+        month_name(F.col("m")).alias("name"),
+        label_code(F.col("l")).alias("code"),
+        code_name_label(F.col("m"), F.col("l")).alias("label"),
+    )
+    assert rows(result) == [
+        ("Setiembre", "7", "9 - 7 - A - B"),
+        (None, "", "13 -  - x"),
+        (None, None, " - "),
+    ]
