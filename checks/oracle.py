@@ -288,7 +288,7 @@ TOTALS = (
 
 CASCADE = (
     "ANO_EJE = 2000 AND NIVEL_GOBIERNO_NOMBRE = 'ASIA' AND SECTOR_NOMBRE = 'NATION_7' "
-    "AND PLIEGO_NOMBRE = 'PLIEGO 7/0' AND SEC_EJEC = '000006'"
+    "AND PLIEGO_NOMBRE = 'PLIEGO 7/0'"
 )
 
 _QUERIES = {
@@ -298,6 +298,7 @@ _QUERIES = {
     "coercion_report": COERCION_REPORT,
     "monthly_cube": CUBE,
     "filter_cascade": f"SELECT * FROM ledger WHERE {CASCADE}",
+    "filter_cascade_unit": "SELECT * FROM ledger WHERE ANO_EJE = 2000 AND SEC_EJEC = '000006'",
     "filter_options": distinct_list("PLIEGO_NOMBRE", "option", "PLIEGO_NOMBRE IS NOT NULL"),
     "filter_options_cascade": distinct_list(
         "SECTOR_NOMBRE",

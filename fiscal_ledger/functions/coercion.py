@@ -12,23 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters that occur in no plain number. Only values with one of them are looked at closely.
-_UNUSUAL = r"[dDfFpP_]"
-
-# What Spark's cast accepts, following Java, and an amount must not have: a type
-# suffix (1.5f, 2d) or a hex float (0x1p3).
-_JAVA_ONLY = r"[0-9.][fFdD]\s*$|[pP]"
-
-# What an amount may have and Spark's cast refuses: underscores between digits (1_000).
-_DIGIT_SEPARATOR = r"(?<=[0-9])_(?=[0-9])"
+# What makes a text no number although Spark's cast, without the underscores, would take it:
+# a Java type suffix (1.5f, 2d), a hex float (0x1p3), or an underscore that is not between digits.
+# The lookahead lets the search pass over ordinary characters with a single test.
+_NOT_A_NUMBER = r"(?=[dDfFpP_])([pP]|(?<=[0-9.])[dDfF]\s*$|(?<![0-9])_|_(?![0-9]))"
 
 
 def text_to_double(text: Column) -> Column:
-    """Read a text as a double."""
-    readable = F.when(~text.rlike(_UNUSUAL), text).when(
-        ~text.rlike(_JAVA_ONLY), F.regexp_replace(text, _DIGIT_SEPARATOR, "")
-    )
-    return readable.try_cast("double")
+    """Read a text as a double. Digits may be separated by underscores (1_000)."""
+    digits = F.replace(text, F.lit("_"), F.lit(""))
+    return F.when(~text.rlike(_NOT_A_NUMBER), digits).try_cast("double")
 
 
 def text_to_int(text: Column) -> Column:

@@ -19,9 +19,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
-    # The JVM does not compile methods beyond 8000 bytes; a wide projection is then
-    # better generated column by column than fused into one interpreted loop.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

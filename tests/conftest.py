@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
 from fiscal_ledger.settings import configure
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
