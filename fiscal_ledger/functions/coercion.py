@@ -19,9 +19,16 @@ _NOT_A_NUMBER = r"(?=[dDfFpP_])([pP]|(?<=[0-9.])[dDfF]\s*$|(?<![0-9])_|_(?![0-9]
 
 
 def text_to_double(text: Column) -> Column:
-    """Read a text as a double. Digits may be separated by underscores (1_000)."""
+    """Read a text as a double. Digits may be separated by underscores (1_000).
+
+    Whole numbers, the bulk of a ledger, are read as bigint first: that parses
+    the bytes in place, where the cast to double makes a string of each value.
+    """
     digits = F.replace(text, F.lit("_"), F.lit(""))
-    return F.when(~text.rlike(_NOT_A_NUMBER), digits).try_cast("double")
+    return F.coalesce(
+        text.try_cast("bigint").cast("double"),
+        F.when(~text.rlike(_NOT_A_NUMBER), digits).try_cast("double"),
+    )
 
 
 def text_to_int(text: Column) -> Column:
