@@ -70,11 +70,12 @@ DIMENSIONS = (
 )
 COERCIONS = {**{c: "DOUBLE" for c in MEASURES.values()}, "CATEGORIA_GASTO": "INTEGER", "MES_EJE": "INTEGER"}
 
-PREFIX = (
-    f"WITH raw AS ({RAW}),\nledger AS (SELECT * REPLACE ("
-    + ", ".join(f"TRY_CAST({c} AS {t}) AS {c}" for c, t in COERCIONS.items())
-    + ") FROM raw)\n"
-)
+
+def ledger_prefix(raw: str) -> str:
+    """Common table expressions for the raw and the coerced ledger."""
+    coerced = ", ".join(f"TRY_CAST({c} AS {t}) AS {c}" for c, t in COERCIONS.items())
+    return f"WITH raw AS ({raw}),\nledger AS (SELECT * REPLACE ({coerced}) FROM raw)\n"
+
 
 CAPITAL = "CATEGORIA_GASTO = 6"
 RESULTS_ACCRUED = "SUM(CASE WHEN PROGRAMA_PPTO NOT IN ('9001', '9002') THEN MONTO_DEVENGADO ELSE 0 END)"
@@ -350,4 +351,5 @@ _QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: PREFIX + query for name, query in _QUERIES.items()}
+    prefix = ledger_prefix(RAW)
+    return {name: prefix + query for name, query in _QUERIES.items()}

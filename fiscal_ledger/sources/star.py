@@ -23,23 +23,23 @@ def _whole_text(column: Column) -> Column:
     return column.cast("bigint").cast("string")
 
 
-def _units(spark: SparkSession, folder: str) -> DataFrame:
+def _sectors(spark: SparkSession, folder: str) -> DataFrame:
     region = spark.read.parquet(f"{folder}/region.parquet").select("r_regionkey", "r_name")
     nation = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
-    supplier = spark.read.parquet(f"{folder}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
-    return (
-        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            "s_suppkey",
-            F.col("r_name").alias(s.LEVEL),
-            F.col("n_name").alias(s.SECTOR),
-            F.concat(
-                F.lit("PLIEGO "), _text(F.col("n_nationkey")), F.lit("/"), _text(F.col("s_suppkey") % 3)
-            ).alias(s.ENTITY),
-            F.lpad(_text(F.col("s_suppkey")), 6, "0").alias(s.UNIT_CODE),
-            F.col("s_name").alias(s.UNIT),
-        )
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", F.col("r_name").alias(s.LEVEL), F.col("n_name").alias(s.SECTOR)
+    )
+
+
+def _units(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/supplier.parquet").select(
+        "s_suppkey",
+        "s_nationkey",
+        F.concat(
+            F.lit("PLIEGO "), _text(F.col("s_nationkey")), F.lit("/"), _text(F.col("s_suppkey") % 3)
+        ).alias(s.ENTITY),
+        F.lpad(_text(F.col("s_suppkey")), 6, "0").alias(s.UNIT_CODE),
+        F.col("s_name").alias(s.UNIT),
     )
 
 
@@ -110,12 +110,15 @@ def star_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
     The text of units and projects is made once per supplier and part, before
     the joins. No side is broadcast by hint: suppliers and parts grow with
-    the data, so Spark decides from their sizes, and where it sorts and merges,
-    AQE splits a part or supplier that holds a large share of the lines.
+    the data. Each is joined on its own, so that Spark knows its size when it
+    chooses; the size of a join result is overestimated and would shuffle the lines for
+    nothing. Where Spark sorts and merges, AQE splits a part or
+    supplier that holds a large share of the lines.
     """
     return (
         _lines(spark, folder)
         .join(_projects(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
         .join(_units(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(_sectors(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(*s.COLUMNS)
     )
