@@ -25,7 +25,7 @@ def _once(
     spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame], derive: Callable[[], DataFrame]
 ) -> DataFrame:
     """A table of this application, written on first use, or derived anew without a shared folder."""
-    known = (spark.sparkContext.applicationId, folder, name)
+    known = (spark.conf.get("spark.app.id"), folder, name)
     if known not in _tables:
         path = new_table_path(spark, name)
         if path is None:
