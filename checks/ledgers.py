@@ -2,8 +2,7 @@
 
 Each is written once per application, into a new folder of the session's
 shared folder, and read by all queries after that: many queries then share one
-pass over the joins and the coercion. Where the session has no shared folder
-the ledger is derived inside each query instead; results are the same.
+pass over the joins and the coercion.
 """
 
 from __future__ import annotations
@@ -14,23 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscal_ledger import schema as s
-from fiscal_ledger.plans import monthly_cube, write_cube, years_available
+from fiscal_ledger.plans import write_cube, years_available
 from fiscal_ledger.settings import new_table_path
-from fiscal_ledger.sources import ledger_ingest, normalise, scan_files, star_ledger
+from fiscal_ledger.sources import ledger_ingest, scan_files, star_ledger
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(
-    spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame], derive: Callable[[], DataFrame]
-) -> DataFrame:
-    """A table of this application, written on first use, or derived anew without a shared folder."""
-    known = (spark.conf.get("spark.app.id"), folder, name)
+def _once(spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
+    """A table of this application, written on first use."""
+    known = (spark.sparkContext.applicationId, folder, name)
     if known not in _tables:
-        path = new_table_path(spark, name)
-        if path is None:
-            return derive()
-        _tables[known] = write(path)
+        _tables[known] = write(new_table_path(spark, name))
     return _tables[known]
 
 
@@ -40,17 +34,14 @@ def typed_ledger(spark: SparkSession, folder: str) -> DataFrame:
         spark,
         folder,
         "typed",
-        write=lambda path: ledger_ingest(star_ledger(spark, folder), path, rebalance=True),
-        derive=lambda: normalise(star_ledger(spark, folder)),
+        lambda path: ledger_ingest(star_ledger(spark, folder), path, rebalance=True),
     )
 
 
 def cube_table(spark: SparkSession, folder: str) -> DataFrame:
     """The monthly cube of the ledger as a table."""
     ledger = typed_ledger(spark, folder)
-    return _once(
-        spark, folder, "cube", write=lambda path: write_cube(ledger, path), derive=lambda: monthly_cube(ledger)
-    )
+    return _once(spark, folder, "cube", lambda path: write_cube(ledger, path))
 
 
 def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
@@ -65,4 +56,4 @@ def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
 def yearly_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The raw ledger read back from one Parquet folder per fiscal year, latest year first."""
     raw = star_ledger(spark, folder)
-    return _once(spark, folder, "yearly", write=lambda path: _write_yearly_files(raw, path), derive=lambda: raw)
+    return _once(spark, folder, "yearly", lambda path: _write_yearly_files(raw, path))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,24 +29,28 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder, reachable from every executor, for tables written between jobs.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, for tables written between jobs.
 
-    It is the one the session names in ``spark.checkpoint.dir``. Where that is
-    unset, a local session gets a temporary folder; on a cluster there is no
-    folder that is safe to assume, so the answer is None.
+    Driver and executors must all reach it, so no folder is assumed where none is named.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="fiscal-ledger-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-        return folder
-    return None
+    if not named:
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+    return named.rstrip("/")
 
 
-def new_table_path(spark: SparkSession, name: str) -> str | None:
+def application_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/fiscal_ledger/{spark.sparkContext.applicationId}"
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job writes to."""
-    folder = shared_folder(spark)
-    return None if folder is None else f"{folder}/fiscal_ledger/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, through Hadoop's file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,20 +5,22 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
-from fiscal_ledger.settings import configure
+from fiscal_ledger.settings import configure, remove_tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         configure(SparkSession.builder.master("local[*]").appName("fiscal-ledger-tests"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_tables(session)
     session.stop()

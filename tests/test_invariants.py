@@ -15,7 +15,7 @@ from tests.micro import rows
 ASIA_2000 = LedgerFilter(year=2000, level="ASIA")
 ON_LEDGER = {
     name: getattr(plans, name)
-    for name in entry_points.queries()
+    for name in entry_points.ledger_queries()
     if hasattr(plans, name) and name not in ("coercion_report", "monthly_cube", "years_available")
 }
 ARGUMENTS = {"filter_options": (s.ENTITY,), "project_sheet": ("2000015",), "project_history": ("2000015",), "project_search": ("ring",)}

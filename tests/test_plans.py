@@ -84,12 +84,12 @@ SHUFFLES = {
 
 @pytest.mark.parametrize("name", sorted(SHUFFLES))
 def test_shuffles(spark, name):
-    assert shuffles(entry_points.queries()[name](spark, SF_DIR)) == SHUFFLES[name]
+    assert shuffles(entry_points.ledger_queries()[name](spark, SF_DIR)) == SHUFFLES[name]
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.ledger_queries()))
 def test_no_python_no_cross_join_no_broadcast_hint(spark, name):
-    frame = entry_points.queries()[name](spark, SF_DIR)
+    frame = entry_points.ledger_queries()[name](spark, SF_DIR)
     nodes = tree(frame)
     for unwanted in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert unwanted not in nodes
@@ -110,7 +110,7 @@ def test_lifecycle_rows_are_hash_aggregated(ledger):
 
 @pytest.mark.parametrize("name", ["kpi_board", "breakdown_iopr", "spillover_alerts", "monthly_curve", "project_progress"])
 def test_hash_aggregation_only(spark, name):
-    assert "SortAggregate" not in tree(entry_points.queries()[name](spark, SF_DIR))
+    assert "SortAggregate" not in tree(entry_points.ledger_queries()[name](spark, SF_DIR))
 
 
 @contextlib.contextmanager
@@ -135,10 +135,10 @@ def method_sizes(spark, frame_of) -> list[int]:
     return [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.ledger_queries()))
 def test_generated_methods_are_small_enough_to_compile(spark, name):
     """The JVM interprets methods beyond 8000 bytes, whatever the session says about fusing them."""
-    sizes = method_sizes(spark, lambda: entry_points.queries()[name](spark, SF_DIR))
+    sizes = method_sizes(spark, lambda: entry_points.ledger_queries()[name](spark, SF_DIR))
     assert sizes and max(sizes) <= 8000
 
 

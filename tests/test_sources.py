@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,34 +97,19 @@ def test_fixture_checksums(spark):
     assert rows(frame.agg(F.count(s.PIM), F.count(s.PAID))) == [(59412, 59405)]
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, monkeypatch, tmp_path):
-    class Conf(dict):
-        def set(self, name, value):
-            self[name] = value
-
+def test_shared_folder_is_the_one_the_session_names(spark, monkeypatch):
     class Session:
         def __init__(self, **conf):
-            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+            self.conf = {name.replace("_", "."): value for name, value in conf.items()}
+            self.sparkContext = spark.sparkContext
 
-    named = Session(spark_master="yarn")
-    named.conf[settings.CHECKPOINT_DIR] = "hdfs://shared/dir/"
+    named = Session(spark_checkpoint_dir="hdfs://shared/dir/")
     assert settings.shared_folder(named) == "hdfs://shared/dir"
-    assert settings.new_table_path(named, "typed").startswith("hdfs://shared/dir/fiscal_ledger/typed-")
-    assert settings.shared_folder(Session(spark_master="yarn")) is None
-    assert settings.new_table_path(Session(spark_master="yarn"), "typed") is None
-    local = Session(spark_master="local[2]")
-    folder = settings.shared_folder(local)
-    assert os.path.isdir(folder) and settings.shared_folder(local) == folder
-
-
-def test_without_shared_folder_results_are_the_same(spark, monkeypatch):
-    expected = rows(plans.kpi_board(ledgers.typed_ledger(spark, SF_DIR)))
-    monkeypatch.setattr(ledgers, "_tables", {})
-    monkeypatch.setattr(ledgers, "new_table_path", lambda spark, name: None)
-    assert rows(plans.kpi_board(ledgers.typed_ledger(spark, SF_DIR))) == expected
-    assert ledgers.yearly_scan(spark, SF_DIR).columns == list(s.COLUMNS)
-    assert ledgers.cube_table(spark, SF_DIR).columns == list(s.COLUMNS)
-    assert ledgers._tables == {}
+    application = spark.sparkContext.applicationId
+    assert settings.new_table_path(named, "typed").startswith(f"hdfs://shared/dir/fiscal_ledger/{application}/typed-")
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            settings.new_table_path(Session(spark_master=master), "typed")
 
 
 def test_null_amounts_survive_the_table(spark, tmp_path):
