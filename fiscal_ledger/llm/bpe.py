@@ -69,7 +69,6 @@ class MergeAutomaton:
         self.born = [-1] * size  # the gadget that made a state; bytes are there from the beginning
         self.first = [-1] * size  # whose incoming arcs it copies
         self.last = [-1] * size  # whose outgoing arcs it copies
-        self.removed: set[int] = set()  # arcs u -> v, removed by the gadget that merges them
         self.removed_at: dict[int, int] = {}
         for at, (u, v, w) in enumerate(merges):
             if self.first[w] >= 0 or len(labels[w]) == 1:

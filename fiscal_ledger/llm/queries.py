@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from fiscal_ledger.llm.bpe import op7_bpe
+from fiscal_ledger.llm.fingerprints import op1_fingerprints
+from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
 from fiscal_ledger.llm.token_counts import op5_token_counts
 
 
 def queries():
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op5_token_counts": op5_token_counts,
         "op7_bpe": op7_bpe,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": OP10_SQL}
