@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from fiscal_ledger.llm.bpe import op7_bpe
 from fiscal_ledger.llm.fingerprints import op1_fingerprints
+from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
 from fiscal_ledger.llm.token_counts import op5_token_counts
+from fiscal_ledger.llm.warc import OP2_SQL, op2_warc
 
 
 def queries():
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_warc": op2_warc,
         "op5_token_counts": op5_token_counts,
         "op7_bpe": op7_bpe,
+        "op9_html_text": op9_html_text,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL}
