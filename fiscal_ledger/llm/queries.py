@@ -6,6 +6,7 @@ from fiscal_ledger.llm.bpe import op7_bpe
 from fiscal_ledger.llm.fingerprints import op1_fingerprints
 from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
+from fiscal_ledger.llm.repeats import op4_repeats
 from fiscal_ledger.llm.token_counts import op5_token_counts
 from fiscal_ledger.llm.warc import OP2_SQL, op2_warc
 
@@ -14,6 +15,7 @@ def queries():
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_warc": op2_warc,
+        "op4_repeats": op4_repeats,
         "op5_token_counts": op5_token_counts,
         "op7_bpe": op7_bpe,
         "op9_html_text": op9_html_text,
