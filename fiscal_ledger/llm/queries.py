@@ -6,6 +6,7 @@ from fiscal_ledger.llm.bpe import op7_bpe
 from fiscal_ledger.llm.fingerprints import op1_fingerprints
 from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
+from fiscal_ledger.llm.near_duplicates import op6_near_duplicates
 from fiscal_ledger.llm.quality import op8_quality
 from fiscal_ledger.llm.repeats import op4_repeats
 from fiscal_ledger.llm.token_counts import op5_token_counts
@@ -18,6 +19,7 @@ def queries():
         "op2_warc": op2_warc,
         "op4_repeats": op4_repeats,
         "op5_token_counts": op5_token_counts,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_bpe": op7_bpe,
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
