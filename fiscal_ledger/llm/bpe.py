@@ -14,8 +14,8 @@ differs from the automaton before it in one removed arc and copied rows and
 columns, so it is stored as that difference: two parents per state and one removed
 arc. Looking an arc up follows the parents back in time, and is memoised.
 
-**Encoding.** A word is read along a byte trie of the token labels, from each position whose
-state is known; the one token arc that the automaton allows fixes the state at its end.
+**Encoding.** A word is read along a byte trie of the token labels, a table of transitions. Of the tokens
+it meets, the automaton's arcs allow those that may follow the state; the path that reaches the end is the encoding.
 **Decoding** concatenates the labels of the arcs.
 
 Nulls count as empty text. Rows come out one for one: ties, repeated rows and ids stay,
@@ -25,6 +25,7 @@ an empty table gives an empty table, and other columns are dropped, so their nam
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -37,9 +38,12 @@ from pyspark.sql import functions as F
 # Fixed value: how byte-level BPE splits text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The same for text that is all ASCII.
+ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
 # Encoded words and looked-up arcs a Python worker keeps before it starts anew.
-KEPT_WORDS = 200_000
-KEPT_ARCS = 1_000_000
+KEPT_WORDS = 300_000
+KEPT_ARCS = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -118,26 +122,47 @@ class MergeAutomaton:
                 moment, state = born, self.last[state]
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """The one path of the automaton that spells the word."""
+        """The one path of the automaton that spells the word.
+
+        From each state the longest token that an arc allows is tried first. A state
+        and place from which the end can't be reached is left again, once.
+        """
         size = len(word)
-        states = [-2] * (size + 1)
-        states[0] = self.start
-        moves, ends, arc = self.moves.get, self.ends, self.arc
-        for begin in range(size):
-            state, node = states[begin], 0
-            for end in range(begin, size):
-                found = moves(node << 8 | word[end])
-                if found is None:
+        choices = self._tokens_at(word, 0)
+        if size and len(self.labels[choices[-1]]) == size:
+            return (choices[-1],)
+        arc, labels = self.arc, self.labels
+        at, state = 0, self.start
+        path: list[int] = []
+        left: list[tuple[int, int, list[int]]] = []
+        dead: set[tuple[int, int]] = set()
+        while at < size:
+            while choices:
+                token = choices.pop()
+                after = at + len(labels[token])
+                if arc(state, token) and (not dead or (after, token) not in dead):
+                    path.append(token)
+                    left.append((at, state, choices))
+                    at, state = after, token
+                    choices = self._tokens_at(word, at)
                     break
-                node = found
-                token = ends[node]
-                if token >= 0 and states[end + 1] == -2 and arc(state, token):
-                    states[end + 1] = token
-        path = []
-        while size:
-            path.append(states[size])
-            size -= len(self.labels[states[size]])
-        return tuple(reversed(path))
+            else:
+                dead.add((at, state))
+                at, state, choices = left.pop()
+                path.pop()
+        return tuple(path)
+
+    def _tokens_at(self, word: bytes, at: int) -> list[int]:
+        """The tokens the word continues with at a place, shortest first."""
+        moves, ends = self.moves, self.ends
+        found, node = [], 0
+        for place in range(at, len(word)):
+            node = moves.get(node << 8 | word[place])
+            if node is None:
+                break
+            if ends[node] >= 0:
+                found.append(ends[node])
+        return found
 
 
 class ByteLevelBpe:
@@ -176,15 +201,14 @@ class ByteLevelBpe:
             self.special[added["content"]] = added["id"]
         self.labels: dict[int, bytes] = labels | {number: text.encode() for text, number in self.special.items()}
         self._split = regex.compile(SPLIT)
+        self._split_ascii = re.compile(ASCII_SPLIT)
         self._known_classes: dict[str, bool] = {}
         alternatives = "|".join(regex.escape(text) for text in sorted(self.special, key=len, reverse=True))
-        self._cut = regex.compile(f"({alternatives})") if self.special else None
-        self._whole = {label: (number,) for number, label in labels.items()}
+        self._cut = regex.compile(f"({alternatives})")
         self._words = _Words(self)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        spelt = word.encode()
-        return self._whole.get(spelt) or self.automaton.encode(spelt)
+        return self.automaton.encode(word.encode())
 
     def words(self, text: str) -> list[str]:
         """The words of a text, as the library splits it.
@@ -193,12 +217,13 @@ class ByteLevelBpe:
         beyond ASCII is tried once, and a text with one that the two class
         differently is split by the library.
         """
-        if not text.isascii():
-            odd = [self._known_classes.get(c) for c in set(text)]
-            if None in odd:
-                odd = [self._agrees(c) for c in set(text)]
-            if False in odd:
-                return [text[begin:end] for _, (begin, end) in _library_splitter().pre_tokenize_str(text)]
+        if text.isascii():
+            return self._split_ascii.findall(text)
+        odd = [self._known_classes.get(c) for c in set(text)]
+        if None in odd:
+            odd = [self._agrees(c) for c in set(text)]
+        if False in odd:
+            return [text[begin:end] for _, (begin, end) in _library_splitter().pre_tokenize_str(text)]
         return self._split.findall(text)
 
     def _agrees(self, char: str) -> bool:
@@ -213,7 +238,8 @@ class ByteLevelBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; the strings of special tokens in it become those tokens."""
-        parts = [text] if self._cut is None else self._cut.split(text)
+        special = any(content in text for content in self.special)
+        parts = self._cut.split(text) if special else [text]
         found = []
         for at, part in enumerate(parts):
             if at % 2:
@@ -228,17 +254,19 @@ class ByteLevelBpe:
 
 
 class _Words(dict):
-    """Words encoded before; bounded, so a worker's memory does not grow with the corpus."""
+    """Words encoded lately: two generations, so frequent ones stay and memory does not grow with the corpus."""
 
     def __init__(self, owner: ByteLevelBpe):
         super().__init__()
         self._owner = owner
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self._owner.encode_word(word)
+        ids = self._older.get(word) or self._owner.encode_word(word)
         if len(word) <= 64:
+            if len(self) >= KEPT_WORDS // 2:
+                self._older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -259,10 +287,14 @@ def load(path: str) -> ByteLevelBpe:
     return _loaded[path]
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids array<int>) per row."""
+def bpe_encode(
+    docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False
+) -> DataFrame:
+    """(id, ids array<int>) per row, and the text, empty for null, if asked for."""
     rows = docs.select(F.col(id_column).alias(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    schema = rows.select(id_column, F.array(F.lit(0)).alias("ids")).schema
+    schema = rows.select(
+        id_column, F.array(F.lit(0)).alias("ids"), *([F.col("_text").alias("text")] if with_text else [])
+    ).schema
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
@@ -272,7 +304,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
             np.cumsum([len(ids) for ids in encoded], out=offsets[1:])
             values = np.concatenate(encoded) if encoded else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), ids], names=[id_column, "ids"])
+            columns = [batch.column(id_column), ids, *([batch.column("_text")] if with_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(encode, schema)
 

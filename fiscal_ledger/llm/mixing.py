@@ -153,17 +153,26 @@ def mix_plan(
 
 
 def training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with ``size``), each as often as the plan takes it, sorted by training position."""
-    chosen = plan.where(F.size("positions") > 0).select(
-        *(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "positions"))
+    """The documents, all columns, each as often as the plan takes it, sorted by training position."""
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("from"),
+        word_count(F.col("text")).alias("words"),
     )
+    chosen = plan.where(F.size("positions") > 0).select("doc_id", "source", "size", "positions")
     same = (
-        docs["doc_id"].eqNullSafe(chosen["_doc_id"])
-        & docs["source"].eqNullSafe(chosen["_source"])
-        & (docs["size"] == chosen["_size"])
+        packed["id"].eqNullSafe(chosen["doc_id"])
+        & packed["from"].eqNullSafe(chosen["source"])
+        & (packed["words"] == chosen["size"])
     )
-    taken = docs.join(chosen, same).select(*docs.columns, F.explode("_positions").alias("position"))
-    return taken.orderBy("position", "doc_id")
+    taken = packed.join(chosen, same).select("row", "id", F.explode("positions").alias("position"))
+    return taken.orderBy("position", "id").select("row.*")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix in training order, all columns."""
+    return training_order(docs, mix_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

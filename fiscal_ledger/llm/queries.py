@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fiscal_ledger.llm.bpe import op7_bpe
+from fiscal_ledger.llm.embeddings import op3_embeddings
 from fiscal_ledger.llm.fingerprints import op1_fingerprints
 from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
@@ -17,6 +18,7 @@ def queries():
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_warc": op2_warc,
+        "op3_embeddings": op3_embeddings,
         "op4_repeats": op4_repeats,
         "op5_token_counts": op5_token_counts,
         "op6_near_duplicates": op6_near_duplicates,

@@ -476,14 +476,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, spans)
 
 
-def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """(id, kept columns, n_bytes, n_removed, n_spans, kept) per row; ``kept`` holds the remaining bytes."""
+def _removed(docs: DataFrame, id_column: str, text_column: str, keep: list[str], whole_characters: bool) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): ``row`` holds the columns to keep."""
     read = docs.select(
         F.coalesce(F.col(id_column).cast("bigint"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-        F.struct(F.col(id_column), *(F.col(c) for c in keep)).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
     ).withColumn("hash", F.xxhash64("text"))
     spans = repeated_spans(read.select("id", "hash", "text"))
     listed = spans.distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -513,7 +511,10 @@ def remove_repeats(
                         removed += span[1] - end
                         end = at = span[1]
                 parts.append(data[at:])
-                found.append((len(data), removed, runs, b"".join(parts)))
+                kept = b"".join(parts)
+                if whole_characters and runs:
+                    kept = kept.decode("utf-8", "ignore").encode()
+                found.append((len(data), removed, runs, kept))
             sizes, gone, runs, kept = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -526,8 +527,34 @@ def remove_repeats(
                 names=["row", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    done = joined.mapInArrow(remove, schema)
-    return done.select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
+    return joined.mapInArrow(remove, schema)
+
+
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` holds the remaining bytes."""
+    done = _removed(docs, id_column, text_column, [id_column], whole_characters=False)
+    return done.select(
+        F.col("row").getField(id_column).alias(id_column), "n_bytes", "n_removed", "n_spans", "kept"
+    )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with what is left of their texts; ``n_chars`` follows the text.
+
+    A character of which a span took some bytes goes as a whole.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    done = _removed(docs, "doc_id", "text", others, whole_characters=True)
+    text = F.col("kept").cast("string")
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.char_length(text).cast(docs.schema[name].dataType).alias(name)
+        return F.col("row").getField(name).alias(name)
+
+    return done.select(*map(column, docs.columns))
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:
