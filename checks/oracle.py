@@ -29,13 +29,13 @@ SELECT
        ELSE 'SERVICIO DE LA DEUDA' END AS CATEGORIA_GASTO_NOMBRE,
   lpad(CAST(l_orderkey % 40 AS STRING), 4, '0') AS SEC_FUNC,
   'META ' || CAST(l_orderkey % 40 AS STRING) AS META_NOMBRE,
-  CAST(CAST(pia AS BIGINT) AS STRING) AS MONTO_PIA,
-  CASE WHEN l_orderkey % 101 = 0 THEN 'N/D' ELSE CAST(CAST(pim AS BIGINT) AS STRING) END AS MONTO_PIM,
-  CAST(CAST(cert AS BIGINT) AS STRING) AS MONTO_CERTIFICADO,
-  CAST(CAST(floor(cert * 8 / 10) AS BIGINT) AS STRING) AS MONTO_COMPROMETIDO_ANUAL,
-  CAST(CAST(floor(cert * 6 / 10) AS BIGINT) AS STRING) AS MONTO_COMPROMETIDO,
-  CAST(CAST(dev AS BIGINT) AS STRING) AS MONTO_DEVENGADO,
-  CASE WHEN l_orderkey % 103 = 0 THEN '' ELSE CAST(CAST(floor(dev * 95 / 100) AS BIGINT) AS STRING) END AS MONTO_GIRADO
+  CASE WHEN half = 0 THEN CAST(CAST(pia AS BIGINT) AS STRING) END AS MONTO_PIA,
+  CASE WHEN half = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN 'N/D' ELSE CAST(CAST(pim AS BIGINT) AS STRING) END AS MONTO_PIM,
+  CASE WHEN half = 1 THEN CAST(CAST(cert AS BIGINT) AS STRING) END AS MONTO_CERTIFICADO,
+  CASE WHEN half = 1 THEN CAST(CAST(floor(cert * 8 / 10) AS BIGINT) AS STRING) END AS MONTO_COMPROMETIDO_ANUAL,
+  CASE WHEN half = 1 THEN CAST(CAST(floor(cert * 6 / 10) AS BIGINT) AS STRING) END AS MONTO_COMPROMETIDO,
+  CASE WHEN half = 1 THEN CAST(CAST(dev AS BIGINT) AS STRING) END AS MONTO_DEVENGADO,
+  CASE WHEN half = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '' ELSE CAST(CAST(floor(dev * 95 / 100) AS BIGINT) AS STRING) END AS MONTO_GIRADO
 FROM (
   SELECT *, CASE l_returnflag WHEN 'A' THEN floor(cert * 7 / 10) WHEN 'N' THEN floor(cert * 4 / 10) ELSE 0 END AS dev
   FROM (
@@ -51,7 +51,7 @@ FROM (
       JOIN part ON p_partkey = l_partkey
     ) a
   ) b
-) c
+) c CROSS JOIN (SELECT 0 AS half UNION ALL SELECT 1 AS half) halves
 """
 
 MEASURES = {
@@ -92,7 +92,7 @@ def totals(*names: str) -> str:
 
 
 def guarded(part: str, whole: str) -> str:
-    return f"CASE WHEN {whole} > 0 THEN ({part}) / ({whole}) * 100 ELSE 0.0::DOUBLE END"
+    return f"CASE WHEN {whole} > 0 AND NOT isnan({whole}) THEN ({part}) / ({whole}) * 100 ELSE 0.0::DOUBLE END"
 
 
 def or_zero(part: str, whole: str) -> str:
@@ -164,7 +164,8 @@ MONTH_NAME = (
 
 def running(column: str) -> str:
     window = "OVER (ORDER BY month ASC NULLS LAST ROWS UNBOUNDED PRECEDING)"
-    return f"CASE WHEN {column} IS NOT NULL THEN SUM({column}) {window} END"
+    known = f"CASE WHEN NOT isnan({column}) THEN {column} END"
+    return f"CASE WHEN {known} IS NOT NULL THEN SUM({known}) {window} ELSE {column} END"
 
 
 CUMULATIVE = f"""
@@ -283,7 +284,8 @@ LOOKUP = (
 )
 
 TOTALS = (
-    "SELECT COUNT(*) AS projects, coalesce(SUM(pim), 0) AS pim, coalesce(SUM(overrun), 0) AS overrun "
+    "SELECT COUNT(*) AS projects, coalesce(SUM(CASE WHEN NOT isnan(pim) THEN pim END), 0) AS pim, "
+    "coalesce(SUM(CASE WHEN NOT isnan(overrun) THEN overrun END), 0) AS overrun "
     f"FROM ({progress()})"
 )
 
@@ -350,6 +352,20 @@ _QUERIES = {
 }
 
 
+# The same queries on a ledger with amounts that are no numbers.
+WITH_NAN = ("kpi_board", "project_totals", "cumulative_evolution", "execution_overview", "project_history")
+
+
+def _nan_prefix() -> str:
+    odd = "PRODUCTO_PROYECTO = '2000015' AND MES_EJE = 5"
+    amounts = ", ".join(
+        f"CASE WHEN {odd} THEN 'NaN'::DOUBLE ELSE {c} END AS {c}" for c in ("MONTO_PIA", "MONTO_PIM", "MONTO_DEVENGADO")
+    )
+    coerced = ledger_prefix(RAW).replace("\nledger AS (", "\nnumbers AS (")
+    return coerced.rstrip() + f",\nledger AS (SELECT * REPLACE ({amounts}) FROM numbers)\n"
+
+
 def oracle_sql() -> dict[str, str]:
     prefix = ledger_prefix(RAW)
-    return {name: prefix + query for name, query in _QUERIES.items()}
+    found = {name: prefix + query for name, query in _QUERIES.items()}
+    return found | {f"nan_{name}": _nan_prefix() + _QUERIES[name] for name in WITH_NAN}

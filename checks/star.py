@@ -5,6 +5,8 @@ benchmarks derive one: a lineitem row becomes a budget line, its part the
 project, its supplier the executing unit, its ship year the fiscal year.
 Amounts and codes are text with unreadable values mixed in, as in the
 published files; amounts are whole numbers, so that sums are exact in any order.
+Each order line makes two budget lines of the same dimensions: one has the opening
+budget, the other the later amounts.
 """
 
 from __future__ import annotations
@@ -68,6 +70,10 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     line, order, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey")
     price, quantity = F.floor("l_extendedprice"), F.floor("l_quantity")
     stage = F.col("l_returnflag")
+
+    def later(amount: Column) -> Column:
+        return F.when(F.col("half") == 1, amount)
+
     funding = F.when(line == 1, "00").when(line == 2, "09").when(line == 3, "07")
     funding = funding.when(line == 4, "08").when(line == 5, "13").when(line == 6, "18").otherwise("19")
     return (
@@ -85,6 +91,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
             .when(stage == "N", F.floor(F.col("cert") * 4 / 10))
             .otherwise(F.lit(0)),
         )
+        .withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
         .select(
             "l_partkey",
             "l_suppkey",
@@ -94,13 +101,13 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
             F.when(line != 5, F.concat(F.lit("RUBRO "), _text(line))).alias(s.FUNDING),
             F.lpad(_text(order % 40), 4, "0").alias(s.GOAL_CODE),
             F.concat(F.lit("META "), _text(order % 40)).alias(s.GOAL),
-            _whole_text(F.col("pia")).alias(s.PIA),
-            F.when(order % 101 == 0, "N/D").otherwise(_whole_text(F.col("pim"))).alias(s.PIM),
-            _whole_text(F.col("cert")).alias(s.CERTIFIED),
-            _whole_text(F.floor(F.col("cert") * 8 / 10)).alias(s.COMMITTED_ANNUAL),
-            _whole_text(F.floor(F.col("cert") * 6 / 10)).alias(s.COMMITTED_MONTHLY),
-            _whole_text(F.col("dev")).alias(s.ACCRUED),
-            F.when(order % 103 == 0, "").otherwise(_whole_text(F.floor(F.col("dev") * 95 / 100))).alias(s.PAID),
+            F.when(F.col("half") == 0, _whole_text(F.col("pia"))).alias(s.PIA),
+            later(F.when(order % 101 == 0, "N/D").otherwise(_whole_text(F.col("pim")))).alias(s.PIM),
+            later(_whole_text(F.col("cert"))).alias(s.CERTIFIED),
+            later(_whole_text(F.floor(F.col("cert") * 8 / 10))).alias(s.COMMITTED_ANNUAL),
+            later(_whole_text(F.floor(F.col("cert") * 6 / 10))).alias(s.COMMITTED_MONTHLY),
+            later(_whole_text(F.col("dev"))).alias(s.ACCRUED),
+            later(F.when(order % 103 == 0, "").otherwise(_whole_text(F.floor(F.col("dev") * 95 / 100)))).alias(s.PAID),
         )
     )
 

@@ -3,14 +3,16 @@
 They differ only in what a zero, missing or negative denominator gives, and
 those differences show up in the reports, so each has its own helper:
 
-=================  =============  ========  =========  ==================
-helper             den = 0        den NULL  den < 0    num NULL, den > 0
-=================  =============  ========  =========  ==================
-``guarded_pct``    0              0         0          NULL
-``nullif_pct``     NULL           NULL      computed   NULL
-``raw_pct``        inf/-inf/NaN   NULL      computed   NULL
-``raw_pct_or_0``   inf/-inf/0     0         computed   0
-=================  =============  ========  =========  ==================
+=================  =============  ========  =========  =======  ==================
+helper             den = 0        den NULL  den < 0    den NaN  num NULL, den > 0
+=================  =============  ========  =========  =======  ==================
+``guarded_pct``    0              0         0          0        NULL
+``nullif_pct``     NULL           NULL      computed   NaN      NULL
+``raw_pct``        inf/-inf/NaN   NULL      computed   NaN      NULL
+``raw_pct_or_0``   inf/-inf/0     0         computed   0        0
+=================  =============  ========  =========  =======  ==================
+
+Spark orders NaN above all numbers, so a guard must rule it out.
 
 ``try_divide`` gives the same quotient as ``/`` and does not depend on the
 session's ANSI setting when the denominator is zero.
@@ -26,7 +28,7 @@ _NAN = float("nan")
 
 
 def guarded_pct(num: Column, den: Column) -> Column:
-    return F.when(den > 0, F.try_divide(num, den) * 100).otherwise(F.lit(0.0))
+    return F.when((den > 0) & ~F.isnan(den), F.try_divide(num, den) * 100).otherwise(F.lit(0.0))
 
 
 def nullif_pct(num: Column, den: Column) -> Column:

@@ -22,6 +22,11 @@ def totals(*measures: str) -> list[Column]:
     return [total(m) for m in measures]
 
 
+def sum_or_0(column: str) -> Column:
+    """SUM that counts NULL and NaN as 0."""
+    return F.coalesce(F.sum(F.when(~F.isnan(column), F.col(column))), F.lit(0.0)).alias(column)
+
+
 def sum_where(test: Column, measure: str) -> Column:
     """SUM of a measure over the rows that pass a test, 0 for the others."""
     return F.sum(F.when(test, F.col(measure)).otherwise(F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import raw_pct_or_0
 from fiscal_ledger.operators.filters import Where, condition
-from fiscal_ledger.operators.totals import key, totals
+from fiscal_ledger.operators.totals import key, sum_or_0, totals
 
 
 def unit_ranking(ledger: DataFrame, where: Where = None) -> DataFrame:
@@ -31,17 +31,12 @@ def funding_function_distribution(ledger: DataFrame, where: Where = None) -> Dat
     )
 
 
-def _sum_or_0(column: str) -> Column:
-    """SUM that counts NULL and NaN as 0."""
-    return F.coalesce(F.sum(F.when(~F.isnan(column), F.col(column))), F.lit(0.0)).alias(column)
-
-
 def _largest(distribution: DataFrame, by: str, limit: int) -> DataFrame:
     """The largest budgets of a distribution rolled up to one column, in ascending order."""
     return (
         distribution.where(F.col(by).isNotNull())
         .groupBy(by)
-        .agg(_sum_or_0("pim"), _sum_or_0("accrued"))
+        .agg(sum_or_0("pim"), sum_or_0("accrued"))
         .withColumn("pct", raw_pct_or_0(F.col("accrued"), F.col("pim")))
         .orderBy(F.desc("pim"), by)
         .limit(limit)

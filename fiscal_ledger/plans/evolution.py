@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.labels import month_name
-from fiscal_ledger.functions.ratios import raw_div, raw_pct
+from fiscal_ledger.functions.ratios import guarded_pct, raw_div, raw_pct
 from fiscal_ledger.operators.filters import Where, condition
 from fiscal_ledger.operators.totals import key, totals
 
@@ -40,10 +40,9 @@ def cumulative_evolution(
     base = F.sum("pim").over(Window.partitionBy()) if total_pim is None else F.lit(float(total_pim))
 
     def running(column: str) -> Column:
-        return F.when(F.col(column).isNotNull(), F.sum(column).over(so_far))
-
-    def share(column: str) -> Column:
-        return F.when(F.col("base") > 0, F.try_divide(F.col(column), F.col("base")) * 100).otherwise(F.lit(0.0))
+        # A month without a number shows what it has and adds nothing to later months.
+        known = F.col(column).isNotNull() & ~F.isnan(column)
+        return F.when(known, F.sum(F.when(known, F.col(column))).over(so_far)).otherwise(F.col(column))
 
     return (
         months.withColumns(
@@ -59,8 +58,8 @@ def cumulative_evolution(
             "accrued",
             "cumulative_committed",
             "cumulative_accrued",
-            share("cumulative_committed").alias("pct_committed"),
-            share("cumulative_accrued").alias("pct_accrued"),
+            guarded_pct(F.col("cumulative_committed"), F.col("base")).alias("pct_committed"),
+            guarded_pct(F.col("cumulative_accrued"), F.col("base")).alias("pct_accrued"),
             month_name(F.col("month")).alias("month_name"),
         )
         .orderBy(F.asc_nulls_last("month"))

@@ -23,16 +23,18 @@ def lifecycle_audit(ledger: DataFrame, where: Where = None) -> DataFrame:
 
     Spark sorts the input of a MAX of text, so the ledger rows are first
     hash-aggregated with the name among the keys. Names hardly vary within a
-    project, and the two text maxima then run on the few rows that are left. Each of the
-    three aggregations reduces its rows within the task before its shuffle,
-    which is what keeps a project holding a large share of the rows harmless;
-    shuffling the rows by CUI once instead would send it whole to one task.
+    project, and the two text maxima then run on the few rows that are left. That first
+    aggregation reduces its rows within the task before its shuffle,
+    which is what keeps a project holding a large share of the rows harmless.
+    What is left of a project is one row per year and name, so all of it
+    can go to one task, and the two levels above share that shuffle.
     """
     named = (
         ledger.where(condition(where))
         .where(F.col(s.CUI) != s.CATCH_ALL_CUI)
         .groupBy(key(s.CUI), key(s.YEAR), key(s.PROJECT))
         .agg(*totals(s.PIA, s.PIM, s.ACCRUED))
+        .repartition("cui")
     )
     yearly = named.groupBy("cui", "fiscal_year").agg(
         F.max("project").alias("project"), *[F.sum(c).alias(c) for c in ("pia", "pim", "accrued")]

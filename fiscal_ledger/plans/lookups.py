@@ -56,14 +56,16 @@ def project_list(ledger: DataFrame, where: Where = None) -> DataFrame:
 def project_lookup(ledger: DataFrame, where: Where = None) -> DataFrame:
     """One label per CUI of the capital projects; a renamed project shows its last label in text order.
 
-    Spark sorts the input of a MAX of text by key. The typed table keeps the
-    rows of each file in class and CUI order, so that sort finds them in place.
+    Spark sorts the input of a MAX of text by key, so the ledger rows are
+    hash-aggregated to distinct labels first and only those are sorted.
     """
     label = code_name_label(F.col(s.CUI), F.col(s.PROJECT))
     return (
         ledger.where(condition(where))
         .where(is_capital())
-        .groupBy(F.col(s.CUI).alias("cui"))
-        .agg(F.max(label).alias("project_label"))
+        .select(F.col(s.CUI).alias("cui"), label.alias("label"))
+        .distinct()
+        .groupBy("cui")
+        .agg(F.max("label").alias("project_label"))
         .orderBy("project_label")
     )

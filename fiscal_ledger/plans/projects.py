@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import guarded_pct, nullif_pct, raw_pct_or_0
 from fiscal_ledger.operators.filters import Where, condition, is_capital, matches_search
-from fiscal_ledger.operators.totals import key, totals
+from fiscal_ledger.operators.totals import key, sum_or_0, totals
 
 _STAGES = (s.PIA, s.PIM, s.CERTIFIED, s.COMMITTED_ANNUAL, s.ACCRUED)
 
@@ -45,11 +45,11 @@ def project_progress(ledger: DataFrame, where: Where = None) -> DataFrame:
 
 
 def project_totals(ledger: DataFrame, where: Where = None) -> DataFrame:
-    """Number of projects, their budget and their overrun."""
+    """Number of projects, their budget and their overrun; amounts that are no numbers count as 0."""
     return _progress(ledger, where).agg(
         F.count("*").alias("projects"),
-        F.coalesce(F.sum("pim"), F.lit(0.0)).alias("pim"),
-        F.coalesce(F.sum("overrun"), F.lit(0.0)).alias("overrun"),
+        sum_or_0("pim"),
+        sum_or_0("overrun"),
     )
 
 

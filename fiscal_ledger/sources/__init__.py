@@ -1,7 +1,6 @@
-"""Ledger sources: yearly files, the typed table and a ledger derived from star-schema tables."""
+"""Ledger sources: yearly files and the typed table."""
 
 from fiscal_ledger.sources.files import normalise, read_ledger, scan_files
-from fiscal_ledger.sources.star import star_ledger
 from fiscal_ledger.sources.typed import ledger_ingest, open_ledger, write_by_year
 
 __all__ = [
@@ -10,6 +9,5 @@ __all__ = [
     "open_ledger",
     "read_ledger",
     "scan_files",
-    "star_ledger",
     "write_by_year",
 ]

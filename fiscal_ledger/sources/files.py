@@ -13,9 +13,32 @@ from fiscal_ledger import schema as s
 from fiscal_ledger.functions.coercion import to_double, to_int
 
 
-def _as_text(column: str, source: T.DataType) -> Column:
+def _contract(frame: DataFrame) -> dict[str, T.StructField]:
+    """The fields of a frame that are contract columns, whatever their case."""
+    names = {c.lower(): c for c in s.COLUMNS}
+    found: dict[str, T.StructField] = {}
+    for field in frame.schema.fields:
+        column = names.get(field.name.lower())
+        if column in found:
+            raise ValueError(f"columns {found[column].name} and {field.name} differ only in case")
+        if column is not None:
+            found[column] = field
+    return found
+
+
+def _require(present: set[str]) -> None:
+    absent = [c for c in s.COLUMNS if c not in present]
+    if absent:
+        raise ValueError(f"no file has the columns {', '.join(absent)}")
+
+
+def _source(field: T.StructField) -> Column:
+    return F.col(f"`{field.name}`")
+
+
+def _as_text(column: str, field: T.StructField) -> Column:
     """A code or name as text; funding codes stored as numbers get their leading zero back."""
-    text = F.col(column).cast("string")
+    text, source = _source(field).cast("string"), field.dataType
     if column == s.FUNDING_CODE and isinstance(source, T.IntegralType):
         return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
     return text
@@ -24,50 +47,55 @@ def _as_text(column: str, source: T.DataType) -> Column:
 def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The raw contract columns of several Parquet files or folders, unchanged where they agree.
 
-    Files written in different years may lack a column, carry extra ones or
-    store one under another type. Each is projected to the contract on its
-    own: a missing column is NULL, an extra one is dropped, codes and names
+    Files written in different years may lack a column, carry extra ones,
+    spell one in another case or store one under another type. Each is
+    projected to the contract on its own: a missing column is NULL, an extra one is dropped, codes and names
     are text, and a measure whose type differs between files is text as well
     (coercion reads it back). Each projection is pushed into its file's scan.
+    A column that no file has is an error, as are two that differ only in case.
     """
     if not paths:
         raise ValueError("no ledger paths given")
     files = [spark.read.parquet(path) for path in paths]
-    types = [{field.name: field.dataType for field in file.schema.fields} for file in files]
+    contracts = [_contract(file) for file in files]
+    _require({column for present in contracts for column in present})
 
     def common(column: str) -> T.DataType:
-        found = {present[column].simpleString(): present[column] for present in types if column in present}
+        types = [present[column].dataType for present in contracts if column in present]
+        found = {kind.simpleString(): kind for kind in types}
         return next(iter(found.values())) if len(found) == 1 else T.StringType()
 
     target = {c: common(c) for c in s.COERCED}
     target[s.YEAR] = T.IntegerType()
 
-    def project(file: DataFrame, present: dict[str, T.DataType]) -> DataFrame:
+    def project(file: DataFrame, present: dict[str, T.StructField]) -> DataFrame:
         columns = []
         for c in s.COLUMNS:
             if c not in present:
                 columns.append(F.lit(None).cast(target.get(c, T.StringType())).alias(c))
             elif c == s.YEAR:
-                columns.append(to_int(F.col(c), present[c]).alias(c))
+                columns.append(to_int(_source(present[c]), present[c].dataType).alias(c))
             elif c in target:
-                columns.append(F.col(c).cast(target[c]).alias(c))
+                columns.append(_source(present[c]).cast(target[c]).alias(c))
             else:
                 columns.append(_as_text(c, present[c]).alias(c))
         return file.select(*columns)
 
-    return reduce(DataFrame.unionByName, map(project, files, types))
+    return reduce(DataFrame.unionByName, map(project, files, contracts))
 
 
 def typed_columns(raw: DataFrame) -> dict[str, Column]:
-    """The coercion of each contract column, given the types a raw ledger has."""
-    types = {field.name: field.dataType for field in raw.schema.fields}
+    """The coercion of each contract column, given the names and types a raw ledger has."""
+    fields = _contract(raw)
+    _require(set(fields))
 
     def typed(column: str) -> Column:
+        field = fields[column]
         if column in s.MEASURES:
-            return to_double(F.col(column), types[column])
+            return to_double(_source(field), field.dataType)
         if column in s.WHOLE_NUMBERS or column == s.YEAR:
-            return to_int(F.col(column), types[column])
-        return _as_text(column, types[column])
+            return to_int(_source(field), field.dataType)
+        return _as_text(column, field)
 
     return {c: typed(c) for c in s.COLUMNS}
 

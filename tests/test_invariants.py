@@ -41,6 +41,10 @@ def test_same_on_cube(ledger, cube, name, where):
     assert sorted(map(repr, on_ledger.collect())) == sorted(map(repr, on_cube.collect()))
 
 
+def test_cube_is_smaller(ledger, cube):
+    assert cube.count() * 2 <= ledger.count()
+
+
 def test_years_on_cube(ledger, cube):
     assert rows(plans.years_available(ledger)) == rows(plans.years_available(cube))
 

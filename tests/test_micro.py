@@ -291,3 +291,33 @@ def test_labels_and_months(spark):
         (None, "", "13 -  - x"),
         (None, None, " - "),
     ]
+
+
+def test_amounts_that_are_no_numbers(spark):
+    """As in pandas: sums of results skip them, guards read them as 0, a running sum goes on behind them."""
+    frame = ledger(
+        spark,
+        {s.CUI: "1", s.MONTH: "1", s.PIA: "NaN", s.PIM: 100, s.ACCRUED: "NaN"},
+        {s.CUI: "2", s.MONTH: "2", s.PIA: 50, s.PIM: 250, s.ACCRUED: 20},
+        {s.CUI: "2", s.MONTH: "3", s.ACCRUED: 5},
+    )
+    assert rows(plans.project_totals(frame)) == [(2, 350.0, 200.0)]
+    assert [str(v) for v in rows(plans.cumulative_evolution(frame), "cumulative_accrued")] == ["nan", "20.0", "25.0"]
+    broken = ledger(spark, {s.PIM: "NaN", s.ACCRUED: 3, s.CERTIFIED: "NaN", s.COMMITTED_ANNUAL: "NaN", s.PIA: "NaN"})
+    assert rows(plans.kpi_ieg(broken)) == [0.0] or rows(plans.kpi_ieg(broken)) == [(0.0,)]
+    assert plans.kpi_idg(broken).first() == (0.0, 0.0)
+    assert plans.kpi_iv_pim(broken).first()[0] == 0.0
+    assert plans.execution_overview(broken).first().pct == 0.0
+    assert rows(plans.cumulative_evolution(broken), "pct_accrued") == [0.0]
+
+
+def test_cube_merges_lines(spark):
+    """NULL and a number give the number, all NULL stays NULL, NaN stays NaN."""
+    lines = ledger(
+        spark,
+        {s.MONTH: "1", s.PIA: None, s.PIM: "NaN", s.PAID: None},
+        {s.MONTH: "1", s.PIA: 7, s.PIM: 1, s.PAID: None},
+        {s.MONTH: "2", s.PIA: 1, s.PIM: 2, s.PAID: 3},
+    )
+    found = rows(plans.monthly_cube(lines).orderBy(s.MONTH), s.PIA, s.PIM, s.PAID)
+    assert [tuple(map(str, row)) for row in found] == [("7.0", "nan", "None"), ("1.0", "2.0", "3.0")]

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from checks import ledgers
+from checks.star import star_ledger
 from fiscal_ledger import LedgerFilter, plans
 from fiscal_ledger import schema as s
-from fiscal_ledger.sources import normalise, star_ledger
+from fiscal_ledger.sources import normalise
 from tests.conftest import SF_DIR
 
 
@@ -76,9 +77,9 @@ SHUFFLES = {
     "breakdown_iopr": 2,
     "project_list": 2,
     "project_totals": 2,
-    "project_lookup": 2,
+    "project_lookup": 3,
     "top_functions": 2,
-    "lifecycle_audit": 4,
+    "lifecycle_audit": 3,
 }
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from fiscal_ledger.functions import guarded_pct, nullif_pct, raw_div, raw_pct, raw_pct_or_0
 
 INF, NAN = math.inf, math.nan
-PAIRS = [(1.0, 4.0), (3.0, 0.0), (-3.0, 0.0), (0.0, 0.0), (1.0, None), (1.0, -4.0), (None, 4.0), (None, 0.0), (NAN, 0.0)]
+PAIRS = [(1.0, 4.0), (3.0, 0.0), (-3.0, 0.0), (0.0, 0.0), (1.0, None), (1.0, -4.0), (None, 4.0), (None, 0.0), (NAN, 0.0), (1.0, NAN)]
 EXPECTED = {
-    guarded_pct: [25.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0],
-    nullif_pct: [25.0, None, None, None, None, -25.0, None, None, None],
-    raw_div: [0.25, INF, -INF, NAN, None, -0.25, None, None, NAN],
-    raw_pct: [25.0, INF, -INF, NAN, None, -25.0, None, None, NAN],
-    raw_pct_or_0: [25.0, INF, -INF, 0.0, 0.0, -25.0, 0.0, 0.0, 0.0],
+    guarded_pct: [25.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0, 0.0],
+    nullif_pct: [25.0, None, None, None, None, -25.0, None, None, None, NAN],
+    raw_div: [0.25, INF, -INF, NAN, None, -0.25, None, None, NAN, NAN],
+    raw_pct: [25.0, INF, -INF, NAN, None, -25.0, None, None, NAN, NAN],
+    raw_pct_or_0: [25.0, INF, -INF, 0.0, 0.0, -25.0, 0.0, 0.0, 0.0, 0.0],
 }
 
 

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import ledgers
+from checks.star import star_ledger
 from fiscal_ledger import ledger_ingest, open_ledger, plans, read_ledger, scan_files
 from fiscal_ledger import schema as s
 from fiscal_ledger import settings
-from fiscal_ledger.sources import normalise, star_ledger
+from fiscal_ledger.sources import normalise
 from tests.conftest import SF_DIR
 from tests.micro import ledger, raw_ledger, rows
 
@@ -90,7 +91,7 @@ def test_fixture_checksums(spark):
         F.count(s.PROJECT),
         F.count(s.FUNDING),
     )
-    assert rows(totals) == [(60000, 7, 56, 100, 24, 1951, 7, 59414, 59686, 58318, 51378)]
+    assert rows(totals) == [(120000, 7, 56, 100, 24, 1951, 7, 118828, 119372, 116636, 102756)]
     assert rows(plans.kpi_summary(frame)) == [
         (2726931089.0, 3550927321.0, 2982718813.0, 2386154883.0, 1789611176.0, 1093635127.0, 1028021463.0)
     ]
@@ -112,6 +113,37 @@ def test_shared_folder_is_the_one_the_session_names(spark, monkeypatch):
             settings.new_table_path(Session(spark_master=master), "typed")
 
 
+def test_column_names_in_any_case(spark, tmp_path):
+    full = raw_ledger(spark, {s.YEAR: 2026, s.PIM: 5}).toDF(*(c.lower() for c in s.COLUMNS))
+    mixed = raw_ledger(spark, {s.YEAR: 2025, s.PIM: 7}).withColumnRenamed(s.PIM, s.PIM.title())
+    for name, frame in (("lower", full), ("mixed", mixed)):
+        frame.write.parquet(str(tmp_path / name))
+    found = normalise(scan_files(spark, [str(tmp_path / "lower"), str(tmp_path / "mixed")]))
+    assert found.columns == list(s.COLUMNS)
+    assert rows(found, s.YEAR, s.PIM) == [(2026, 5.0), (2025, 7.0)]
+    assert rows(normalise(full), s.PIM) == [5.0]
+
+
+def test_absent_and_doubled_columns_raise(spark, tmp_path):
+    raw = raw_ledger(spark, {s.YEAR: 2026})
+    raw.drop(s.PIM, s.GOAL).write.parquet(str(tmp_path / "absent"))
+    with pytest.raises(ValueError, match=f"{s.PIM}, {s.GOAL}|{s.GOAL}, {s.PIM}"):
+        scan_files(spark, [str(tmp_path / "absent")])
+    with pytest.raises(ValueError, match=s.PIM):
+        normalise(raw.drop(s.PIM))
+    raw.write.parquet(str(tmp_path / "full"))  # one file has them: NULL where they are missing
+    assert scan_files(spark, [str(tmp_path / "full"), str(tmp_path / "absent")]).count() == 2
+    doubled = raw.select("*", F.lit("1").alias(s.PIM.lower()))
+    with pytest.raises(ValueError, match="differ only in case"):
+        normalise(doubled)
+
+
+def test_lines_without_a_year_are_scanned(spark, tmp_path):
+    raw = raw_ledger(spark, {s.YEAR: 2025, s.PIM: 1}, {s.YEAR: None, s.PIM: 2})
+    found = ledgers._write_yearly_files(raw, str(tmp_path / "years"))
+    assert sorted(rows(found, s.PIM)) == ["1", "2"]
+
+
 def test_null_amounts_survive_the_table(spark, tmp_path):
     frame = ledger(spark, {s.PIM: "NaN", s.PIA: "inf", s.ACCRUED: None, s.CUI: None})
     table = ledger_ingest(frame, str(tmp_path / "table"))
@@ -130,7 +162,7 @@ def test_a_part_with_a_third_of_the_lines(spark, tmp_path):
     lines.withColumn("l_partkey", hot).repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
     expected = star_ledger(spark, str(tmp_path))
     count = expected.count()
-    assert count == lines.count()
+    assert count == 2 * lines.count()
 
     settings_ = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
