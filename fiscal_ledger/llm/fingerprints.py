@@ -24,7 +24,7 @@ BINS = 32
 PICKED = 2
 # Rows meant for one group of neighbouring ids, and the most groups, whose bounds the driver holds.
 GROUP_ROWS = 1000
-MOST_GROUPS = 4096
+MOST_GROUPS = 16_384
 
 # A run is one number: 40 bits of its hash, then 24 bits of its place in the text.
 _PLACE_BITS = 24
@@ -186,22 +186,14 @@ def with_next(docs: DataFrame, id_column: str, columns: tuple[str, ...], tie: st
     order = sorted(firsts, reverse=True)
     hosts = dict(zip(order[1:] + order[:1], order, strict=True))  # group -> the group its first row visits
     own = F.struct(F.col("_group").alias("group"), F.lit(0).alias("guest"))
-    if hosts:
-        host = F.element_at(
-            F.map_from_arrays(F.array(*map(F.lit, hosts)), F.array(*map(F.lit, hosts.values()))), F.col("_group")
-        )
-        top = F.element_at(
-            F.map_from_arrays(
-                F.array(*map(F.lit, firsts)), F.array(*(F.lit(v).cast("bigint") for v in firsts.values()))
-            ),
-            F.col("_group"),
-        )
-        visits = F.col(id_column).eqNullSafe(top)
-        places = F.when(visits, F.array(own, F.struct(host.alias("group"), F.lit(1).alias("guest")))).otherwise(
-            F.array(own)
-        )
-    else:
-        places = F.array(own)
+    numbers = range(-1, max(firsts, default=-1) + 1)  # looked up by place in an array, from group -1 on
+
+    def of_group(values: dict, kind: str) -> Column:
+        return F.get(F.array(*(F.lit(values.get(g)).cast(kind) for g in numbers)), F.col("_group") + 1)
+
+    visits = F.col(id_column).eqNullSafe(of_group(firsts, "bigint"))
+    host = of_group(hosts, "int")
+    places = F.when(visits, F.array(own, F.struct(host.alias("group"), F.lit(1).alias("guest")))).otherwise(F.array(own))
     placed = dealt.withColumn("_place", F.explode(places))
     row = Window.partitionBy("_place.group").orderBy("_place.guest", F.desc(id_column), tie)
     led = placed.withColumns({f"next_{c}": F.lead(c).over(row) for c in columns})
