@@ -65,6 +65,7 @@ def project_lookup(ledger: DataFrame, where: Where = None) -> DataFrame:
         .where(is_capital())
         .select(F.col(s.CUI).alias("cui"), label.alias("label"))
         .distinct()
+        .repartition("cui")  # without it the optimizer drops the distinct, since a maximum does not need it
         .groupBy("cui")
         .agg(F.max("label").alias("project_label"))
         .orderBy("project_label")
