@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fiscal_ledger import schema as s
 from fiscal_ledger.sources.files import normalise
@@ -20,11 +19,14 @@ def write_by_year(frame: DataFrame, path: str, rebalance: bool) -> None:
     Only the years in the frame are replaced, so one year can be refreshed on
     its own. Tasks that read yearly files hold one year each and need no
     shuffle. A frame whose tasks hold every year (after a join or a group-by)
-    would write tasks x years small files; ``rebalance`` shuffles it by
-    year first, and AQE splits a year that is too big for one task.
+    would write tasks x years small files; ``rebalance`` deals it out in ranges of
+    the row order first. Files then hold ranges of CUIs that don't overlap, so reading
+    one project skips most of them. The goal at the end of the range
+    columns spreads a CUI with very many lines over several tasks. Finding the ranges
+    takes a second pass over the frame, which pays off when the table is read often.
     """
     if rebalance:
-        frame = frame.hint("rebalance", F.col(s.YEAR))
+        frame = frame.repartitionByRange(*CLUSTERING, s.GOAL_CODE)
     (
         frame.sortWithinPartitions(*CLUSTERING)
         .write.partitionBy(s.YEAR)

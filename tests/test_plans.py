@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from checks import ledgers
 from checks.star import star_ledger
-from fiscal_ledger import LedgerFilter, plans
+from fiscal_ledger import LedgerFilter, ledger_ingest, plans
 from fiscal_ledger import schema as s
 from fiscal_ledger.sources import normalise
 from tests.conftest import SF_DIR
@@ -150,7 +150,22 @@ def test_methods_with_coercion_are_small_enough_to_compile(spark, query):
     assert max(method_sizes(spark, lambda: normalise(star_ledger(spark, SF_DIR)))) <= 8000
 
 
-def test_rebalanced_write_splits_by_year(spark):
-    """One hint, so that AQE may split a year that is too large for a task."""
-    frame = normalise(ledgers.yearly_scan(spark, SF_DIR)).hint("rebalance", F.col(s.YEAR))
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan(frame)
+def test_rebalanced_write_deals_out_ranges(spark, tmp_path):
+    """Files of a year and class hold CUIs that don't overlap, and a hot CUI is spread over several."""
+    raw = ledgers.yearly_scan(spark, SF_DIR)
+    hot = F.when(F.col(s.GOAL_CODE) < "0014", s.CATCH_ALL_CUI).otherwise(F.col(s.CUI))
+    one = raw.withColumns({s.CUI: hot, s.EXPENSE_CLASS: F.lit("6"), s.YEAR: F.lit(2000)})
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        table = ledger_ingest(one, str(tmp_path / "table"), rebalance=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("lines"), F.min(s.CUI).alias("low"), F.max(s.CUI).alias("high")
+    )
+    ranges = sorted((r.low, r.high, r.lines) for r in files.collect() if r.low is not None)
+    assert len(ranges) >= 6
+    assert all(one[1] <= other[0] for one, other in zip(ranges, ranges[1:]))
+    assert sum(r[0] <= s.CATCH_ALL_CUI <= r[1] for r in ranges) >= 2
+    assert max(r[2] for r in ranges) < 0.3 * table.count()
