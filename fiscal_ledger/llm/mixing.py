@@ -68,8 +68,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def _slopes(targets: DataFrame, ramp: float) -> DataFrame:
     """Add ``slope``: late sources rise, early ones fall; weighted by target the slopes add up to 0."""
     everything = Window.partitionBy()
-    centre = F.sum(F.col("place") * F.col("target")).over(everything) / F.sum("target").over(everything)
-    off = targets.withColumn("_off", F.coalesce(F.col("place") - F.try_divide(centre, F.lit(1.0)), F.lit(0.0)))
+    weighted = F.sum(F.col("place") * F.col("target")).over(everything)
+    centre = F.try_divide(weighted, F.sum("target").over(everything))
+    off = targets.withColumn("_off", F.coalesce(F.col("place") - centre, F.lit(0.0)))
     widest = F.max(F.abs("_off")).over(everything)
     return off.withColumn(
         "slope", F.when(widest > 0, F.lit(ramp) * F.col("_off") / widest).otherwise(F.lit(0.0))

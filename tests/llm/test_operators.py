@@ -47,6 +47,21 @@ def test_empty_tables(spark, empty, folder, name):
     assert nothing.columns == QUERIES[name](spark, folder).columns
 
 
+def test_nothing_but_blanks(spark, tmp_path):
+    """Documents and pages without any text, vectors without any value."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, [None, "", " \n"][i % 3], None, None, 0) for i in range(6)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, None, [None, ""][i % 2]) for i in range(4)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i, None, None) for i in range(4)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    rows = {number: query(number)(spark, folder).collect() for number in range(1, 11)}
+    assert all(len(rows[n]) == (4 if n in (2, 3, 9) else 6) for n in rows)
+    assert all(r.taken == 0 and r.target == 0 for r in rows[10])
+    assert not any(r.rejected for r in rows[8])
+    assert {r.class_id for r in rows[6]} == {0, 2}  # null counts as empty; the blank text is another
+    assert all(r.kept and r.n_links == 0 for r in rows[3])
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, folder, name):
     connection = duckdb.connect()
