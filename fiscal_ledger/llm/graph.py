@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from fiscal_ledger.settings import new_table_path
 
 
-def _step(edges: DataFrame, path: str) -> DataFrame:
-    spark = edges.sparkSession
-    edges.write.parquet(path)
-    return spark.read.schema("u bigint, v bigint").parquet(path)
+def _table(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# The smallest neighbours are tables: Spark splits a hot node only where both sides of a join come from a shuffle.
+
+
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
     """Connect every larger neighbour of u to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = _table(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), f"{path}-large")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, path: str) -> DataFrame:
     """Connect u and its smaller neighbours to the smallest of them; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = _table(edges, f"{path}-edges")
+    least = _table(edges.groupBy("u").agg(F.min("v").alias("m")), f"{path}-small")
     others = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,13 +41,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     path = new_table_path(edges.sparkSession, "components")
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = _step(ordered, f"{path}/0")
+    current = _table(ordered, f"{path}/0")
     seen, step = None, 0
     while True:
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen, step = state, step + 1
-        current = _step(_small_star(_large_star(current)), f"{path}/{step}")
+        to = f"{path}/{step}"
+        current = _table(_small_star(_large_star(current, to), to), to)
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketches = _table(_sketch_table(texts), f"{path}/sketches")
     rows = sketches.select("node", F.explode("keys").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
-    leaders = leaders.where("leader < _most").select("key", "leader")
+    # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
+    leaders = _table(leaders.where("leader < _most").select("key", "leader"), f"{path}/leaders")
     pairs = _table(
         rows.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(),
         f"{path}/pairs",
@@ -289,11 +290,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     same = texts["node"].eqNullSafe(wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     words = _table(_word_table(texts.join(wanted, same, "left_semi")), f"{path}/words")
     links = _table(_verified(pairs, words), f"{path}/links")
-    classes = components(links)
+    classes = _table(components(links), f"{path}/components")
     members = sketches.select("doc_id", "node").join(classes, "node", "left").select(
         "doc_id", "node", F.coalesce("component", "node").alias("class")
     )
-    least = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    least = _table(members.groupBy("class").agg(F.min("doc_id").alias("class_id")), f"{path}/classes")
     return members.join(least, "class").select("doc_id", "node", "class_id")
 
 
