@@ -47,6 +47,8 @@ TOWARDS_BAD = 0.5
 # n-grams are numbers of 12 bits per symbol, the last symbol lowest.
 BITS = 12
 PLAIN = 0xF00
+# Keys that a language is dealt over where rows join something known per language.
+SALTS = 64
 # Distinct n-grams a task holds before it hands on their counts.
 HELD_COUNTS = 1 << 20
 
@@ -146,6 +148,13 @@ def _pack(docs: DataFrame, folder: str) -> DataFrame:
     return docs.sparkSession.read.schema(_MANIFEST).parquet(manifest)
 
 
+def _with_language(rows: DataFrame, table: DataFrame, *by: str) -> DataFrame:
+    """Join a small table of one row per language; each language is dealt over SALTS keys."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return placed.join(salted, ["lang", "_salt"], "left").drop("_salt")
+
+
 def _written(frame: DataFrame, folder: str, name: str) -> DataFrame:
     frame.write.parquet(f"{folder}/{name}")
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
@@ -213,7 +222,7 @@ def _model(counts: DataFrame, folder: str, order: int) -> list[tuple[DataFrame,
             )
         counts = _written(counts, folder, f"counts-{size}")
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        discounted = counts.join(_discounts(counts), "lang").select(
+        discounted = _with_language(counts, _discounts(counts), "key").select(
             "lang", "key", (F.col("c") - discount).alias("kept"), discount.alias("removed"), "c"
         )
         contexts = discounted.groupBy("lang", F.shiftright("key", BITS).alias("context")).agg(
@@ -357,10 +366,9 @@ def score_quality(
     answers = _written(answers.select("lang", "key", F.log("p").alias("logp")), folder, "answers")
     scores = _written(_block_scores(questions.join(answers, ["lang", "key"]), folder), folder, "scores")
 
-    trained = levels[0][1].select("lang").distinct().withColumn("trained", F.lit(True))
-    judged = scores.join(trained, "lang", "left").join(verdicts, "doc_id", "left")
-    means = judged.where("trusted = 1").groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
-    shrunk = judged.join(means, "lang", "left").withColumn(
+    judged = scores.join(verdicts, "doc_id", "left")
+    means = judged.where("trusted = 1 AND chars > 0").groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
+    shrunk = _with_language(judged, means, "block", "row").withColumn(
         "score", (F.col("nll") + PRIOR_CHARS * F.col("mean")) / (F.col("chars") + PRIOR_CHARS)
     )
     good = F.percentile_approx(F.when(F.col("trusted") == 1, F.col("score")), F.lit(TRUSTED_QUANTILE), F.lit(10000))
@@ -370,8 +378,8 @@ def score_quality(
     thresholds = thresholds.select(
         "lang", (F.col("good") + TOWARDS_BAD * F.coalesce(apart, F.lit(0.0))).alias("limit")
     )
-    is_scored = F.coalesce("trained", F.lit(False)) & (F.col("chars") > 0)
-    decisions = shrunk.join(thresholds, "lang", "left").select(
+    is_scored = F.col("mean").isNotNull() & (F.col("chars") > 0)
+    decisions = _with_language(shrunk, thresholds, "block", "row").select(
         "block",
         "row",
         "doc_id",
