@@ -59,6 +59,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         .where("n > 1 AND first IS NOT NULL")
         .select("digest", "first")
     )
+    # A table of its own: Spark splits a hot payload only where both sides of the join come straight from a shuffle.
+    path = new_table_path(pages.sparkSession, "warc-repeated")
+    repeated.write.parquet(path)
+    repeated = pages.sparkSession.read.schema(repeated.schema).parquet(path)
     joined = marked.join(repeated, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
