@@ -177,14 +177,15 @@ def _lists(pairs: DataFrame) -> DataFrame:
     ).select("u", "one.v", "one.sim")
 
 
-def _descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     """One round: compare the nodes that meet around each node with each other."""
     meeting = (
         lists.select(F.col("u").alias("centre"), F.col("v").alias("node"))
         .unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("node")))
         .distinct()
     )
-    counts = meeting.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    # A table of its own: Spark splits a hub only where both sides of the join come straight from a shuffle.
+    counts = _table(meeting.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), f"{path}-counts")
     placed = meeting.join(counts, "centre").select(
         "centre", "node", F.pmod(F.xxhash64("node", "centre"), "chunks").alias("chunk")
     )
@@ -308,7 +309,7 @@ def near_duplicate_vectors(
     lists = _table(_lists(_start(nodes, bits)), f"{path}/lists-0")
     recall = 0.0
     for number in range(1, rounds + 1):
-        lists = _table(_descend(lists, nodes), f"{path}/lists-{number}")
+        lists = _table(_descend(lists, nodes, f"{path}/lists-{number}"), f"{path}/lists-{number}")
         recall = _audit(lists, truth)
         if recall >= RECALL:
             break
