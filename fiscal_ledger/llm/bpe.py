@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscal_ledger.llm.memory import releasing
+
 # Fixed value: how byte-level BPE splits text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,8 +45,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 # Encoded words, in two generations, and looked-up arcs that a Python worker keeps: some 150 MB.
-KEPT_WORDS = 300_000
-KEPT_ARCS = 400_000
+KEPT_WORDS = 240_000
+KEPT_ARCS = 300_000
+# Rows encoded or decoded at once.
+ROWS = 500
 
 
 def byte_symbols() -> dict[str, int]:
@@ -193,7 +198,7 @@ class ByteLevelBpe:
         labels = {number: spelt(token) for token, number in vocabulary.items()}
         pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
         merges = [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in pairs]
-        self.automaton = MergeAutomaton(labels, merges)
+        self._compile = lambda: MergeAutomaton(labels, merges)
         self.special: dict[str, int] = {}
         for added in spec.get("added_tokens", ()):
             if added["single_word"] or added["lstrip"] or added["rstrip"]:
@@ -207,6 +212,13 @@ class ByteLevelBpe:
         self._cut = regex.compile(f"({alternatives})")
         self._words = _Words(self)
 
+    @cached_property
+    def automaton(self) -> MergeAutomaton:
+        """Compiled when the first word is encoded: decoding needs the labels only."""
+        compiled = self._compile()
+        del self._compile
+        return compiled
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         return self.automaton.encode(word.encode())
 
@@ -287,6 +299,12 @@ def load(path: str) -> ByteLevelBpe:
     return _loaded[path]
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def bpe_encode(
     docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -298,7 +316,7 @@ def bpe_encode(
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in _parts(batches):
             encoded = [bpe.encode(text.as_py()) for text in batch.column("_text")]
             offsets = np.zeros(len(encoded) + 1, np.int32)
             np.cumsum([len(ids) for ids in encoded], out=offsets[1:])
@@ -307,7 +325,7 @@ def bpe_encode(
             columns = [batch.column(id_column), ids, *([batch.column("_text")] if with_text else [])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(releasing(encode), schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -316,7 +334,7 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_column: str = "ids",
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in _parts(batches):
             column = batch.column(ids_column)
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
             texts = [
@@ -329,7 +347,7 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_column: str = "ids",
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to]
             )
 
-    return encoded.mapInArrow(decode, schema)
+    return encoded.mapInArrow(releasing(decode), schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscal_ledger.llm.graph import components
+from fiscal_ledger.llm.memory import releasing
 from fiscal_ledger.settings import new_table_path
 
 THRESHOLD = 0.93
@@ -95,7 +96,7 @@ def _nodes(vectors: DataFrame) -> DataFrame:
         "embedding",
     )
     schema = "node bigint, grp string, weight bigint, least bigint, unit binary, half binary"
-    return named.mapInArrow(scale, schema).where("unit IS NOT NULL")
+    return named.mapInArrow(releasing(scale), schema).where("unit IS NOT NULL")
 
 
 def _nearest(names: np.ndarray, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def _start(nodes: DataFrame, bits: int) -> DataFrame:
                 )
 
     dealt = nodes.select("grp", "node", "half").mapInArrow(
-        deal, "grp string, part bigint, signs bigint, node bigint, half binary"
+        releasing(deal), "grp string, part bigint, signs bigint, node bigint, half binary"
     )
     block = ["grp", "part", "signs"]
     large = dealt.groupBy(block).count().where(F.col("count") > MOST_BLOCK)
@@ -224,7 +225,7 @@ def _true_links(nodes: DataFrame, threshold: float) -> dict[int, int]:
                     [pa.array(queries), pa.array(linked.sum(axis=1).astype(np.int64))], names=["node", "links"]
                 )
 
-    counted = nodes.select("node", "grp", "unit").mapInArrow(count, "node bigint, links bigint")
+    counted = nodes.select("node", "grp", "unit").mapInArrow(releasing(count), "node bigint, links bigint")
     return {row.node: row.links for row in counted.groupBy("node").agg(F.sum("links").alias("links")).collect()}
 
 
@@ -249,7 +250,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         nodes.select(F.col("node").alias("v"), F.col("unit").alias("other")), "v"
     )
     # One length per batch: lists hold nodes of one group only, and sorting by group keeps those together.
-    return joined.sortWithinPartitions("grp").mapInArrow(_per_length(check), "u bigint, v bigint")
+    return joined.sortWithinPartitions("grp").mapInArrow(releasing(_per_length(check)), "u bigint, v bigint")
 
 
 def _per_length(of):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscal_ledger.llm.memory import releasing
+
 # Elements of the HTML standard by how they are treated.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "noembed", "noframes", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -261,7 +263,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 [batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"]
             )
 
-    found = rows.mapInArrow(extract, schema)
+    found = rows.mapInArrow(releasing(extract), schema)
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 

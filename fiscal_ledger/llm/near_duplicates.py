@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscal_ledger.llm.graph import components
+from fiscal_ledger.llm.memory import releasing
 from fiscal_ledger.settings import new_table_path
 
 K = 5
@@ -143,7 +144,7 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
                 )
                 first = last
 
-    return texts.mapInArrow(of, "doc_id bigint, node bigint, keys array<bigint>")
+    return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>")
 
 
 def edit_distance_within(one: np.ndarray, other: np.ndarray, most: int) -> int | None:
@@ -254,7 +255,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     sides = pairs.join(words.select(F.col("node").alias("u"), F.col("words").alias("one")), "u").join(
         words.select(F.col("node").alias("v"), F.col("words").alias("other")), "v"
     )
-    return sides.mapInArrow(check, "u bigint, v bigint")
+    return sides.mapInArrow(releasing(check), "u bigint, v bigint")
 
 
 def _word_table(texts: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def _word_table(texts: DataFrame) -> DataFrame:
             found = [hash_words([t])[0].astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "words"])
 
-    return texts.mapInArrow(of, "node bigint, words binary")
+    return texts.mapInArrow(releasing(of), "node bigint, words binary")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fiscal_ledger.llm.memory import release, releasing
 from fiscal_ledger.settings import new_table_path
 
 ORDER = 4
@@ -144,7 +145,7 @@ def _pack(docs: DataFrame, folder: str) -> DataFrame:
             yield finish(held)
 
     manifest = f"{folder}/manifest"
-    docs.mapInArrow(pack, _MANIFEST).write.parquet(manifest)
+    docs.mapInArrow(releasing(pack), _MANIFEST).write.parquet(manifest)
     return docs.sparkSession.read.schema(_MANIFEST).parquet(manifest)
 
 
@@ -191,7 +192,7 @@ def _trusted_counts(chosen: DataFrame, folder: str) -> DataFrame:
                     yield from handed_on()
         yield from handed_on()
 
-    return chosen.mapInArrow(count, schema).groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    return chosen.mapInArrow(releasing(count), schema).groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -263,6 +264,7 @@ def _block_scores(answered: DataFrame, folder: str) -> DataFrame:
     """Score the documents of each block from the answers (block, lang, key, logp) to its questions."""
 
     def score(table: pa.Table) -> pa.Table:
+        release()  # what the block before has left
         name = table.column("block")[0].as_py()
         keys, logs = table.column("key").to_numpy(), table.column("logp").to_numpy()
         langs = table.column("lang").combine_chunks().dictionary_encode()
@@ -323,7 +325,7 @@ class Scored:
                     kept = table.take(pa.array(sorted(numbers))).rename_columns(names)
                     yield from kept.to_batches(max_chunksize=2000)
 
-        return rows.mapInArrow(read, self._schema)
+        return rows.mapInArrow(releasing(read), self._schema)
 
 
 def score_quality(

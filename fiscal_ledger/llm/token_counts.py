@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscal_ledger.llm.memory import releasing
+
 # Bytes handed to the tokenizer at once, and the length from which a text is split.
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 16
@@ -125,7 +127,7 @@ def token_counts(
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(releasing(count), schema)
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
