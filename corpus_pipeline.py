@@ -17,6 +17,10 @@ from fiscal_ledger.llm.repeats import without_repeats
 from fiscal_ledger.settings import new_table_path
 
 
+# A passage of 50 words is some 300 bytes long, and seldom less than 240.
+PASSAGE_BYTES = 200
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -29,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without strings of 400 bytes that occur elsewhere; documents stay, even when nothing is left."""
-    return without_repeats(docs)
+    """The texts without passages that occur elsewhere; documents stay, even when nothing is left."""
+    return without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

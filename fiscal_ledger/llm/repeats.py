@@ -1,11 +1,11 @@
 """Exact removal of long repeated byte strings, by a run-length index over candidate passages.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else in the corpus.
+A byte goes if a string of ``LENGTH`` bytes (or another length of ANCHOR or more) that covers it also starts anywhere else in the corpus.
 
 1. **Anchors.** In every window of LENGTH bytes the ``ANCHOR`` bytes with the smallest hash are
    its anchor. Equal windows choose the same anchor at the same offset, so strings can only be
    equal if they lie around equal anchors. A text has about one anchor in 180 bytes.
-2. **Contexts.** An anchor's context is all the windows that contain it. Anchors that
+2. **Contexts.** An anchor's context is all the windows it is the anchor of. Anchors that
    occur once are done. Contexts that occur more than once are repeated as a whole. What is left are
    contexts seen once around an anchor seen more often.
 3. **Index.** Contexts of the same anchors meet in one task, some ``BLOCK_BYTES`` at a time. There a
@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscal_ledger.llm.memory import releasing
 from fiscal_ledger.settings import new_table_path
 
 LENGTH = 400
 ANCHOR = 32
 # Bytes of text that are hashed at once, and bytes of contexts that are indexed at once.
 PIECE_BYTES = 2 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 MOST_KINDS = 256
 
 _NO_ID = -(1 << 63)
@@ -74,6 +75,10 @@ class _Rolling:
         self._sums = np.zeros(size + 1, np.uint64)
         np.cumsum(values[data] * up[:size], out=self._sums[1:], dtype=np.uint64)
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._powers.clear()
+
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self._sums[end] - self._sums[begin]) * self._down[begin])
 
@@ -103,32 +108,34 @@ def context_hash(rolling: _Rolling, begin: np.ndarray, at: np.ndarray, end: np.n
     return _mix(rolling.of(begin, end) ^ _mix(place + _U(1)))
 
 
-def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, place, anchor hash, context hash) of every anchor of some texts laid end to end."""
+def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(document, place, context's begin and end, anchor hash, context hash) of every anchor of some texts, end to end."""
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none
+    if len(data) < length:
+        return (none,) * 6
     anchors = _Rolling(data, _BASES[0])
     hashes = anchors.all(ANCHOR)
     bits = _U(len(data).bit_length())
     places = np.arange(len(hashes), dtype=np.uint64)
-    minima = _window_minima((hashes >> bits << bits) | places, LENGTH - ANCHOR + 1)
+    minima = _window_minima((hashes >> bits << bits) | places, length - ANCHOR + 1)
     # Windows that lie inside one text.
     starts, ends = offsets[:-1], offsets[1:]
-    long = ends - starts >= LENGTH
+    long = ends - starts >= length
     change = np.zeros(len(minima) + 1, np.int64)
     np.add.at(change, starts[long], 1)
-    np.add.at(change, np.minimum(ends[long] - LENGTH + 1, len(minima)), -1)
-    inside = np.cumsum(change[:-1]) > 0
-    chosen = minima[inside] & ((_U(1) << bits) - _U(1))
+    np.add.at(change, np.minimum(ends[long] - length + 1, len(minima)), -1)
+    windows = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    chosen = (minima[windows] & ((_U(1) << bits) - _U(1))).astype(np.int64)
     if not len(chosen):
-        return none, none, none, none
-    chosen = np.unique(chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]).astype(np.int64)
+        return (none,) * 6
+    # From window to window the anchor stays or moves on, so the windows of an anchor are neighbours.
+    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+    last = np.concatenate((first[1:], [len(chosen)])) - 1
+    chosen, begin, end = chosen[first], windows[first], windows[last] + length
     document = np.searchsorted(offsets, chosen, side="right") - 1
-    begin = np.maximum(starts[document], chosen + ANCHOR - LENGTH)
-    end = np.minimum(ends[document], chosen + LENGTH)
     contexts = context_hash(_Rolling(data, _BASES[1]), begin, chosen, end)
-    return document, chosen - starts[document], hashes[chosen].view(np.int64), contexts.view(np.int64)
+    start = starts[document]
+    return document, chosen - start, begin - start, end - start, hashes[chosen].view(np.int64), contexts.view(np.int64)
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -145,10 +152,10 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-_ANCHOR_SCHEMA = "id bigint, hash bigint, at int, size int, g bigint, ctx bigint"
+_ANCHOR_SCHEMA = "id bigint, hash bigint, at int, begin int, end int, g bigint, ctx bigint"
 
 
-def _anchor_table(texts: DataFrame) -> DataFrame:
+def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     """Every anchor of every text (id, hash, text)."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +163,16 @@ def _anchor_table(texts: DataFrame) -> DataFrame:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("hash").to_numpy(zero_copy_only=False)
             for first, data, offsets in _pieces(batch.column("text")):
-                document, at, anchors, contexts = find_anchors(data, offsets)
-                sizes = np.diff(offsets)[document]
+                document, *places, anchors, contexts = find_anchors(data, offsets, length)
                 columns = (
-                    ids[first + document], keys[first + document], at.astype(np.int32), sizes.astype(np.int32),
-                    anchors, contexts,
+                    ids[first + document], keys[first + document], *(p.astype(np.int32) for p in places), anchors, contexts
                 )
                 yield pa.RecordBatch.from_arrays(
-                    list(map(pa.array, columns)), names=["id", "hash", "at", "size", "g", "ctx"]
+                    list(map(pa.array, columns)), names=["id", "hash", "at", "begin", "end", "g", "ctx"]
                 )
+        _Rolling.forget()
 
-    return texts.mapInArrow(find, _ANCHOR_SCHEMA)
+    return texts.mapInArrow(releasing(find), _ANCHOR_SCHEMA)
 
 
 def _written(frame: DataFrame, name: str) -> DataFrame:
@@ -175,28 +181,22 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _begin(at: Column, until: Column) -> Column:
-    return F.greatest(F.lit(0), until - LENGTH)
-
-
-def _classify(rows: DataFrame) -> DataFrame:
+def _classify(rows: DataFrame, level: int) -> DataFrame:
     """Add per row: ``n`` (equal contexts), ``kinds`` (distinct contexts of the anchor), ``stands`` (for its equals).
 
-    Everything is counted before it is shuffled; rows join their counts, where Spark splits hot keys.
+    Everything is counted before it is shuffled; rows join a table of the counts, where Spark splits hot keys.
     """
     me = F.xxhash64("id", "hash", "at")
     equals = rows.groupBy("g", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("_one"))
     anchors = equals.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
-    return (
-        rows.join(equals.join(anchors, "g"), ["g", "ctx"]).withColumn("stands", F.col("_one") == me).drop("_one")
-    )
+    counts = _written(equals.join(anchors, "g"), f"counts-{level}")
+    known = rows.join(counts, ["g", "ctx"]).withColumn("stands", F.col("_one") == me).drop("_one")
+    return _written(known, f"classified-{level}")
 
 
 def _marks(rows: DataFrame) -> DataFrame:
     """The contexts that occur more than once, as marked spans."""
-    return rows.where("n > 1").select(
-        "id", "hash", _begin(F.col("at"), F.col("until")).alias("begin"), F.least("size", F.col("at") + LENGTH).alias("end")
-    )
+    return rows.where("n > 1").select("id", "hash", "begin", "end")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -205,13 +205,13 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 _CONTEXT_SCHEMA = (
-    "id bigint, hash bigint, at int, until int, size int, g bigint, kinds bigint, origin int, context binary"
+    "id bigint, hash bigint, at int, until int, begin int, end int, g bigint, kinds bigint, origin int, context binary"
 )
 
 
 def _cut(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """The bytes of the contexts of open anchors."""
-    wanted = rows.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "until", "g", "kinds")).alias("wanted"))
+    wanted = rows.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "until", "begin", "end", "g", "kinds")).alias("wanted"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +223,10 @@ def _cut(texts: DataFrame, rows: DataFrame) -> DataFrame:
                     if (want["at"], want["g"]) in seen:
                         continue  # the list of a row that occurs twice names its places twice
                     seen.add((want["at"], want["g"]))
-                    begin = max(0, want["until"] - LENGTH)
                     values = (
                         batch.column("id")[row].as_py(), batch.column("hash")[row].as_py(), want["at"], want["until"],
-                        len(text), want["g"], want["kinds"], begin, text[begin : want["at"] + LENGTH],
+                        want["begin"], want["end"], want["g"], want["kinds"], want["begin"],
+                        text[want["begin"] : want["end"]],
                     )
                     for column, value in zip(found.values(), values, strict=True):
                         column.append(value)
@@ -235,7 +235,7 @@ def _cut(texts: DataFrame, rows: DataFrame) -> DataFrame:
                     found = {name: [] for name in found}
             yield pa.RecordBatch.from_pydict(found, schema=_arrow_contexts())
 
-    return texts.join(wanted, ["id", "hash"]).mapInArrow(cut, _CONTEXT_SCHEMA)
+    return texts.join(wanted, ["id", "hash"]).mapInArrow(releasing(cut), _CONTEXT_SCHEMA)
 
 
 def _arrow_contexts() -> pa.Schema:
@@ -243,7 +243,7 @@ def _arrow_contexts() -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in _CONTEXT_SCHEMA.split(", "))])
 
 
-def _split(contexts: DataFrame) -> DataFrame:
+def _split(contexts: DataFrame, length: int) -> DataFrame:
     """Two longer anchors for each hot one.
 
     A window around [at, until) has ``slack`` bytes outside it. It holds either half of the slack, rounded up,
@@ -258,9 +258,9 @@ def _split(contexts: DataFrame) -> DataFrame:
                 count = len(offsets) - 1
                 part = {
                     name: column[name].slice(first, count).to_numpy(zero_copy_only=False).astype(np.int64)
-                    for name in ("at", "until", "size", "g", "origin")
+                    for name in ("at", "until", "begin", "end", "g", "origin")
                 }
-                slack = LENGTH - (part["until"] - part["at"])
+                slack = length - (part["until"] - part["at"])
                 left = (slack + 1) // 2
                 rolled, others = _Rolling(data, _BASES[0]), _Rolling(data, _BASES[1])
                 shift = offsets[:-1] - part["origin"]  # from places in the text to places in the piece
@@ -268,11 +268,12 @@ def _split(contexts: DataFrame) -> DataFrame:
                     (1, part["at"] - left, part["until"]),
                     (2, part["at"], part["until"] + slack - left + 1),
                 ):
-                    fits = np.flatnonzero((at >= 0) & (until <= part["size"]) & (slack > 0))
+                    # The parent's windows that contain the longer anchor.
+                    begin, end = np.maximum(part["begin"], until - length), np.minimum(part["end"], at + length)
+                    fits = np.flatnonzero((begin + length <= end) & (slack > 0))
                     if not len(fits):
                         continue
-                    at, until, size, move = at[fits], until[fits], part["size"][fits], shift[fits]
-                    begin, end = np.maximum(0, until - LENGTH), np.minimum(size, at + LENGTH)
+                    at, until, begin, end, move = (values[fits] for values in (at, until, begin, end, shift))
                     anchors = _mix(rolled.of(at + move, until + move) ^ _mix(part["g"][fits].view(np.uint64) + _U(side)))
                     hashes = context_hash(others, begin + move, at + move, end + move)
                     taken = pa.array(fits + first)
@@ -282,7 +283,8 @@ def _split(contexts: DataFrame) -> DataFrame:
                             column["hash"].take(taken),
                             pa.array(at.astype(np.int32)),
                             pa.array(until.astype(np.int32)),
-                            pa.array(size.astype(np.int32)),
+                            pa.array(begin.astype(np.int32)),
+                            pa.array(end.astype(np.int32)),
                             pa.array(anchors.view(np.int64)),
                             column["kinds"].take(taken),
                             column["origin"].take(taken),
@@ -291,48 +293,56 @@ def _split(contexts: DataFrame) -> DataFrame:
                         ],
                         names=[field.split()[0] for field in schema.split(", ")],
                     )
+        _Rolling.forget()
 
-    return contexts.mapInArrow(split, schema)
+    return contexts.mapInArrow(releasing(split), schema)
 
 
 # --- the run-length index -------------------------------------------------------------------------
 
 
-def suffix_array(symbols: np.ndarray, to_end: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling.
+# Symbols that fit a 64-bit key, and masks that keep the first so many of them.
+_PACK = 7
+_FIRST = np.array([((1 << 9 * n) - 1) << 9 * (_PACK - n) for n in range(_PACK + 1)], np.int64)
+
+
+def _packed(symbols: np.ndarray) -> np.ndarray:
+    """The symbols from each place on as one number, the first highest."""
+    keys = np.zeros(len(symbols), np.int64)
+    for step in range(_PACK):
+        keys <<= 9
+        keys[: max(0, len(symbols) - step)] |= symbols[step:]
+    return keys
+
+
+def suffix_array(keys: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling, from packed symbols.
 
     Symbol 0 ends a text; ``to_end`` is the distance to the next end. Ends count as different symbols in order
     of place, so a suffix that runs into one is settled there.
     """
-    size = len(symbols)
-    places = np.arange(size)
-    key = np.zeros(size, np.int64)
-    for step in range(7):
-        shifted = np.zeros(size, np.int64)
-        shifted[: max(0, size - step)] = symbols[step:]
-        key = key << 9 | np.where(to_end > step, shifted, 0)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    fresh = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    rank = np.empty(size, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, places, 0))
-    length = 7
+    size = len(keys)
+    key = keys & _FIRST[np.minimum(to_end, _PACK)]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(size, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(size, dtype=np.int32), 0))
+    length = _PACK
     while True:
-        alone = fresh & np.concatenate((fresh[1:], [True]))
-        slots = np.flatnonzero(~alone)
+        slots = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True])))).astype(np.int32)
         if not len(slots):
             return order
         members = order[slots]
-        ahead = np.minimum(members + length, size - 1)
         # Those that have met an end within the length are equal up to it; the place decides.
-        second = np.where(to_end[members] < length, members, rank[ahead])
-        group = rank[members]
-        arranged = np.argsort(group * (size + 1) + second, kind="stable")
-        members, group, second = members[arranged], group[arranged], second[arranged]
+        second = np.where(to_end[members] < length, members, rank[np.minimum(members + length, size - 1)])
+        both = rank[members].astype(np.int64) << 32 | second
+        arranged = np.argsort(both, kind="stable")
+        members, both = members[arranged], both[arranged]
         order[slots] = members
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        new = np.concatenate(([True], both[1:] != both[:-1]))
         fresh[slots] = new
-        rank[members] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[members] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots), dtype=np.int32), 0))]
         length *= 2
 
 
@@ -341,7 +351,7 @@ class RunLengthIndex:
 
     def __init__(self, texts: list[bytes]):
         total = sum(map(len, texts)) + len(texts)
-        self.symbols = np.zeros(total, np.int64)
+        self.symbols = np.zeros(total, np.int16)
         self.starts = np.zeros(len(texts), np.int64)
         at = 0
         for number, text in enumerate(texts):
@@ -350,8 +360,10 @@ class RunLengthIndex:
             self.symbols[at : at + len(text)] += 1
             at += len(text) + 1
         ends = np.flatnonzero(self.symbols == 0)
-        self.to_end = ends[np.searchsorted(ends, np.arange(total))] - np.arange(total)
-        self.order = suffix_array(self.symbols, self.to_end)
+        lengths = np.diff(np.concatenate(([-1], ends)))
+        self.to_end = (np.repeat(ends, lengths) - np.arange(total)).astype(np.int32)
+        self.keys = _packed(self.symbols)
+        self.order = suffix_array(self.keys, self.to_end)
         transform = self.symbols[self.order - 1]  # the first place follows the last end
         heads = np.concatenate(([True], (transform[1:] != transform[:-1]) | (transform[1:] == 0)))
         self.runs = np.flatnonzero(heads)
@@ -366,18 +378,18 @@ class RunLengthIndex:
         here, before = self.order[self.runs], self.order[np.maximum(self.runs - 1, 0)]
         lengths = self._common(here, before)
         lengths[self.runs == 0] = 0
-        known = np.full(len(self.symbols), -1, np.int64)
-        known[here] = np.arange(len(here))
-        last = np.maximum.accumulate(np.where(known >= 0, np.arange(len(known)), 0))
-        return np.maximum(lengths[known[last]] - (np.arange(len(known)) - last), 0)
+        # At a head: the length plus the place, which stays the same until the next head.
+        places = np.arange(len(self.symbols), dtype=np.int32)
+        reach = np.zeros(len(places), np.int32)
+        reach[here] = lengths + here
+        head = np.zeros(len(places), np.int32)
+        head[here] = here
+        return np.maximum(reach[np.maximum.accumulate(head)] - places, 0)
 
     def _common(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         limit = np.minimum(self.to_end[one], self.to_end[other])
-        lengths = np.zeros(len(one), np.int64)
-        if not hasattr(self, "_packed"):
-            padded = np.concatenate((self.symbols, np.zeros(7, np.int64)))
-            self._packed = reduce(lambda key, step: key << 9 | padded[step : step + len(self.symbols)], range(1, 7), padded[: len(self.symbols)])
-        for step, values in ((7, self._packed), (1, self.symbols)):
+        lengths = np.zeros(len(one), np.int32)
+        for step, values in ((_PACK, self.keys), (1, self.symbols)):
             going = np.flatnonzero(lengths + step <= limit)
             while len(going):
                 equal = values[one[going] + lengths[going]] == values[other[going] + lengths[going]]
@@ -412,52 +424,53 @@ def marked_spans(rows: list[tuple[int, int, int, bytes]], length: int = LENGTH)
         places[start : start + span] = (number << 40) + row[2] + np.arange(span)
     marked = index.repeated(places, length).astype(np.int8)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marked, [0]))))
+    numbers = (np.searchsorted(index.starts, edges[::2], side="right") - 1).tolist()
     spans = []
-    for begin, end in zip(edges[::2], edges[1::2], strict=True):
-        number = int(np.searchsorted(index.starts, begin, side="right")) - 1
-        row, shift = rows[number], int(rows[number][2] - index.starts[number])
-        spans.append((row[0], row[1], int(begin) + shift, int(end) - 1 + length + shift))
+    for number, begin, end in zip(numbers, edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        shift = rows[number][2] - int(index.starts[number])
+        spans.append((*rows[number][:2], begin + shift, end - 1 + length + shift))
     return spans
 
 
 _SPAN_SCHEMA = "id bigint, hash bigint, begin int, end int"
 
 
-def _index_spans(contexts: DataFrame) -> DataFrame:
+def _index_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Index the contexts in blocks; all of an anchor's are in one block."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
         def finish(rows: list) -> pa.RecordBatch:
-            columns = list(zip(*marked_spans(rows), strict=True)) or [(), (), (), ()]
+            columns = list(zip(*marked_spans(rows, length), strict=True)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
         rows, held, last = [], 0, None
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("g", "id", "hash", "origin", "context"))
-            for g, *row in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("g", "id", "hash", "begin", "end", "origin", "context"))
+            for g, doc_id, key, begin, end, origin, context in zip(*columns, strict=True):
                 if held >= BLOCK_BYTES and g != last:
                     yield finish(rows)
                     rows, held = [], 0
-                rows.append(tuple(row))
-                held += len(row[-1])
+                rows.append((doc_id, key, begin, context[begin - origin : end - origin]))
+                held += end - begin
                 last = g
         if rows:
             yield finish(rows)
 
-    return contexts.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(mark, _SPAN_SCHEMA)
+    return contexts.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(releasing(mark), _SPAN_SCHEMA)
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, hash, begin, end) of all repeated strings of (id, hash, text); spans may overlap."""
-    anchors = _written(_anchor_table(texts), "anchors")
-    shared = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    anchors = _written(_anchor_table(texts, length), "anchors")
+    # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
+    shared = _written(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated")
     rows = _written(
         anchors.join(shared, "g").withColumn("until", F.col("at") + F.lit(ANCHOR)), "shared"
     )
     spans, indexed = [], []
-    known = _written(_classify(rows), "classified-0")
+    known = _classify(rows, 0)
     contexts = _written(_cut(texts, _open(known)), "contexts-0")
     level = 0
     while True:
@@ -468,22 +481,24 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             break
         level += 1
         # Counts without the bytes; the bytes join them once.
-        children = _written(_split(hot), f"split-{level}")
-        known = _written(_classify(children.drop("kinds")), f"classified-{level}")
+        children = _written(_split(hot, length), f"split-{level}")
+        known = _classify(children.drop("kinds"), level)
         contexts = _open(known).select(*(field.split()[0] for field in _CONTEXT_SCHEMA.split(", ")))
     every = reduce(DataFrame.unionByName, indexed)
-    spans.append(_written(_index_spans(every), "indexed"))
+    spans.append(_written(_index_spans(every, length), "indexed"))
     return reduce(DataFrame.unionByName, spans)
 
 
-def _removed(docs: DataFrame, id_column: str, text_column: str, keep: list[str], whole_characters: bool) -> DataFrame:
+def _removed(
+    docs: DataFrame, id_column: str, text_column: str, keep: list[str], length: int, whole_characters: bool
+) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): ``row`` holds the columns to keep."""
     read = docs.select(
         F.coalesce(F.col(id_column).cast("bigint"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
     ).withColumn("hash", F.xxhash64("text"))
-    spans = repeated_spans(read.select("id", "hash", "text"))
+    spans = repeated_spans(read.select("id", "hash", "text"), length)
     listed = spans.distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = read.join(listed, ["id", "hash"], "left").select("row", "text", "spans")
     schema = joined.select(
@@ -527,24 +542,26 @@ def _removed(docs: DataFrame, id_column: str, text_column: str, keep: list[str],
                 names=["row", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(releasing(remove), schema)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH
+) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` holds the remaining bytes."""
-    done = _removed(docs, id_column, text_column, [id_column], whole_characters=False)
+    done = _removed(docs, id_column, text_column, [id_column], length, whole_characters=False)
     return done.select(
         F.col("row").getField(id_column).alias(id_column), "n_bytes", "n_removed", "n_spans", "kept"
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, with what is left of their texts; ``n_chars`` follows the text.
 
     A character of which a span took some bytes goes as a whole.
     """
     others = [c for c in docs.columns if c != "text"]
-    done = _removed(docs, "doc_id", "text", others, whole_characters=True)
+    done = _removed(docs, "doc_id", "text", others, length, whole_characters=True)
     text = F.col("kept").cast("string")
 
     def column(name: str) -> Column:

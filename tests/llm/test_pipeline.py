@@ -32,7 +32,7 @@ def plain_run():
     classes = brute.near_duplicate_classes([(d[0], d[1]) for d in docs])
     docs = [d for d, c in zip(docs, classes, strict=True) if d[0] == c]
     data = [(d[1] or "").encode() for d in docs]
-    for doc, text, gone in zip(docs, data, brute.removed_bytes(data), strict=True):
+    for doc, text, gone in zip(docs, data, brute.removed_bytes(data, corpus_pipeline.PASSAGE_BYTES), strict=True):
         doc[1] = bytes(np.frombuffer(text, np.uint8)[~gone]).decode("utf-8", "ignore")
     taken = brute.mix([(d[0], d[1], d[3]) for d in docs])
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
