@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_paths: list[str] = []
+
 # Settings the jobs are designed for. AQE sizes the shuffle partitions from the
 # measured bytes, so `shuffle.partitions` (left to the cluster) is only an upper
 # bound, and splits hot keys in joins and rebalanced writes.
@@ -47,7 +49,21 @@ def application_folder(spark: SparkSession) -> str:
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job writes to."""
-    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def table_paths() -> list[str]:
+    """All paths given out so far, in order."""
+    return list(_paths)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more, through Hadoop's file system."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_tables(spark: SparkSession) -> None:
