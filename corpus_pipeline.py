@@ -6,6 +6,9 @@ the next one's documents. All but the last give the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,34 +17,56 @@ from fiscal_ledger.llm.mixing import mixed
 from fiscal_ledger.llm.near_duplicates import one_of_each
 from fiscal_ledger.llm.quality import score_quality
 from fiscal_ledger.llm.repeats import without_repeats
-from fiscal_ledger.settings import new_table_path
+from fiscal_ledger.settings import new_table_path, remove_paths, table_paths
 
 
 # A passage of 50 words is some 300 bytes long, and seldom less than 240.
 PASSAGE_BYTES = 200
 
 
+_of_last_stage: list[str] = []
+
+
+def _stage(of: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Before a stage, the tables that the stage before it made for itself go: its result has been written."""
+
+    @wraps(of)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_paths(spark, _of_last_stage)
+        known = len(table_paths())
+        made = of(spark, docs, sf_dir)
+        _of_last_stage[:] = table_paths()[known:]
+        return made
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels, keep=tuple(docs.columns)).kept()
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return one_of_each(docs)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without passages that occur elsewhere; documents stay, even when nothing is left."""
     return without_repeats(docs, length=PASSAGE_BYTES)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their target weights, in training order; a document comes as often as it is taken."""
     return mixed(docs)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     import public_tokenizers
