@@ -2,16 +2,21 @@
 
 Vectors are compared with those of the same label and length only. Equal vectors are one node with a weight.
 
-1. **Start.** A few sets of random hyperplanes deal each label into blocks; in its block each node finds its
-   ``NEIGHBOURS`` nearest. Blocks beyond ``MOST_BLOCK`` are dealt on by hash.
+1. **Start.** Sets of random hyperplanes deal each label into blocks; in its block each node finds its
+   ``NEIGHBOURS`` nearest. There are as many sets as it takes for a pair at the threshold to share a
+   block with a chance of ``RECALL``. Blocks beyond ``MOST_BLOCK`` are dealt on by hash.
+   Wherever nodes are compared, a spanning forest of all links among them is kept besides the lists, so clumps with
+   more near members than a list holds are still joined by the links between them.
 2. **Descent.** Each node brings together the nodes on its list and those that list it. They are compared with
    each other, and every list keeps the nearest. Nodes that are on very many lists are split into
    chunks of ``CHUNK``, so a hub is spread over many tasks.
-3. **Audit.** For ``AUDITED`` nodes, chosen by hash, the true links are counted against all rows. The descent goes on until the
-   lists hold ``RECALL`` of them, or nothing changes.
-4. **Links.** Pairs on the lists are verified in double precision. Where a list is saturated, full of
+   It goes on until the lists gain no link.
+3. **Links.** Pairs on the lists and forests are verified in double precision. Where a list is saturated, full of
    linked nodes, it is enlarged to the whole connected component: its members are compared block by block and
    only counts leave a task. No list of all pairs is ever made.
+4. **Audit.** The true links of nodes chosen by hash are counted against all rows, for ``AUDITED`` nodes at a time until enough
+   linked ones are met. If the result has less than ``RECALL`` of them, the search goes on with twice the sets of
+   hyperplanes; if that does not help ``MOST_SEARCHES`` times, it is an error.
 
 Null, zero and non-finite vectors and vectors without a label link with nothing: no links, their own component. Repeated
 rows are copies like any others. Ids may repeat; a component's id is its smallest id. An empty table gives an empty
@@ -38,11 +43,17 @@ BLOCK = 256
 MOST_BLOCK = 1024
 CHUNK = 128
 AUDITED = 1000
+# Linked nodes an audit should have, and how many times AUDITED nodes are asked for them.
+AUDITED_LINKED = 100
+MOST_AUDITS = 8
 RECALL = 0.995
+MOST_SEARCHES = 4
 MOST_ROUNDS = 8
 SEED = 7
 # Lists are made from half-precision vectors; pairs this far below the threshold are verified still.
 SLACK = 0.01
+# Rounding to half precision moves a similarity by less than this.
+ROUNDING = 0.002
 
 
 def _table(frame: DataFrame, path: str) -> DataFrame:
@@ -99,57 +110,113 @@ def _nodes(vectors: DataFrame) -> DataFrame:
     return named.mapInArrow(releasing(scale), schema).where("unit IS NOT NULL")
 
 
-def _nearest(names: np.ndarray, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, similarity) of each vector's nearest ``count`` others, worked off in strips."""
+def _nearest(
+    names: np.ndarray, vectors: np.ndarray, count: int, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, similarity, tree): each vector's nearest ``count`` others, and links that connect all that are linked.
+
+    Worked off in strips. Links within rounding of the threshold are all given between what surer links
+    leave apart, since some of them may not hold.
+    """
     count = min(count, len(names) - 1)
     if count < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool)
     us, vs, sims = [], [], []
+    near = np.zeros((len(names), len(names)), bool)
+    sure = np.zeros((len(names), len(names)), bool)
     for first in range(0, len(names), 512):
         strip = vectors[first : first + 512] @ vectors.T
         strip[np.arange(len(strip)), np.arange(first, first + len(strip))] = -2
         best = np.argpartition(-strip, count - 1, axis=1)[:, :count]
-        us.append(np.repeat(names[first : first + len(strip)], count))
-        vs.append(names[best].ravel())
+        us.append(np.repeat(np.arange(first, first + len(strip)), count))
+        vs.append(best.ravel())
         sims.append(np.take_along_axis(strip, best, axis=1).ravel())
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(sims)
+        near[first : first + 512] = strip >= threshold - ROUNDING
+        sure[first : first + 512] = strip >= threshold + ROUNDING
+    children, parents, group = _forest(sure)
+    linked = np.flatnonzero(near.any(axis=1))
+    one, other = np.nonzero(np.triu((near & ~sure)[np.ix_(linked, linked)]))
+    one, other = linked[one], linked[other]
+    apart = group[one] != group[other]
+    children, parents = np.concatenate((children, one[apart])), np.concatenate((parents, other[apart]))
+    u, v = np.concatenate((*us, children)), np.concatenate((*vs, parents))
+    sim = np.concatenate((*sims, np.einsum("ij,ij->i", vectors[children], vectors[parents])))
+    tree = np.arange(len(u)) >= len(u) - len(children)
+    return names[u], names[v], sim.astype(np.float32), tree
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Children and parents of a spanning forest of a symmetric matrix, and the root of every row."""
+    root = np.arange(len(linked))
+    children, parents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    open_ = linked.any(axis=1)
+    for start in np.flatnonzero(open_):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        edge = np.array([start])
+        while len(edge):
+            left = np.flatnonzero(open_)
+            met = linked[np.ix_(edge, left)]
+            hit = met.any(axis=0)
+            children.append(left[hit])
+            parents.append(edge[met[:, hit].argmax(axis=0)] if hit.any() else left[hit])
+            edge = left[hit]
+            open_[edge] = False
+            root[edge] = start
+    return np.concatenate(children), np.concatenate(parents), root
+
+
+_PAIRS = "u bigint, v bigint, sim float, tree boolean"
+_PAIR_NAMES = ["u", "v", "sim", "tree"]
+
+
+def _best_within(groups, threshold: float) -> DataFrame:
+    """Nearest others of each member of grouped (node, half), and forests of their links."""
 
+    def best(table: pa.Table) -> pa.Table:
+        halves = _matrix(table.column("half"), np.float16).astype(np.float32)
+        found = _nearest(table.column("node").to_numpy(), halves, NEIGHBOURS, threshold)
+        return pa.Table.from_arrays(list(map(pa.array, found)), names=_PAIR_NAMES)
 
-_PAIRS = "u bigint, v bigint, sim float"
-_PAIR_NAMES = ["u", "v", "sim"]
+    return groups.applyInArrow(best, _PAIRS)
 
 
-def _best_within(groups) -> DataFrame:
-    """Nearest others of each member of grouped (node, half)."""
+def _chance(bits: int, tables: int, threshold: float) -> float:
+    """Chance that two vectors at the threshold share a block: a plane parts them with their angle over pi."""
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return 1 - (1 - together) ** tables
 
-    def best(table: pa.Table) -> pa.Table:
-        found = _nearest(
-            table.column("node").to_numpy(), _matrix(table.column("half"), np.float16).astype(np.float32), NEIGHBOURS
-        )
-        return pa.Table.from_arrays(list(map(pa.array, found)), names=_PAIR_NAMES)
 
-    return groups.applyInArrow(best, _PAIRS)
+def _tables(bits: int, threshold: float) -> int:
+    """How many sets of hyperplanes find a pair at the threshold with a chance of RECALL."""
+    tables = TABLES
+    while _chance(bits, tables, threshold) < RECALL:
+        tables += 1
+    return tables
 
 
-def _start(nodes: DataFrame, bits: int) -> DataFrame:
+def _start(nodes: DataFrame, bits: int, tables: range, threshold: float) -> DataFrame:
     """Candidate pairs from blocks of nodes on the same side of random hyperplanes."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            sides: list[list[int]] = []
-            for half in batch.column("half").to_pylist():
-                vector = np.frombuffer(half, np.float16).astype(np.float32)
-                if len(vector) not in planes:
-                    drawn = np.random.default_rng(SEED).standard_normal((TABLES, bits, len(vector)))
-                    planes[len(vector)] = drawn.astype(np.float32)
-                above = planes[len(vector)] @ vector > 0
-                sides.append([int(sum(1 << b for b in range(bits) if row[b])) for row in above])
-            for number in range(TABLES):
-                signs = pa.array([row[number] for row in sides], pa.int64())
+            vectors = [np.frombuffer(half, np.float16) for half in batch.column("half").to_pylist()]
+            lengths = np.array([len(vector) for vector in vectors])
+            sides = np.zeros((len(tables), batch.num_rows), np.int64)
+            for length in set(lengths.tolist()):
+                if length not in planes:
+                    drawn = [np.random.default_rng([SEED, number]).standard_normal((bits, length)) for number in tables]
+                    planes[length] = np.array(drawn, np.float32)
+                rows = np.flatnonzero(lengths == length)
+                matrix = np.array([vectors[row] for row in rows], np.float32)
+                for place, plane in enumerate(planes[length]):
+                    sides[place, rows] = (matrix @ plane.T > 0) @ (1 << np.arange(bits, dtype=np.int64))
+            for place, number in enumerate(tables):
                 part = pa.array(np.full(batch.num_rows, number), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("grp"), part, signs, batch.column("node"), batch.column("half")],
+                    [batch.column("grp"), part, pa.array(sides[place]), batch.column("node"), batch.column("half")],
                     names=["grp", "part", "signs", "node", "half"],
                 )
 
@@ -161,28 +228,29 @@ def _start(nodes: DataFrame, bits: int) -> DataFrame:
     salted = dealt.join(large, block, "left").withColumn(
         "salt", F.pmod(F.xxhash64("node", "part"), F.ceil(F.coalesce("count", F.lit(1)) / MOST_BLOCK))
     )
-    return _best_within(salted.groupBy(*block, "salt"))
+    return _best_within(salted.groupBy(*block, "salt"), threshold)
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
-    """The nearest of each u, as pairs again."""
+    """The nearest of each u and its links on forests, as pairs again; near: whether on the list."""
     best = (
         pairs.repartition(F.col("u"))
         .groupBy("u", "v")
-        .agg(F.max("sim").alias("sim"))
+        .agg(F.max("sim").alias("sim"), F.max("tree").alias("tree"))
         .groupBy("u")
-        .agg(F.collect_list(F.struct("sim", "v")).alias("found"))
+        .agg(F.collect_list(F.struct("sim", "v", "tree")).alias("found"))
     )
-    return best.select(
-        "u", F.explode(F.slice(F.sort_array("found", asc=False), 1, NEIGHBOURS)).alias("one")
-    ).select("u", "one.v", "one.sim")
+    placed = best.select("u", F.posexplode(F.sort_array("found", asc=False)).alias("place", "one"))
+    kept = placed.select("u", "one.v", "one.sim", "one.tree", (F.col("place") < NEIGHBOURS).alias("near"))
+    return kept.where("near OR tree")
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, path: str, threshold: float) -> DataFrame:
     """One round: compare the nodes that meet around each node with each other."""
+    near = lists.where("near")
     meeting = (
-        lists.select(F.col("u").alias("centre"), F.col("v").alias("node"))
-        .unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("node")))
+        near.select(F.col("u").alias("centre"), F.col("v").alias("node"))
+        .unionByName(near.select(F.col("v").alias("centre"), F.col("u").alias("node")))
         .distinct()
     )
     # A table of its own: Spark splits a hub only where both sides of the join come straight from a shuffle.
@@ -195,15 +263,25 @@ def _descend(lists: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
         "centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk")
     )
     members = placed.unionByName(itself).join(nodes.select("node", "half"), "node")
-    found = _best_within(members.groupBy("centre", "chunk"))
-    return _lists(found.unionByName(lists))
+    found = _best_within(members.groupBy("centre", "chunk"), threshold)
+    return _lists(found.unionByName(lists.drop("near")))
 
 
 def _true_links(nodes: DataFrame, threshold: float) -> dict[int, int]:
-    """How many nodes each audited node is linked with, counted against all rows."""
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "grp", "unit").collect()
-    if not chosen:
-        return {}
+    """The weight of the nodes each audited node is linked with, counted against all rows."""
+    truth: dict[int, int] = {}
+    for turn in range(MOST_AUDITS):
+        chosen = (
+            nodes.orderBy(F.xxhash64("node"), "node").offset(turn * AUDITED).limit(AUDITED).select("node", "grp", "unit").collect()
+        )
+        if chosen:
+            truth |= _links_of(chosen, nodes, threshold)
+        if len(chosen) < AUDITED or sum(links > 0 for links in truth.values()) >= AUDITED_LINKED:
+            break
+    return truth
+
+
+def _links_of(chosen: list, nodes: DataFrame, threshold: float) -> dict[int, int]:
     asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for group in {row.grp for row in chosen}:
         rows = [row for row in chosen if row.grp == group]
@@ -215,28 +293,27 @@ def _true_links(nodes: DataFrame, threshold: float) -> dict[int, int]:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column("grp").to_pylist()
-            names = batch.column("node").to_numpy()
+            names, weights = batch.column("node").to_numpy(), batch.column("weight").to_numpy()
             for group in set(groups) & asked.keys():
                 rows = np.array([i for i, g in enumerate(groups) if g == group])
                 units = _matrix(batch.column("unit").take(pa.array(rows)), np.float64)
                 queries, vectors = asked[group]
                 linked = (vectors @ units.T >= threshold) & (queries[:, None] != names[rows][None, :])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries), pa.array(linked.sum(axis=1).astype(np.int64))], names=["node", "links"]
+                    [pa.array(queries), pa.array(linked @ weights[rows])], names=["node", "links"]
                 )
 
-    counted = nodes.select("node", "grp", "unit").mapInArrow(releasing(count), "node bigint, links bigint")
+    counted = nodes.select("node", "grp", "weight", "unit").mapInArrow(releasing(count), "node bigint, links bigint")
     return {row.node: row.links for row in counted.groupBy("node").agg(F.sum("links").alias("links")).collect()}
 
 
-def _audit(lists: DataFrame, truth: dict[int, int]) -> float:
-    """Share of the audited nodes' true links that their lists hold, as far as a list can hold them."""
-    wanted = {node: min(links, NEIGHBOURS) for node, links in truth.items() if links}
+def _audit(counts: DataFrame, truth: dict[int, int]) -> float | None:
+    """Share of the audited nodes' true links that are in the counts; None without true links."""
+    wanted = {node: links for node, links in truth.items() if links}
     if not wanted:
-        return 1.0
-    near = lists.where(F.col("sim") >= THRESHOLD).where(F.col("u").isin(list(wanted)))
-    held = {row.u: row["count"] for row in near.groupBy("u").count().collect()}
-    return sum(min(held.get(node, 0), most) for node, most in wanted.items()) / sum(wanted.values())
+        return None
+    held = {row.node: row.links for row in counts.where(F.col("node").isin(list(wanted))).collect()}
+    return sum(min(held.get(node, 0), links) for node, links in wanted.items()) / sum(wanted.values())
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -297,24 +374,8 @@ def _component_counts(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = MOST_ROUNDS
-) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label), and the audited recall."""
-    path = new_table_path(vectors.sparkSession, "embeddings")
-    read = vectors.select("vec_id", "embedding", "label")
-    nodes = _table(_nodes(read), f"{path}/nodes")
-    largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, largest) / BLOCK))))
-    truth = _true_links(nodes, threshold)
-    lists = _table(_lists(_start(nodes, bits)), f"{path}/lists-0")
-    recall = 0.0
-    for number in range(1, rounds + 1):
-        lists = _table(_descend(lists, nodes, f"{path}/lists-{number}"), f"{path}/lists-{number}")
-        recall = _audit(lists, truth)
-        if recall >= RECALL:
-            break
-
+def _linked(lists: DataFrame, nodes: DataFrame, threshold: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tables (node, component, ...) and (node, links) of the nodes with links."""
     pairs = (
         lists.where(F.col("sim") >= threshold - SLACK)
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -329,11 +390,49 @@ def near_duplicate_vectors(
     listed = both.join(weights, "other").groupBy("node", "component").agg(
         F.sum("weight").alias("links"), F.count(F.lit(1)).alias("linked")
     )
-    # A full list may have left linked nodes out: its component is compared as a whole.
-    full = listed.where(F.col("linked") >= NEIGHBOURS).select("component").distinct()
+    # A full list may have left linked nodes out, so its component is compared as a whole; so are small ones, at little cost.
+    sized = listed.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("linked").alias("linked"))
+    full = sized.where((F.col("linked") >= NEIGHBOURS) | F.col("size").between(3, BLOCK)).select("component")
     enlarged = _component_counts(members.join(full, "component").select("component", "node", "weight", "unit"), threshold)
     short = listed.join(full, "component", "left_anti").select("node", "links")
-    counts = short.unionByName(enlarged)
+    return members, _table(short.unionByName(enlarged), f"{path}/counts")
+
+
+def near_duplicate_vectors(
+    vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = MOST_ROUNDS
+) -> tuple[DataFrame, float]:
+    """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label), and the audited recall.
+
+    ``rounds``: descents between audits at most. Without any true link to audit, the recall is the chance of the blocks.
+    """
+    path = new_table_path(vectors.sparkSession, "embeddings")
+    read = vectors.select("vec_id", "embedding", "label")
+    nodes = _table(_nodes(read), f"{path}/nodes")
+    largest = nodes.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, largest) / BLOCK))))
+    truth = _true_links(nodes, threshold)
+    lists, done, tables = None, 0, _tables(bits, threshold)
+    for search in range(MOST_SEARCHES):
+        at = f"{path}/search-{search}"
+        found = _start(nodes, bits, range(done, tables), threshold)
+        lists = _table(_lists(found if lists is None else found.unionByName(lists.drop("near"))), f"{at}/lists-0")
+        seen = None
+        for number in range(1, rounds + 1):
+            linked = lists.where("near").where(F.col("sim") >= threshold - SLACK)
+            state = linked.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == seen:
+                break
+            seen = state
+            lists = _table(_descend(lists, nodes, f"{at}/lists-{number}", threshold), f"{at}/lists-{number}")
+        members, counts = _linked(lists, nodes, threshold, at)
+        recall = _audit(counts, truth)
+        if recall is None:
+            recall = _chance(bits, tables, threshold)
+        if recall >= RECALL:
+            break
+        done, tables = tables, 2 * tables
+    else:
+        raise RuntimeError(f"near-duplicate embeddings: {recall:.4f} of the audited links found, {RECALL} needed")
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = (
         nodes.select("node", "weight", "least")

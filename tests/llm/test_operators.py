@@ -258,6 +258,30 @@ def test_embeddings(spark, folder):
     assert canonical(query(3)(spark, folder).collect()) == canonical(expected)
 
 
+def turned(rng, vectors, cosine):
+    """Vectors at a cosine from the given unit vectors."""
+    aside = rng.standard_normal(vectors.shape)
+    aside -= (aside * vectors).sum(axis=1, keepdims=True) * vectors
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return cosine * vectors + math.sqrt(1 - cosine**2) * aside
+
+
+def vector_table(spark, vectors):
+    rows = [(i, vector.tolist(), 1) for i, vector in enumerate(vectors)]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+
+
+def test_embeddings_link_tight_clumps(spark):
+    """All places of every list go to the own clump; all links to the other one count."""
+    rng = np.random.default_rng(4)
+    middle = turned(rng, np.eye(64)[:1], 1.0)
+    middles = np.concatenate((middle, turned(rng, middle, 0.965)))
+    vectors = np.concatenate([turned(rng, np.repeat(m[None], 20, axis=0), 0.999) for m in middles])
+    assert (vectors @ vectors.T).min() > 0.94
+    rows = embeddings.near_duplicate_vectors(vector_table(spark, vectors))[0].collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(39, 0)}
+
+
 def test_mix_in_training_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = mixed(docs).collect()
