@@ -282,6 +282,32 @@ def test_embeddings_link_tight_clumps(spark):
     assert {(r.n_links, r.component_id) for r in rows} == {(39, 0)}
 
 
+def test_embeddings_find_rare_pairs(spark, monkeypatch):
+    """Pairs near the threshold among many vectors; the given nodes have no other links."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    lone = rng.standard_normal((4000, 64))
+    lone /= np.linalg.norm(lone, axis=1, keepdims=True)
+    vectors = np.concatenate((lone, turned(rng, lone[:200], 0.935)))
+    rows = embeddings.near_duplicate_vectors(vector_table(spark, vectors))[0].collect()
+    assert sum(r.n_links == 1 for r in rows) >= 2 * 0.98 * 200
+    assert not any(r.n_links > 1 for r in rows)
+
+
+def test_embeddings_audit_meets_links(spark, monkeypatch):
+    """An audit asks on until it has linked nodes, and a result below the bound is an error."""
+    monkeypatch.setattr(embeddings, "AUDITED", 50)
+    rng = np.random.default_rng(6)
+    lone = rng.standard_normal((300, 64))
+    lone /= np.linalg.norm(lone, axis=1, keepdims=True)
+    table = vector_table(spark, np.concatenate((lone, turned(rng, lone[:20], 0.96))))
+    assert embeddings.near_duplicate_vectors(table)[1] == 1.0
+    monkeypatch.setattr(embeddings, "_links_of", lambda chosen, nodes, threshold: {row.node: 9 for row in chosen})
+    monkeypatch.setattr(embeddings, "MOST_SEARCHES", 1)
+    with pytest.raises(RuntimeError, match="audited links"):
+        embeddings.near_duplicate_vectors(table)
+
+
 def test_mix_in_training_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = mixed(docs).collect()
