@@ -5,9 +5,10 @@ was met before numbered by how often. Each of ``SKETCHES`` hashes picks the ``PI
 tuple of them, in text order, is a bucket. A bucket for each two neighbouring sketches is added. Two texts
 that share runs in the same order meet in many of them.
 
-A bucket compares each text with its smallest member only, so pairs grow with the rows and not with the
-square of a bucket, and buckets need no cap. The second kind of bucket parts
-texts that share a common passage from those that share more. Pairs are verified by the
+A bucket first compares each text with its smallest member. Buckets that hold more than one class after that go on in
+rounds: about ``GROWTH`` times as many members as before, chosen by hash, are compared with the members of the other classes,
+until a bucket holds one class or every pair of different classes in it was tried. Pairs whose word counts alone
+rule them out are dropped first. Pairs are verified by the
 exact word edit distance inside the band that the threshold allows, ``1 - distance / longer >= 0.8``. Classes are
 the connected components.
 
@@ -33,6 +34,10 @@ from fiscal_ledger.settings import new_table_path
 K = 5
 SKETCHES = 20
 PICKED = 2
+# How many more members of a bucket are compared with the others in each round.
+GROWTH = 16
+# Word counts of a text are kept by so many classes of words.
+KINDS = 64
 SIMILARITY = 0.8
 # Bytes of text sketched at once.
 PIECE_BYTES = 2 << 20
@@ -122,8 +127,33 @@ def sketch(hashes: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int =
     return keys.view(np.int64), worded
 
 
+def signs(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Per text how many words it has, and how many of each of ``KINDS`` classes of words."""
+    lengths = np.diff(offsets)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    kinds = (_mix(hashes[: len(owner)]) % _U(KINDS)).astype(np.int64)
+    counts = np.bincount(owner * KINDS + kinds, minlength=len(lengths) * KINDS).reshape(-1, KINDS)
+    # Counts beyond 16 bits are cut to them, which only brings texts closer.
+    small = np.minimum(counts, 65535).astype("<u2")
+    return [int(n).to_bytes(8, "little") + row.tobytes() for n, row in zip(lengths, small, strict=True)]
+
+
+def may_be_alike(one: list[bytes], other: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
+    """False where the signs of two texts rule out that they are alike: an edit changes one word for another at most."""
+
+    def parts(of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        table = np.frombuffer(b"".join(of), np.uint8).reshape(len(of), 8 + 2 * KINDS)
+        return table[:, :8].copy().view("<i8")[:, 0], table[:, 8:].copy().view("<u2").astype(np.int32)
+
+    (n, a), (m, b) = parts(one), parts(other)
+    most = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9)
+    gone = a - b
+    edits = np.maximum(np.maximum(gone, 0).sum(axis=1), np.maximum(-gone, 0).sum(axis=1))
+    return (np.abs(n - m) <= most) & (edits <= most)
+
+
 def _sketch_table(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, keys) of (doc_id, node, text)."""
+    """(doc_id, node, keys, sign) of (doc_id, node, text)."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,17 +164,19 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
                 while last < len(values) and (last == first or held + len(values[last]) <= PIECE_BYTES):
                     held += len(values[last])
                     last += 1
-                keys, worded = sketch(*hash_words(values[first:last]))
+                hashes, ends = hash_words(values[first:last])
+                keys, worded = sketch(hashes, ends)
                 offsets = np.zeros(last - first + 1, np.int32)
                 offsets[worded + 1] = keys.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel()))
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("node"), lists], names=["doc_id", "node", "keys"]
+                    [part.column("doc_id"), part.column("node"), lists, pa.array(signs(hashes, ends), pa.binary())],
+                    names=["doc_id", "node", "keys", "sign"],
                 )
                 first = last
 
-    return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>")
+    return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>, sign binary")
 
 
 def edit_distance_within(one: np.ndarray, other: np.ndarray, most: int) -> int | None:
@@ -269,6 +301,72 @@ def _word_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(releasing(of), "node bigint, words binary")
 
 
+def _possible(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of (u, v, one, other) that the signs do not rule out."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = may_be_alike(batch.column("one").to_pylist(), batch.column("other").to_pylist())
+                yield batch.select(["u", "v"]).filter(pa.array(kept))
+
+    return pairs.mapInArrow(releasing(check), "u bigint, v bigint")
+
+
+def _words_of(pairs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, words) of the text of one document for each node on a pair."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(ids, "node")
+    same = texts["node"].eqNullSafe(wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
+    return _word_table(texts.join(wanted, same, "left_semi"))
+
+
+def _classes(single: DataFrame, ids: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(node, component) of the nodes with links."""
+    rows = single.select("node", F.explode("keys").alias("key")).distinct()
+    sizes = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
+    # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
+    leaders = _table(sizes.where("size > 1"), f"{path}/leaders")
+    rows = _table(rows.join(leaders.select("key"), "key", "left_semi"), f"{path}/rows")
+    pairs = rows.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    # The leader is the smallest, so u > v as in the rounds.
+    tried = pairs = _table(pairs.distinct(), f"{path}/pairs")
+    links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{path}/words")), f"{path}/links")
+    classes = _table(components(links), f"{path}/components")
+    signed = single.select("node", "sign")
+    number, first, last = 0, 0, GROWTH
+    while True:
+        number, at = number + 1, f"{path}/round-{number}"
+        placed = rows.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+        several = placed.groupBy("key").agg(
+            F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
+        )
+        # Members not compared as a chosen one yet are left only in buckets with more than ``first``.
+        left = _table(several.where((F.col("low") < F.col("high")) & (F.col("size") > max(2, first))).select("key", "size"), f"{at}/open")
+        if left.isEmpty():
+            return classes
+        place = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+        members = placed.join(left, "key").withColumn("place", place).join(signed, "node")
+        members = _table(members, f"{at}/members")
+        chosen = _table(members.where((F.col("place") >= first) & (F.col("place") < last)), f"{at}/chosen")
+        one = chosen.select("key", F.col("node").alias("a"), F.col("class").alias("one_class"), F.col("place").alias("one_place"), F.col("sign").alias("a_sign"))
+        other = members.select("key", F.col("node").alias("b"), "class", "place", F.col("sign").alias("b_sign"))
+        # Of two members the one that is chosen first is compared with the other.
+        before = F.struct("one_place", "a") < F.struct("place", "b")
+        met = one.join(other, "key").where((F.col("one_class") != F.col("class")) & before)
+        met = met.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_sign").alias("one"), F.col("b_sign").alias("other"))
+        # The signs are compared as the pairs are met, so that only what they leave is written.
+        fresh = _possible(met).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = _table(fresh.join(tried, ["u", "v"], "left_anti"), f"{at}/pairs")
+        tried = tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{at}/words")), f"{at}/links")
+            if not links.isEmpty():
+                known = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
+                classes = _table(components(known.unionByName(links)), f"{at}/components")
+        first, last = last, last * GROWTH
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, node, class_id): the text's hash and the smallest id among the documents it is linked with."""
     path = new_table_path(docs.sparkSession, "near-duplicates")
@@ -276,22 +374,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = _table(_sketch_table(texts), f"{path}/sketches")
-    rows = sketches.select("node", F.explode("keys").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
-    # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
-    leaders = _table(leaders.where("leader < _most").select("key", "leader"), f"{path}/leaders")
-    pairs = _table(
-        rows.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(),
-        f"{path}/pairs",
-    )
-    # The text of one document for each node on a pair.
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    single = _table(sketches.select("node", "keys", "sign").dropDuplicates(["node"]), f"{path}/single")
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = nodes.join(ids, "node")
-    same = texts["node"].eqNullSafe(wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
-    words = _table(_word_table(texts.join(wanted, same, "left_semi")), f"{path}/words")
-    links = _table(_verified(pairs, words), f"{path}/links")
-    classes = _table(components(links), f"{path}/components")
+    classes = _classes(single, ids, texts, path)
     members = sketches.select("doc_id", "node").join(classes, "node", "left").select(
         "doc_id", "node", F.coalesce("component", "node").alias("class")
     )

@@ -190,6 +190,39 @@ def test_near_duplicates(spark, folder):
     assert len(set(classes)) < len(docs) - 4
 
 
+def edited(rng, words, share):
+    """The words with a share of them changed, spread over the text."""
+    words = list(words)
+    for at in rng.choice(len(words), round(share * len(words)), replace=False):
+        words[at] = f"x{rng.integers(1 << 40)}"
+    return words
+
+
+def text_classes(spark, texts):
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return {r.doc_id: r.class_id for r in found}
+
+
+def test_near_duplicates_of_one_original(spark):
+    """Versions that are like the original but not like each other; most buckets have another leader."""
+    rng = np.random.default_rng(9)
+    original = [f"w{n}" for n in rng.integers(0, 5000, 300)]
+    versions = [edited(rng, original, 0.12) for _ in range(60)]
+    found = text_classes(spark, [original, *versions])
+    assert sum(c == 0 for c in found.values()) >= 0.8 * len(found)
+
+
+def test_signs_rule_out_only_texts_that_differ():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        one = [f"w{n}" for n in rng.integers(0, 30, rng.integers(1, 40))]
+        other = edited(rng, one, rng.choice([0.1, 0.2, 0.4]))[: rng.integers(1, 41)]
+        a, b = near_duplicates.signs(*near_duplicates.hash_words([" ".join(one), " ".join(other)]))
+        near = brute.edit_distance(one, other) <= math.floor(0.2 * max(len(one), len(other)) + 1e-9)
+        assert near_duplicates.may_be_alike([a], [b])[0] or not near
+
+
 def test_edit_distance_in_band():
     rng = np.random.default_rng(8)
     for _ in range(500):
