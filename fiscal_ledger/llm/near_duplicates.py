@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits, case aside. A text becomes its overlapping runs of ``K`` words, a run that
 was met before numbered by how often. Each of ``SKETCHES`` hashes picks the ``PICKED`` smallest runs; the
-tuple of them, in text order, is a bucket. A bucket for each two neighbouring sketches is added. Two texts
-that share runs in the same order meet in many of them.
+tuple of them, in text order, is a bucket. Two texts that share runs in the same order meet in many of them.
+Of texts of up to ``SHORT`` words, and of those that could be like them, every run is a bucket: edits within the
+threshold leave texts of 6 words or more a run of 3 words in common, and shorter ones (up to 5) a run of 2, so these meet for certain.
 
 A bucket first compares each text with its smallest member. Buckets that hold more than one class after that go on in
 rounds: about ``GROWTH`` times as many members as before, chosen by hash, are compared with the members of the other classes,
@@ -13,7 +14,7 @@ exact word edit distance inside the band that the threshold allows, ``1 - distan
 the connected components.
 
 Equal texts are one node from the start, whatever their number. Nulls count as empty text; texts without any words
-match equal texts only; of fewer than K words there is one run. Ids may repeat or be null: a row's
+match equal texts only; of fewer than K words there is one run, and all their pairs of words. Ids may repeat or be null: a row's
 class is the smallest id in it, null if no row of it has one. An empty table gives an empty table. Other
 columns are dropped, so their names cannot clash. Nodes are 64-bit hashes of the text.
 """
@@ -31,9 +32,11 @@ from fiscal_ledger.llm.graph import components
 from fiscal_ledger.llm.memory import releasing
 from fiscal_ledger.settings import new_table_path
 
-K = 5
-SKETCHES = 20
+K = 3
+SKETCHES = 40
 PICKED = 2
+# Words of texts whose every run is a bucket; texts like one of them have at most this over SIMILARITY.
+SHORT = 40
 # How many more members of a bucket are compared with the others in each round.
 GROWTH = 16
 # Word counts of a text are kept by so many classes of words.
@@ -78,13 +81,13 @@ def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(hashes: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of each text that has words, one row per text, and the numbers of those texts."""
+    """Bucket keys of the texts, end to end, and how many each text has."""
     lengths = np.diff(offsets)
     worded = np.flatnonzero(lengths > 0)
     counts = np.maximum(lengths[worded] - k + 1, 1)
     starts = np.concatenate(([0], np.cumsum(counts)))
     if not len(worded):
-        return np.zeros((0, 2 * sketches), np.int64), worded
+        return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
     owner = np.repeat(np.arange(len(worded)), counts)
     place = np.arange(starts[-1]) - starts[owner]
     first = offsets[worded][owner] + place
@@ -94,6 +97,16 @@ def sketch(hashes: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int =
         at = first + step
         runs = runs * _U(0xC2B2AE3D27D4EB4F) + np.where(at < last, hashes[np.minimum(at, len(hashes) - 1)], _U(step + 1))
     runs = _mix(runs)
+    # Buckets of short texts: all runs, and pairs of words where an edit may leave no longer run.
+    sizes = lengths[worded]
+    brief = (sizes <= SHORT / SIMILARITY)[owner]
+    exact, exact_owner = [_mix(runs[brief] + _U(1))], [owner[brief]]
+    tiny = np.flatnonzero((lengths > 1) & (lengths <= 5))
+    for step in range(4):
+        long_enough = tiny[lengths[tiny] > step + 1]
+        at = offsets[long_enough] + step
+        exact.append(_mix(hashes[at] * _ODD + hashes[at + 1] + _U(2)))
+        exact_owner.append(np.searchsorted(worded, long_enough))
     # Number equal runs of a text by their order.
     owned = _mix(runs + owner.astype(np.uint64) * _ODD)
     order = np.argsort(owned, kind="stable")
@@ -106,7 +119,7 @@ def sketch(hashes: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int =
     bits = _U(24)
     low = (_U(1) << bits) - _U(1)
     where = np.minimum(place, (1 << 24) - 1).astype(np.uint64)
-    keys = np.zeros((len(worded), 2 * sketches), np.uint64)
+    keys = np.zeros((len(worded), sketches), np.uint64)
     for number in range(sketches):
         seed = _mix(np.array([number + 1], np.uint64) * _ODD)[0] | _U(1)
         ranked = ((runs * seed) >> bits << bits) | where
@@ -122,9 +135,12 @@ def sketch(hashes: np.ndarray, offsets: np.ndarray, k: int = K, sketches: int =
         for spot in spots:
             found = _mix(found * _ODD + runs[starts[:-1] + spot])
         keys[:, number] = found
-    for number in range(sketches):
-        keys[:, sketches + number] = _mix(keys[:, number] * _ODD + keys[:, (number + 1) % sketches])
-    return keys.view(np.int64), worded
+    sketched = np.flatnonzero(sizes > SHORT)
+    owners = np.concatenate((*exact_owner, np.repeat(sketched, sketches)))
+    order = np.argsort(owners, kind="stable")
+    counts = np.zeros(len(lengths), np.int64)
+    counts[worded] = np.bincount(owners, minlength=len(worded))
+    return np.concatenate((*exact, keys[sketched].ravel()))[order].view(np.int64), counts
 
 
 def signs(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -165,10 +181,9 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
                     held += len(values[last])
                     last += 1
                 hashes, ends = hash_words(values[first:last])
-                keys, worded = sketch(hashes, ends)
-                offsets = np.zeros(last - first + 1, np.int32)
-                offsets[worded + 1] = keys.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel()))
+                keys, counts = sketch(hashes, ends)
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("node"), lists, pa.array(signs(hashes, ends), pa.binary())],

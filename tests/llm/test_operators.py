@@ -213,6 +213,23 @@ def test_near_duplicates_of_one_original(spark):
     assert sum(c == 0 for c in found.values()) >= 0.8 * len(found)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of edit similarity 0.82 and 0.85, and short texts, which are found for certain."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    for number in range(240):
+        size = 300 if number < 100 else int(rng.integers(5, 46))
+        one = [f"t{number}w{n}" for n in rng.integers(0, 5000, size)]
+        share = (0.18, 0.15)[number % 2] if number < 100 else math.floor(0.2 * size + 1e-9) / size
+        pairs += [one, edited(rng, one, share)]
+    pairs += ["a b c d e f g h i".split(), "a b c d x f g h i".split(), "p q r s t".split(), "p q r t".split()]
+    found = text_classes(spark, pairs)
+    met = [found[i] == found[i + 1] for i in range(0, len(pairs), 2)]
+    # Texts of up to SHORT words always meet, longer ones nearly always.
+    assert all(same for same, text in zip(met, pairs[::2], strict=True) if len(text) <= 40)
+    assert sum(met[:100]) >= 97
+
+
 def test_signs_rule_out_only_texts_that_differ():
     rng = np.random.default_rng(10)
     for _ in range(300):
