@@ -50,6 +50,8 @@ BITS = 12
 PLAIN = 0xF00
 # Keys that a language is dealt over where rows join something known per language.
 SALTS = 64
+# No document's language: those are empty or begin with "=".
+NO_LANGUAGE = "-"
 # Distinct n-grams a task holds before it hands on their counts.
 HELD_COUNTS = 1 << 20
 
@@ -366,7 +368,10 @@ def score_quality(
     )
     answers = _probabilities(questions.select("lang", "key").distinct(), levels)
     answers = _written(answers.select("lang", "key", F.log("p").alias("logp")), folder, "answers")
-    scores = _written(_block_scores(questions.join(answers, ["lang", "key"]), folder), folder, "scores")
+    # A block of empty texts asks nothing; the row of its own that each block gets brings its documents along.
+    present = manifest.select("block", F.lit(NO_LANGUAGE).alias("lang"), F.lit(0).cast("bigint").alias("key"), F.lit(0.0).alias("logp"))
+    answered = questions.join(answers, ["lang", "key"]).select("block", "lang", "key", "logp").unionByName(present)
+    scores = _written(_block_scores(answered, folder), folder, "scores")
 
     judged = scores.join(verdicts, "doc_id", "left")
     means = judged.where("trusted = 1 AND chars > 0").groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
