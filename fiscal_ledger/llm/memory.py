@@ -8,6 +8,10 @@ import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+# Tasks a core is given where a short list of files is dealt out.
+TASKS_PER_CORE = 4
 
 
 def release() -> None:
@@ -28,3 +32,13 @@ def releasing(of: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterat
             release()
 
     return run
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """A list of files dealt out row by row, so that tasks read a few each.
+
+    The list itself is tiny, and adaptive execution would merge it into one task; a stated number of
+    partitions is left alone.
+    """
+    most = TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(files.count(), most)))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fiscal_ledger.llm.memory import release, releasing
+from fiscal_ledger.llm.memory import dealt, release, releasing
 from fiscal_ledger.settings import new_table_path
 
 ORDER = 4
@@ -194,7 +194,7 @@ def _trusted_counts(chosen: DataFrame, folder: str) -> DataFrame:
                     yield from handed_on()
         yield from handed_on()
 
-    return chosen.mapInArrow(releasing(count), schema).groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    return dealt(chosen).mapInArrow(releasing(count), schema).groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -315,8 +315,8 @@ class Scored:
     def kept(self) -> DataFrame:
         """The documents that are not rejected, with the columns named at scoring."""
         folder = self._folder
-        rows = (
-            self.decisions.where("NOT rejected").groupBy("block").agg(F.collect_list("row").alias("rows"))
+        rows = _written(
+            self.decisions.where("NOT rejected").groupBy("block").agg(F.collect_list("row").alias("rows")), folder, f"kept-{uuid.uuid4().hex}"
         )
         names = self._schema.names
 
@@ -327,7 +327,7 @@ class Scored:
                     kept = table.take(pa.array(sorted(numbers))).rename_columns(names)
                     yield from kept.to_batches(max_chunksize=2000)
 
-        return rows.mapInArrow(releasing(read), self._schema)
+        return dealt(rows).mapInArrow(releasing(read), self._schema)
 
 
 def score_quality(
@@ -357,10 +357,10 @@ def score_quality(
         (1 - F.min("quality")).alias("bad"),
     )
     members = manifest.select("block", F.explode("rows").alias("m")).select("block", "m.row", "m.doc_id")
-    chosen = (
-        members.join(verdicts.where("trusted = 1"), "doc_id")
-        .groupBy("block")
-        .agg(F.collect_list("row").alias("rows"))
+    chosen = _written(
+        members.join(verdicts.where("trusted = 1"), "doc_id").groupBy("block").agg(F.collect_list("row").alias("rows")),
+        folder,
+        "chosen",
     )
     levels = _model(_trusted_counts(chosen, folder), folder, order)
     questions = manifest.select("block", F.explode("asked").alias("q")).select(

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscal_ledger.llm.memory import releasing
+from fiscal_ledger.llm.memory import dealt, releasing
 from fiscal_ledger.settings import new_table_path
 
 DEDUP_BYTES = 100
@@ -253,7 +253,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows), arrow.types)), schema=arrow)
 
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest")
-    return manifest.repartition(F.col("archive")).mapInArrow(releasing(read), schema)
+    return dealt(manifest).mapInArrow(releasing(read), schema)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
