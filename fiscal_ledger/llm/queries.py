@@ -8,10 +8,12 @@ from fiscal_ledger.llm.fingerprints import op1_fingerprints
 from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
 from fiscal_ledger.llm.near_duplicates import op6_near_duplicates
+from fiscal_ledger.llm.prefix_trie import OP12_SQL, op12_trie
 from fiscal_ledger.llm.quality import op8_quality
 from fiscal_ledger.llm.repeats import op4_repeats
 from fiscal_ledger.llm.token_counts import op5_token_counts
 from fiscal_ledger.llm.warc import OP2_SQL, op2_warc
+from fiscal_ledger.llm.wavelet import op11_wavelet
 
 
 def queries():
@@ -26,8 +28,10 @@ def queries():
         "op8_quality": op8_quality,
         "op9_html_text": op9_html_text,
         "op10_mixing": op10_mixing,
+        "op11_wavelet": op11_wavelet,
+        "op12_trie": op12_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL, "op12_trie": OP12_SQL}

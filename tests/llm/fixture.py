@@ -71,12 +71,32 @@ def embeddings() -> list[tuple]:
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 
 
+def conversations() -> list[tuple]:
+    """(conv_id, turn, role, text) and a clashing column: shared heads, gaps in the hundreds, ties, nulls, negative ids."""
+    rng = random.Random(3)
+    firsts = [prose(rng, 8) for _ in range(4)]
+    rows: list[tuple] = []
+    for c in [*range(0, 40), *range(100, 130), *range(230, 250), -7, -3, 0 - 200, 5_000_000_000]:
+        for turn in range(rng.randint(1, 9)):
+            text = firsts[rng.randrange(2)] if turn < 2 and rng.random() < 0.8 else prose(rng, 5)
+            rows.append((c, turn, ["user", "assistant"][turn % 2], text, "clash"))
+    rows += [(300 + c, turn, "user", f"same {turn}", "x") for c in range(50) for turn in range(4)]
+    rows += [(405, turn, "user", f"turn {turn % 7} 日本", "x") for turn in range(700)]
+    rows += [(500, None, None, None, None), (500, 1, "user", None, None), (500, 1, None, "tie", None), (500, 1, "user", "tie", None)]
+    rows += [(501, 3, "user", "tie", None), (501, 3, "user", "tie", None), (None, 1, "user", "nobody", None), (502, None, "u", "", None)]
+    return rows
+
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string, path string"
+
+
 def write(spark, folder: str, empty: bool = False) -> str:
     for name, rows, schema in (
         ("documents", documents(), DOCUMENTS),
         ("labels", labels(), "doc_id bigint, quality int, toxic int"),
         ("pages", pages(), PAGES),
         ("embeddings", embeddings(), EMBEDDINGS),
+        ("conversations", conversations(), CONVERSATIONS),
     ):
         spark.createDataFrame([] if empty else rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
     return folder
