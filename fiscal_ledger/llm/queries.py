@@ -5,6 +5,7 @@ from __future__ import annotations
 from fiscal_ledger.llm.bpe import op7_bpe
 from fiscal_ledger.llm.embeddings import op3_embeddings
 from fiscal_ledger.llm.fingerprints import op1_fingerprints
+from fiscal_ledger.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from fiscal_ledger.llm.html_text import op9_html_text
 from fiscal_ledger.llm.mixing import OP10_SQL, op10_mixing
 from fiscal_ledger.llm.near_duplicates import op6_near_duplicates
@@ -30,8 +31,9 @@ def queries():
         "op10_mixing": op10_mixing,
         "op11_wavelet": op11_wavelet,
         "op12_trie": op12_trie,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL, "op12_trie": OP12_SQL}
+    return {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL, "op12_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
