@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiscal_ledger.llm.memory import dealt, releasing
-from fiscal_ledger.llm.word_ids import WordEncoder
+from fiscal_ledger.llm.word_ids import encoder
 from fiscal_ledger.settings import new_table_path
 
 BLOCK_BITS = 1 << 16
@@ -71,7 +71,10 @@ def matrix_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray
             ones.append(before)
             before += int(np.count_nonzero(bits[start * 8 : start * 8 + BLOCK_BITS]))
         zeros.append(count - before)
-        row = np.concatenate((row[~bits], row[bits]))
+        moved = np.empty_like(row)
+        np.compress(~bits, row, out=moved[: count - before])
+        np.compress(bits, row, out=moved[count - before :])
+        row = moved
     directory = pack.compress(b"".join(np.array(a, "<u8").tobytes() for a in (zeros, ends, ones)))
     known = np.array([i is not None for i in doc_ids], np.uint8)
     numbers = np.array([i or 0 for i in doc_ids], "<i8")
@@ -114,7 +117,7 @@ class WaveletFile:
         size = self._size(block)
         if len(data) < -(-size // 8):
             data = zstandard.decompress(data)
-        return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=size).astype(bool)
+        return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=size).view(bool)
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """The documents' ids and their numbers of tokens."""
@@ -215,7 +218,7 @@ def write_shards(
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = fs.FileSystem.from_uri(folder)
         filesystem.create_dir(root, recursive=True)
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
@@ -234,7 +237,7 @@ def write_shards(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 if held and tokens + len(found) + 1 > SHARD_TOKENS:
                     yield finish()
                     held, ids, lengths, seq, tokens = [], [], [], seq + 1, 0

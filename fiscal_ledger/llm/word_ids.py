@@ -37,8 +37,9 @@ _LETTER = _UPPER | _bytes("abcdefghijklmnopqrstuvwxyz")
 _SIGN = ~_LETTER & ~_bytes(" \t\n\r'<|>_") & (np.arange(256) < 128)
 # The kind of a byte: inside a word, a letter, a sign, a capital, beyond ASCII.
 _KIND = (~_bytes(" \t\n\r") + 2 * _LETTER + 4 * _SIGN + 8 * _UPPER + 16 * (np.arange(256) > 127)).astype(np.uint8)
-# Words of letters alone that are handed to the library as one text.
+# Words of letters alone that are handed to the library as one text. Letters of Latin-1 are whole characters, so nothing joins them.
 JOINED = 32
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
@@ -66,7 +67,7 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of ASCII letters."""
+        """The same for words of letters."""
         if self._ends.any():
             joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
             flat, _ = self._library_ids(joined)
@@ -87,8 +88,8 @@ class WordEncoder:
         number = self._number
         new = [w for w in words if w not in number]
         if new:
-            plain = [w for w in new if w.isascii() and w.isalpha()]
-            others = [w for w in new if not (w.isascii() and w.isalpha())]
+            plain = [w for w in new if _LETTERS.fullmatch(w)]
+            others = [w for w in new if not _LETTERS.fullmatch(w)]
             number.update(zip(plain + others, range(len(number), len(number) + len(new)), strict=True))
             (one, one_sizes), (two, two_sizes) = self._word_ids(plain), self._library_ids(others)
             sizes = np.concatenate((one_sizes, two_sizes))
@@ -156,3 +157,13 @@ class WordEncoder:
             parts.append(self._encode(data[start:end], np.array([0, end - start]))[0])
             start = end
         return np.concatenate(parts)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which keeps its words for the tasks that follow."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
