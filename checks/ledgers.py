@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.star import star_ledger
 from fiscal_ledger import schema as s
-from fiscal_ledger.plans import write_cube
+from fiscal_ledger.plans import LedgerTables, merge_into_cube, write_cube
 from fiscal_ledger.settings import new_table_path
 from fiscal_ledger.sources import ledger_ingest, scan_files
 
@@ -45,6 +45,62 @@ def cube_table(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "cube", lambda path: write_cube(ledger, path))
 
 
+def is_late() -> Column:
+    """The lines of the cube's later batch: one year's December and what has no month."""
+    return (F.col(s.YEAR) == 2000) & F.coalesce(F.col(s.MONTH) == 12, F.lit(True))
+
+
+def merged_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """A cube written without the late lines of a year, which are then merged into it."""
+    ledger = typed_ledger(spark, folder)
+
+    def write(path: str) -> DataFrame:
+        write_cube(ledger.where(~F.coalesce(is_late(), F.lit(False))), path)
+        return merge_into_cube(ledger.where(is_late()), path, "late-2000")
+
+    return _once(spark, folder, "merged-cube", write)
+
+
+def tables(spark: SparkSession, folder: str) -> LedgerTables:
+    """The ledger with the merged cube."""
+    return LedgerTables(typed_ledger(spark, folder), merged_cube(spark, folder))
+
+
+def unsorted_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed ledger with its rows in the order they come, in small row groups."""
+    return _once(
+        spark,
+        folder,
+        "unsorted",
+        lambda path: ledger_ingest(star_ledger(spark, folder).repartition(2), path, sort=False, row_group_bytes=256 << 10),
+    )
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """The sub-folders of a folder that Spark has written by partition."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f"{path}/{file.getPath().getName()}" for file in files if "=" in file.getPath().getName())
+
+
+def many_files_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw ledger read back from a folder per goal, in three layouts: text, other types and an extra column, lower-case names."""
+    raw = star_ledger(spark, folder)
+
+    def write(path: str) -> DataFrame:
+        shape = F.col(s.GOAL_CODE).cast("int") % 3
+        typed = {s.YEAR: F.col(s.YEAR).cast("bigint"), s.EXPENSE_CLASS: F.col(s.EXPENSE_CLASS).cast("int"), "EXTRA": F.lit("x")}
+        frames = [raw.where(shape == 0), raw.where(shape == 1).withColumns(typed), raw.where(shape == 2).toDF(*(c.lower() for c in s.COLUMNS))]
+        paths = []
+        for number, frame in enumerate(frames):
+            by_goal = frame.withColumn("goal_folder", F.col(s.GOAL_CODE))
+            by_goal.hint("rebalance", F.col("goal_folder")).write.partitionBy("goal_folder").parquet(f"{path}/{number}")
+            paths += _children(spark, f"{path}/{number}")
+        return scan_files(spark, paths)
+
+    return _once(spark, folder, "many-files", write)
+
+
 def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
     # The copy of the year names the folders and leaves the column in the files.
     dated = raw.withColumn("file_year", F.col(s.YEAR))
@@ -68,3 +124,9 @@ def nan_ledger(spark: SparkSession, folder: str) -> DataFrame:
     nan = F.lit(float("nan"))
     ledger = typed_ledger(spark, folder)
     return ledger.withColumns({c: F.when(odd, nan).otherwise(F.col(c)) for c in (s.PIA, s.PIM, s.ACCRUED)})
+
+
+def fraction_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed ledger with amounts that have endless binary fractions."""
+    ledger = typed_ledger(spark, folder)
+    return ledger.withColumns({c: F.col(c) / F.lit(7.0) for c in s.MEASURES})

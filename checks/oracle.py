@@ -294,7 +294,55 @@ CASCADE = (
     "AND PLIEGO_NOMBRE = 'PLIEGO 7/0'"
 )
 
+# Each selector's options under the choices above it, one query each.
+CASCADE_OPTIONS = " UNION ALL ".join(
+    f"SELECT DISTINCT CAST({position} AS INTEGER) AS position, '{selector}' AS selector, {value} AS option FROM ledger "
+    f"WHERE {where} AND {value} IS NOT NULL"
+    for position, (selector, value, where) in enumerate(
+        (
+            ("year", "CAST(ANO_EJE AS VARCHAR)", "TRUE"),
+            ("level", "NIVEL_GOBIERNO_NOMBRE", "ANO_EJE = 2000"),
+            ("sector", "SECTOR_NOMBRE", "ANO_EJE = 2000 AND NIVEL_GOBIERNO_NOMBRE = 'ASIA'"),
+            ("entity", "PLIEGO_NOMBRE", "ANO_EJE = 2000 AND NIVEL_GOBIERNO_NOMBRE = 'ASIA' AND SECTOR_NOMBRE = 'NATION_7'"),
+            ("unit", label("SEC_EJEC", "EJECUTORA_NOMBRE"), CASCADE),
+        ),
+        1,
+    )
+)
+
+
+def cumulative_by(keys: dict[str, str]) -> str:
+    """The running sums of every entity over all twelve months and the lines without one."""
+    columns = ", ".join(f"{column} AS {name}" for name, column in keys.items())
+    names = ", ".join(keys)
+    matching = " AND ".join(f"s.{k} IS NOT DISTINCT FROM m.{k}" for k in keys)
+    window = f"OVER (PARTITION BY {names} ORDER BY month ASC NULLS LAST ROWS UNBOUNDED PRECEDING)"
+    running = {c: f"CASE WHEN {c} IS NOT NULL THEN SUM({c}) {window} END" for c in ("committed_monthly", "accrued")}
+    return f"""
+SELECT {names}, month, lines, committed_monthly, accrued, cumulative_committed, cumulative_accrued,
+  {guarded("cumulative_committed", "base")} AS pct_committed, {guarded("cumulative_accrued", "base")} AS pct_accrued, {MONTH_NAME} AS month_name
+FROM (
+  SELECT *, {running["committed_monthly"]} AS cumulative_committed, {running["accrued"]} AS cumulative_accrued,
+    SUM(pim) OVER (PARTITION BY {names}) AS base
+  FROM (
+    SELECT {", ".join(f"s.{k}" for k in keys)}, s.month, coalesce(m.lines, 0) AS lines, m.pim,
+      CASE WHEN m.lines IS NULL THEN 0 ELSE m.committed_monthly END AS committed_monthly,
+      CASE WHEN m.lines IS NULL THEN 0 ELSE m.accrued END AS accrued
+    FROM (
+      SELECT DISTINCT {columns}, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM ledger
+      UNION SELECT DISTINCT {columns}, MES_EJE AS month FROM ledger
+    ) s LEFT JOIN (
+      SELECT {columns}, MES_EJE AS month, COUNT(*) AS lines, {totals("committed_monthly", "accrued", "pim")} FROM ledger GROUP BY ALL
+    ) m ON {matching} AND s.month IS NOT DISTINCT FROM m.month
+  )
+)
+"""
+
+
 _QUERIES = {
+    "cascade_options": CASCADE_OPTIONS,
+    "cumulative_by_entity": cumulative_by({"entity": "PLIEGO_NOMBRE"}),
+    "cumulative_by_year_and_sector": cumulative_by({"fiscal_year": "ANO_EJE", "sector": "SECTOR_NOMBRE"}),
     "ledger_scan": "SELECT * FROM raw",
     "ledger_normalised": "SELECT * FROM ledger",
     "ledger_ingest": "SELECT * FROM ledger",
@@ -367,5 +415,60 @@ def _nan_prefix() -> str:
 
 def oracle_sql() -> dict[str, str]:
     prefix = ledger_prefix(RAW)
-    found = {name: prefix + query for name, query in _QUERIES.items()}
+    found = {name: prefix + query for name, query in _QUERIES.items()} | exact_sql()
+    same = {  # other tables or routes to the same answers
+        "ledger_scan_many_files": "ledger_normalised",
+        "merged_cube": "monthly_cube",
+        "unsorted_project_sheet": "project_sheet",
+        "unsorted_project_history": "project_history",
+        "routed_kpi_board": "kpi_board",
+        "routed_monthly_curve": "monthly_curve",
+        "routed_project_progress": "project_progress",
+        "routed_spillover_alerts": "spillover_alerts",
+        "routed_lifecycle_audit": "lifecycle_audit",
+    }
+    found |= {name: prefix + _QUERIES[query] for name, query in same.items()}
     return found | {f"nan_{name}": _nan_prefix() + _QUERIES[name] for name in WITH_NAN}
+
+
+# Exact sums count 2^-78 in whole numbers of 128 bits; the count becomes a double by digits of 26 bits, highest first.
+def _as_double(count: str) -> str:
+    base = 1 << 26
+
+    def digit(place: int) -> str:
+        power = base**place
+        return f"CAST((((({count} - ((({count} % {power}) + {power}) % {power})) // {power}) % {base}) + {base}) % {base} AS DOUBLE)"
+
+    top_power = base**4
+    top = f"CAST(({count} - ((({count} % {top_power}) + {top_power}) % {top_power})) // {top_power} AS DOUBLE)"
+    return (
+        f"({top} * 67108864 + ({digit(3)} + {digit(2)} / 67108864) "
+        f"+ ({digit(1)} / pow(2, 52) + {digit(0)} / pow(2, 78)))"
+    )
+
+
+def exact_total(column: str) -> str:
+    return _as_double(f"sum(CAST(round_even(({column}) * pow(2, 78), 0) AS HUGEINT))")
+
+
+def _fraction_prefix() -> str:
+    amounts = ", ".join(f"{c} / 7.0::DOUBLE AS {c}" for c in MEASURES.values())
+    return ledger_prefix(RAW).replace("\nledger AS (", "\nnumbers AS (").rstrip() + f",\nledger AS (SELECT * REPLACE ({amounts}) FROM numbers)\n"
+
+
+def exact_sql() -> dict[str, str]:
+    """Queries with exact sums, on a ledger with fractions."""
+
+    def totals(*names: str) -> str:
+        return ", ".join(f"{exact_total(MEASURES[name])} AS {name}" for name in names)
+
+    results = exact_total("CASE WHEN PROGRAMA_PPTO NOT IN ('9001', '9002') THEN MONTO_DEVENGADO ELSE 0 END")
+    queries = {
+        "exact_kpi_summary": f"SELECT {totals(*MEASURES)} FROM ledger",
+        "exact_unit_ranking": f"SELECT * FROM (SELECT EJECUTORA_NOMBRE AS unit, {totals(*STAGES)} FROM ledger GROUP BY ALL) WHERE pim > 0",
+        "exact_project_progress": f"SELECT *, {or_zero('accrued', 'pim')} AS pct, pim - pia AS overrun FROM (SELECT PRODUCTO_PROYECTO AS cui, "
+        f"PRODUCTO_PROYECTO_NOMBRE AS project, {totals(*STAGES)} FROM ledger WHERE {CAPITAL} GROUP BY ALL) WHERE pim > 0",
+        "exact_breakdown_iopr": "SELECT *, (results_accrued / NULLIF(accrued, 0)) * 100 AS pct FROM (SELECT EJECUTORA_NOMBRE AS unit, "
+        f"{totals('accrued')}, {results} AS results_accrued FROM ledger GROUP BY ALL) WHERE accrued > 0",
+    }
+    return {name: _fraction_prefix() + query for name, query in queries.items()}

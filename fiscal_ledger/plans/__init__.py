@@ -1,13 +1,13 @@
 """The query catalogue. Every query takes a ledger frame and returns a lazy frame."""
 
-from fiscal_ledger.plans.cube import monthly_cube, write_cube
+from fiscal_ledger.plans.cube import cube_batches, merge_into_cube, monthly_cube, write_cube
 from fiscal_ledger.plans.distribution import (
     funding_function_distribution,
     top_functions,
     top_funding_sources,
     unit_ranking,
 )
-from fiscal_ledger.plans.evolution import closing_projection, cumulative_evolution, monthly_curve
+from fiscal_ledger.plans.evolution import closing_projection, cumulative_by, cumulative_evolution, monthly_curve
 from fiscal_ledger.plans.kpis import (
     breakdown,
     breakdown_execution,
@@ -30,6 +30,7 @@ from fiscal_ledger.plans.kpis import (
 from fiscal_ledger.plans.lifecycle import lifecycle_audit
 from fiscal_ledger.plans.lookups import (
     budget_goals,
+    cascade_options,
     executing_units,
     filter_options,
     project_list,
@@ -46,8 +47,10 @@ from fiscal_ledger.plans.projects import (
     spillover_alerts,
 )
 from fiscal_ledger.plans.quality import coercion_report
+from fiscal_ledger.plans.routing import LedgerTables
 
 __all__ = [
+    "LedgerTables",
     "breakdown",
     "breakdown_execution",
     "breakdown_ieg",
@@ -55,8 +58,11 @@ __all__ = [
     "breakdown_iopr",
     "breakdown_logistics",
     "budget_goals",
+    "cascade_options",
     "closing_projection",
     "coercion_report",
+    "cube_batches",
+    "cumulative_by",
     "cumulative_evolution",
     "executing_units",
     "execution_overview",
@@ -72,6 +78,7 @@ __all__ = [
     "kpi_iv_pim",
     "kpi_summary",
     "lifecycle_audit",
+    "merge_into_cube",
     "monthly_cube",
     "monthly_curve",
     "project_history",

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import raw_pct_or_0
 from fiscal_ledger.operators.filters import Where, condition
-from fiscal_ledger.operators.totals import key, sum_or_0, totals
+from fiscal_ledger.operators.totals import Sum, key, sum_or_0, totals
 
 
-def unit_ranking(ledger: DataFrame, where: Where = None) -> DataFrame:
+def unit_ranking(ledger: DataFrame, where: Where = None, sum_of: Sum = F.sum) -> DataFrame:
     """Budget stages per executing unit with a positive budget, most accrued first."""
     return (
         ledger.where(condition(where))
         .groupBy(key(s.UNIT))
-        .agg(*totals(s.PIA, s.PIM, s.CERTIFIED, s.COMMITTED_ANNUAL, s.ACCRUED))
+        .agg(*totals(s.PIA, s.PIM, s.CERTIFIED, s.COMMITTED_ANNUAL, s.ACCRUED, sum_of=sum_of))
         .where(F.col("pim") > 0)
         .orderBy(F.desc_nulls_last("accrued"), F.asc_nulls_last("unit"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,66 @@ def cumulative_evolution(
     )
 
 
+def cumulative_by(
+    ledger: DataFrame, by: Sequence[str] = (s.ENTITY,), where: Where = None, months: int = 12
+) -> DataFrame:
+    """The cumulative evolution of many entities at once: one row per entity and month of the year.
+
+    ``by`` names the columns that make an entity, for example (YEAR, ENTITY). Every entity has all months; one without lines has
+    spent nothing and repeats the total so far. A month whose lines have no readable amount shows none and adds
+    nothing, and lines without a month come last, as in ``cumulative_evolution``. Shares are of the entity's own budget.
+
+    Lines are summed by entity and month within their tasks, so an entity with very many of them is a few rows when it is shuffled.
+    What is missing of the months is added to these sums, not to the lines, and the windows run over at most
+    ``months`` + 1 rows each.
+    """
+    keys = [s.ALIASES[c] for c in by]
+    sums = (
+        ledger.where(condition(where))
+        .groupBy(*[key(c) for c in by], key(s.MONTH))
+        .agg(*totals(s.COMMITTED_MONTHLY, s.ACCRUED, s.PIM), F.count(F.lit(1)).alias("lines"))
+    )
+    spine = sums.select(*keys).distinct().select(
+        *keys,
+        F.explode(F.sequence(F.lit(1), F.lit(months))).alias("month"),
+        *[F.lit(None).cast("double").alias(c) for c in ("committed_monthly", "accrued", "pim")],
+        F.lit(0).cast("bigint").alias("lines"),
+    )
+    amounts = ("committed_monthly", "accrued", "pim")
+    monthly = sums.unionByName(spine).groupBy(*keys, "month").agg(*[F.sum(c).alias(c) for c in amounts], F.sum("lines").alias("lines"))
+    empty = F.col("lines") == 0
+    monthly = monthly.withColumns({c: F.when(empty, F.lit(0.0)).otherwise(F.col(c)) for c in amounts[:2]})
+    entity = Window.partitionBy(*keys)
+    so_far = entity.orderBy(F.asc_nulls_last("month")).rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(column: str) -> Column:
+        known = F.col(column).isNotNull() & ~F.isnan(column)
+        return F.when(known, F.sum(F.when(known, F.col(column))).over(so_far)).otherwise(F.col(column))
+
+    return (
+        monthly.withColumns(
+            {
+                "cumulative_committed": running("committed_monthly"),
+                "cumulative_accrued": running("accrued"),
+                "base": F.sum("pim").over(entity),
+            }
+        )
+        .select(
+            *keys,
+            "month",
+            "lines",
+            "committed_monthly",
+            "accrued",
+            "cumulative_committed",
+            "cumulative_accrued",
+            guarded_pct(F.col("cumulative_committed"), F.col("base")).alias("pct_committed"),
+            guarded_pct(F.col("cumulative_accrued"), F.col("base")).alias("pct_accrued"),
+            month_name(F.col("month")).alias("month_name"),
+        )
+        .orderBy(*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_last("month"))
+    )
+
+
 def closing_projection(ledger: DataFrame, where: Where = None) -> DataFrame:
     """Year-end accrued per expense class if the monthly average so far holds.
 

@@ -16,28 +16,28 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import guarded_pct, nullif_pct
 from fiscal_ledger.operators.filters import Where, condition, is_capital, outside_overhead
-from fiscal_ledger.operators.totals import key, sum_where, totals
+from fiscal_ledger.operators.totals import Sum, key, sum_where, totals
 
 _MEASURE = {s.ALIASES[m]: m for m in s.MEASURES}
 _CAPITAL = "capital_"
 
 
-def _sum(name: str) -> Column:
+def _sum(name: str, sum_of: Sum = F.sum) -> Column:
     """A sum an indicator needs, under its name.
 
     The capital sums are NULL without capital rows, as if the other rows had
     been filtered out; the December, result and own-revenue sums are then 0.
     """
     if name.startswith(_CAPITAL):
-        value = F.sum(F.when(is_capital(), F.col(_MEASURE[name.removeprefix(_CAPITAL)])))
+        value = sum_of(F.when(is_capital(), F.col(_MEASURE[name.removeprefix(_CAPITAL)])))
     elif name == "december_accrued":
-        value = sum_where(F.col(s.MONTH) == s.DECEMBER, s.ACCRUED)
+        value = sum_where(F.col(s.MONTH) == s.DECEMBER, s.ACCRUED, sum_of)
     elif name == "results_accrued":
-        value = sum_where(outside_overhead(), s.ACCRUED)
+        value = sum_where(outside_overhead(), s.ACCRUED, sum_of)
     elif name == "own_revenue_accrued":
-        value = sum_where(F.col(s.FUNDING_CODE) == s.OWN_REVENUE_FUNDING, s.ACCRUED)
+        value = sum_where(F.col(s.FUNDING_CODE) == s.OWN_REVENUE_FUNDING, s.ACCRUED, sum_of)
     else:
-        value = F.sum(_MEASURE[name])
+        value = sum_of(F.col(_MEASURE[name]))
     return value.alias(name)
 
 
@@ -84,9 +84,9 @@ def _indicators(ledger: DataFrame, where: Where, *names: str) -> DataFrame:
     )
 
 
-def kpi_summary(ledger: DataFrame, where: Where = None) -> DataFrame:
+def kpi_summary(ledger: DataFrame, where: Where = None, sum_of: Sum = F.sum) -> DataFrame:
     """Sums of the seven measures."""
-    return ledger.where(condition(where)).agg(*totals(*s.MEASURES))
+    return ledger.where(condition(where)).agg(*totals(*s.MEASURES, sum_of=sum_of))
 
 
 def kpi_ieg(ledger: DataFrame, where: Where = None) -> DataFrame:
@@ -124,10 +124,10 @@ def kpi_autonomy(ledger: DataFrame, where: Where = None) -> DataFrame:
     return _indicators(ledger, where, "autonomy")
 
 
-def kpi_board(ledger: DataFrame, where: Where = None) -> DataFrame:
+def kpi_board(ledger: DataFrame, where: Where = None, sum_of: Sum = F.sum) -> DataFrame:
     """The seven sums and all indicators from one scan and one aggregation."""
     sums = dict.fromkeys([*_MEASURE, *_needed(INDICATORS.values())])
-    summed = ledger.where(condition(where)).agg(*[_sum(name) for name in sums])
+    summed = ledger.where(condition(where)).agg(*[_sum(name, sum_of) for name in sums])
     return summed.select(
         *[s.ALIASES[m] for m in s.MEASURES],
         *[indicator.percentage().alias(name) for name, indicator in INDICATORS.items()],
@@ -164,7 +164,7 @@ BREAKDOWNS = {
 }
 
 
-def breakdown(ledger: DataFrame, kind: str, where: Where = None) -> DataFrame:
+def breakdown(ledger: DataFrame, kind: str, where: Where = None, sum_of: Sum = F.sum) -> DataFrame:
     """An indicator per executing unit, best first; units whose denominator is not positive are left out."""
     if kind not in BREAKDOWNS:
         raise ValueError(f"unknown breakdown {kind!r}; expected one of {sorted(BREAKDOWNS)}")
@@ -174,7 +174,7 @@ def breakdown(ledger: DataFrame, kind: str, where: Where = None) -> DataFrame:
         rows = rows.where(is_capital())
     return (
         rows.groupBy(key(s.UNIT))
-        .agg(_sum(indicator.whole), _sum(indicator.part))
+        .agg(_sum(indicator.whole, sum_of), _sum(indicator.part, sum_of))
         .where(F.col(indicator.whole) > 0)
         .withColumn("pct", nullif_pct(F.col(indicator.part), F.col(indicator.whole)))
         .orderBy(F.desc_nulls_last("pct"), F.asc_nulls_last("unit"))

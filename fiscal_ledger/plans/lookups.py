@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.labels import code_name_label
-from fiscal_ledger.operators.filters import Where, condition, is_capital
+from fiscal_ledger.operators.filters import LedgerFilter, Where, condition, is_capital
 
 
 def _sorted_distinct(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -20,6 +22,38 @@ def filter_options(ledger: DataFrame, column: str, where: Where = None) -> DataF
     return _sorted_distinct(rows, F.col(column), "option")
 
 
+# The selectors in the order they are chosen: each offers what the choices before it leave.
+SELECTORS = ("year", "level", "sector", "entity", "unit")
+
+
+def cascade_options(ledger: DataFrame, chosen: LedgerFilter | None = None) -> DataFrame:
+    """The options of all five selectors for the choices made so far: (position, selector, option).
+
+    Each list is what its own query gives (``years_available``, ``filter_options`` of a level under the
+    choices above it, ``executing_units``), but the ledger is read once for all of them. It is first reduced to the distinct paths
+    through the hierarchy, by partial aggregation before the shuffle; those few rows are
+    then turned into options, one per list that their path belongs to. Years come latest first, the others ascending.
+    """
+    chosen = chosen or LedgerFilter()
+    paths = ledger.select(s.YEAR, s.LEVEL, s.SECTOR, s.ENTITY, s.UNIT_CODE, s.UNIT).distinct()
+    values = {
+        "year": F.col(s.YEAR).cast("int").cast("string"),
+        "level": F.col(s.LEVEL),
+        "sector": F.col(s.SECTOR),
+        "entity": F.col(s.ENTITY),
+        "unit": code_name_label(F.col(s.UNIT_CODE), F.col(s.UNIT)),
+    }
+    above = LedgerFilter()
+    options = []
+    for position, selector in enumerate(SELECTORS, 1):
+        value = F.when(above.to_column(), values[selector])
+        options.append(F.struct(F.lit(position).alias("position"), F.lit(selector).alias("selector"), value.alias("option")))
+        above = replace(above, **{selector: getattr(chosen, selector)})
+    listed = paths.select(F.explode(F.array(*options)).alias("o")).select("o.*").where(F.col("option").isNotNull()).distinct()
+    newest = F.when(F.col("position") == 1, F.col("option").cast("int"))
+    return listed.orderBy("position", newest.desc_nulls_last(), "option")
+
+
 def years_available(ledger: DataFrame) -> DataFrame:
     """Distinct fiscal years, latest first."""
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.ratios import guarded_pct, nullif_pct, raw_pct_or_0
 from fiscal_ledger.operators.filters import Where, condition, is_capital, matches_search
-from fiscal_ledger.operators.totals import key, sum_or_0, totals
+from fiscal_ledger.operators.totals import Sum, key, sum_or_0, totals
 
 _STAGES = (s.PIA, s.PIM, s.CERTIFIED, s.COMMITTED_ANNUAL, s.ACCRUED)
 
@@ -21,11 +21,11 @@ def _capital_rows(ledger: DataFrame, where: Where) -> DataFrame:
     return ledger.where(condition(where)).where(is_capital())
 
 
-def _progress(ledger: DataFrame, where: Where) -> DataFrame:
+def _progress(ledger: DataFrame, where: Where, sum_of: Sum = F.sum) -> DataFrame:
     return (
         _capital_rows(ledger, where)
         .groupBy(key(s.CUI), key(s.PROJECT))
-        .agg(*totals(*_STAGES))
+        .agg(*totals(*_STAGES, sum_of=sum_of))
         .where(F.col("pim") > 0)
         .withColumn("pct", raw_pct_or_0(F.col("accrued"), F.col("pim")))
         .withColumn("overrun", F.col("pim") - F.col("pia"))
@@ -39,9 +39,9 @@ def _most_accrued_first(progress: DataFrame) -> DataFrame:
     )
 
 
-def project_progress(ledger: DataFrame, where: Where = None) -> DataFrame:
+def project_progress(ledger: DataFrame, where: Where = None, sum_of: Sum = F.sum) -> DataFrame:
     """Budget stages, progress and overrun per capital project, most accrued first."""
-    return _most_accrued_first(_progress(ledger, where))
+    return _most_accrued_first(_progress(ledger, where, sum_of))
 
 
 def project_totals(ledger: DataFrame, where: Where = None) -> DataFrame:

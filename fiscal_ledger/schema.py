@@ -91,6 +91,10 @@ DIMENSIONS = tuple(c for c in COLUMNS if c not in MEASURES)
 ALIASES = {
     YEAR: "fiscal_year",
     MONTH: "month",
+    LEVEL: "level",
+    SECTOR: "sector",
+    ENTITY: "entity",
+    UNIT_CODE: "unit_code",
     UNIT: "unit",
     CUI: "cui",
     PROJECT: "project",

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 
 from fiscal_ledger import schema as s
 from fiscal_ledger.functions.coercion import to_double, to_int
+from fiscal_ledger.sources.manifest import scan_groups
+
+# Up to so many paths are opened one by one, which is quicker than a job that reads their footers.
+FEW_PATHS = 8
 
 
 def _contract(frame: DataFrame) -> dict[str, T.StructField]:
@@ -53,10 +57,13 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     are text, and a measure whose type differs between files is text as well
     (coercion reads it back). Each projection is pushed into its file's scan.
     A column that no file has is an error, as are two that differ only in case.
+
+    Many paths are first sorted by what their footers say, which tasks read: files with the same columns and types become one
+    scan, so the plan has a branch per schema and not one per path, and the driver opens one file of each.
     """
     if not paths:
         raise ValueError("no ledger paths given")
-    files = [spark.read.parquet(path) for path in paths]
+    files = [spark.read.parquet(path) for path in paths] if len(paths) <= FEW_PATHS else _grouped(spark, paths)
     contracts = [_contract(file) for file in files]
     _require({column for present in contracts for column in present})
 
@@ -84,6 +91,15 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, map(project, files, contracts))
 
 
+def _grouped(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+    """One frame per schema of the files at the paths."""
+    frames = []
+    for base, files in scan_groups(spark, paths):
+        reader = spark.read if base is None else spark.read.option("basePath", base)
+        frames.append(reader.schema(reader.parquet(files[0]).schema).parquet(*files))
+    return frames
+
+
 def typed_columns(raw: DataFrame) -> dict[str, Column]:
     """The coercion of each contract column, given the names and types a raw ledger has."""
     fields = _contract(raw)

@@ -13,7 +13,13 @@ from fiscal_ledger.sources.files import normalise
 CLUSTERING = (s.YEAR, s.EXPENSE_CLASS, s.CUI)
 
 
-def write_by_year(frame: DataFrame, path: str, rebalance: bool) -> None:
+# Point lookups by CUI. A row group's Bloom filter says whether it can hold a CUI at all, also where the rows are in no order and
+# every group spans all CUIs. It is sized for this many distinct CUIs in a row group; with more it only lets more groups through.
+# (A group whose CUIs fit a dictionary needs none: the reader looks into the dictionary.)
+CUIS_PER_ROW_GROUP = 200_000
+
+
+def write_by_year(frame: DataFrame, path: str, rebalance: bool, sort: bool = True, row_group_bytes: int | None = None) -> None:
     """Write a ledger-shaped frame as Parquet partitioned by fiscal year.
 
     Only the years in the frame are replaced, so one year can be refreshed on
@@ -24,17 +30,24 @@ def write_by_year(frame: DataFrame, path: str, rebalance: bool) -> None:
     one project skips most of them. The goal at the end of the range
     columns spreads a CUI with very many lines over several tasks. Finding the ranges
     takes a second pass over the frame, which pays off when the table is read often.
+
+    Without ``sort`` rows stay in the order they come in; lookups by CUI still skip the row groups without it.
     """
     if rebalance:
         frame = frame.repartitionByRange(*CLUSTERING, s.GOAL_CODE)
-    (
-        frame.sortWithinPartitions(*CLUSTERING)
-        .write.partitionBy(s.YEAR)
+    if sort:
+        frame = frame.sortWithinPartitions(*CLUSTERING)
+    writer = (
+        frame.write.partitionBy(s.YEAR)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .parquet(path)
+        .option(f"parquet.bloom.filter.enabled#{s.CUI}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{s.CUI}", str(CUIS_PER_ROW_GROUP))
     )
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", str(row_group_bytes))
+    writer.parquet(path)
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -45,12 +58,14 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(s.LEDGER_SCHEMA).parquet(path).select(*s.COLUMNS)
 
 
-def ledger_ingest(raw: DataFrame, path: str, rebalance: bool = False) -> DataFrame:
+def ledger_ingest(
+    raw: DataFrame, path: str, rebalance: bool = False, sort: bool = True, row_group_bytes: int | None = None
+) -> DataFrame:
     """Coerce a raw ledger, write it as a typed table and return that table.
 
     Queries on the raw files coerce text again each time and cannot push
     their filters through the casts. On the typed table the year prunes
     partitions and the other filters reach the Parquet reader.
     """
-    write_by_year(normalise(raw), path, rebalance)
+    write_by_year(normalise(raw), path, rebalance, sort, row_group_bytes)
     return open_ledger(raw.sparkSession, path)
