@@ -16,9 +16,10 @@ from checks.star import star_ledger
 from fiscal_ledger import schema as s
 from fiscal_ledger.plans import LedgerTables, merge_into_cube, write_cube
 from fiscal_ledger.settings import new_table_path
-from fiscal_ledger.sources import ledger_ingest, scan_files
+from fiscal_ledger.sources import ledger_ingest, scan_files, write_names, write_search_index
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
+_indexes: dict[tuple[str, str], str] = {}
 
 
 def _once(spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
@@ -130,3 +131,19 @@ def fraction_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The typed ledger with amounts that have endless binary fractions."""
     ledger = typed_ledger(spark, folder)
     return ledger.withColumns({c: F.col(c) / F.lit(7.0) for c in s.MEASURES})
+
+
+def unit_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger's dictionary of executing units."""
+    ledger = typed_ledger(spark, folder)
+    return _once(spark, folder, "unit-names", lambda path: write_names(ledger, s.UNIT, path))
+
+
+def search_index(spark: SparkSession, folder: str) -> str:
+    """Where the ledger's search index is, written on first use."""
+    known = (spark.sparkContext.applicationId, folder)
+    if known not in _indexes:
+        path = new_table_path(spark, "search-index")
+        write_search_index(typed_ledger(spark, folder), path)
+        _indexes[known] = path
+    return _indexes[known]

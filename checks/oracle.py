@@ -421,6 +421,8 @@ def oracle_sql() -> dict[str, str]:
         "merged_cube": "monthly_cube",
         "unsorted_project_sheet": "project_sheet",
         "unsorted_project_history": "project_history",
+        "coded_risk_ranking": "risk_ranking",
+        "indexed_search": "project_search",
         "routed_kpi_board": "kpi_board",
         "routed_monthly_curve": "monthly_curve",
         "routed_project_progress": "project_progress",

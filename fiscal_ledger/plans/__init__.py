@@ -48,6 +48,7 @@ from fiscal_ledger.plans.projects import (
 )
 from fiscal_ledger.plans.quality import coercion_report
 from fiscal_ledger.plans.routing import LedgerTables
+from fiscal_ledger.plans.search import indexed_search, search_candidates
 
 __all__ = [
     "LedgerTables",
@@ -68,6 +69,7 @@ __all__ = [
     "execution_overview",
     "filter_options",
     "funding_function_distribution",
+    "indexed_search",
     "kpi_autonomy",
     "kpi_board",
     "kpi_iced",
@@ -89,6 +91,7 @@ __all__ = [
     "project_sheet",
     "project_totals",
     "risk_ranking",
+    "search_candidates",
     "spillover_alerts",
     "top_functions",
     "top_funding_sources",

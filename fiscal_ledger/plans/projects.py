@@ -59,17 +59,35 @@ def project_search(ledger: DataFrame, text: str | None, where: Where = None) ->
     return _most_accrued_first(found)
 
 
-def risk_ranking(ledger: DataFrame, where: Where = None, limit: int = 50) -> DataFrame:
-    """The capital projects with the lowest progress."""
-    return (
-        _capital_rows(ledger, where)
-        .groupBy(key(s.CUI), key(s.PROJECT))
-        .agg(F.max(s.UNIT).alias("unit"), *totals(s.PIM, s.ACCRUED))
+def risk_ranking(ledger: DataFrame, where: Where = None, limit: int = 50, unit_names: DataFrame | None = None) -> DataFrame:
+    """The capital projects with the lowest progress, each with the last of its units in text order.
+
+    Spark sorts the input of a MAX of text. With ``unit_names``, a dictionary from ``write_names``, the lines carry the
+    units' numbers instead, whose maximum stays in the hash-aggregation buffer, and only the
+    projects that are left at the end are given their unit's name. A unit that the dictionary lacks is an error.
+    """
+    rows = _capital_rows(ledger, where)
+    if unit_names is None:
+        last_unit = F.max(s.UNIT).alias("unit")
+    else:
+        numbers = unit_names.select(F.col("name").alias(s.UNIT), F.col("number").alias("unit_number"))
+        rows = rows.join(numbers, s.UNIT, "left")
+        unknown = F.col(s.UNIT).isNotNull() & F.col("unit_number").isNull()
+        error = F.raise_error(F.concat(F.lit("not in the dictionary of units: "), F.col(s.UNIT))).cast("bigint")
+        last_unit = F.max(F.when(unknown, error).otherwise(F.col("unit_number"))).alias("unit")
+    order = F.asc_nulls_last("pct"), F.asc_nulls_last("cui"), F.asc_nulls_last("project")
+    lowest = (
+        rows.groupBy(key(s.CUI), key(s.PROJECT))
+        .agg(last_unit, *totals(s.PIM, s.ACCRUED))
         .where(F.col("pim") > 0)
         .withColumn("pct", nullif_pct(F.col("accrued"), F.col("pim")))
-        .orderBy(F.asc_nulls_last("pct"), F.asc_nulls_last("cui"), F.asc_nulls_last("project"))
+        .orderBy(*order)
         .limit(limit)
     )
+    if unit_names is None:
+        return lowest
+    named = lowest.withColumnRenamed("unit", "number").join(unit_names, "number", "left")
+    return named.select("cui", "project", F.col("name").alias("unit"), "pim", "accrued", "pct").orderBy(*order)
 
 
 def project_sheet(
