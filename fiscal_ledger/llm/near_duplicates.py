@@ -6,10 +6,12 @@ tuple of them, in text order, is a bucket. Two texts that share runs in the same
 Of texts of up to ``SHORT`` words, and of those that could be like them, every run is a bucket: edits within the
 threshold leave texts of 6 words or more a run of 3 words in common, and shorter ones (up to 5) a run of 2, so these meet for certain.
 
-A bucket first compares each text with its smallest member. Buckets that hold more than one class after that go on in
-rounds: about ``GROWTH`` times as many members as before, chosen by hash, are compared with the members of the other classes,
-until a bucket holds one class or every pair of different classes in it was tried. Pairs whose word counts alone
-rule them out are dropped first. Pairs are verified by the
+Each text is first compared with the smallest member of one of its buckets, then, where they are not in one class by then, with those of
+the others. Buckets that hold more than one class after that are cut into blocks of about ``BLOCK`` members by length class and hash. Only
+blocks whose lengths can be alike meet, and a task compares the signs of two blocks at once, as arrays: how many words of each of
+``KINDS`` classes a text has, which rules out nearly all unlike texts. Pairs that this leaves, for each text the ``CLOSEST`` of other classes by these counts, are all
+that leaves the task. What was cut off by that number is looked at in further rounds with ``GROWTH`` times as many, until every
+pair of different classes in a bucket has been ruled out or tried. Pairs are verified by the
 exact word edit distance inside the band that the threshold allows, ``1 - distance / longer >= 0.8``. Classes are
 the connected components.
 
@@ -37,7 +39,9 @@ SKETCHES = 40
 PICKED = 2
 # Words of texts whose every run is a bucket; texts like one of them have at most this over SIMILARITY.
 SHORT = 40
-# How many more members of a bucket are compared with the others in each round.
+# Members of a block, partners of a text that leave a comparison of two blocks, and how many more of them in each further round.
+BLOCK = 512
+CLOSEST = 4
 GROWTH = 16
 # Word counts of a text are kept by so many classes of words.
 KINDS = 64
@@ -154,22 +158,54 @@ def signs(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [int(n).to_bytes(8, "little") + row.tobytes() for n, row in zip(lengths, small, strict=True)]
 
 
-def may_be_alike(one: list[bytes], other: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
-    """False where the signs of two texts rule out that they are alike: an edit changes one word for another at most."""
+def _parts(of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its counts by class of words."""
+    table = np.frombuffer(b"".join(of), np.uint8).reshape(len(of), 8 + 2 * KINDS)
+    return table[:, :8].copy().view("<i8")[:, 0], table[:, 8:].copy().view("<u2").astype(np.int32)
 
-    def parts(of: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        table = np.frombuffer(b"".join(of), np.uint8).reshape(len(of), 8 + 2 * KINDS)
-        return table[:, :8].copy().view("<i8")[:, 0], table[:, 8:].copy().view("<u2").astype(np.int32)
 
-    (n, a), (m, b) = parts(one), parts(other)
-    most = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9)
+def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of edits between texts with these counts: an edit changes one word for another at most."""
     gone = a - b
-    edits = np.maximum(np.maximum(gone, 0).sum(axis=1), np.maximum(-gone, 0).sum(axis=1))
-    return (np.abs(n - m) <= most) & (edits <= most)
+    more = np.maximum(gone, 0).sum(axis=-1)
+    return np.maximum(more, more - gone.sum(axis=-1))
+
+
+def may_be_alike(one: list[bytes], other: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
+    """False where the signs of two texts rule out that they are alike."""
+    (n, a), (m, b) = _parts(one), _parts(other)
+    most = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9)
+    return (np.abs(n - m) <= most) & (_edits(a, b) <= most)
+
+
+def closest(
+    one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], allowed: np.ndarray, most_each: int, similarity: float = SIMILARITY
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of two blocks (words, counts) that may be alike: each text's closest on the other side, and whether there are more."""
+    (n, a), (m, b) = one, other
+    edits = np.empty((len(n), len(m)), np.int32)
+    step = max(1, (1 << 22) // max(1, len(m) * KINDS))
+    for start in range(0, len(n), step):
+        edits[start : start + step] = _edits(a[start : start + step, None], b[None])
+    most = np.floor((1 - similarity) * np.maximum(n[:, None], m[None]) + 1e-9)
+    possible = allowed & (np.abs(n[:, None] - m[None]) <= most) & (edits <= most)
+    share = np.where(possible, edits / np.maximum(np.maximum(n[:, None], m[None]), 1), np.inf)
+    chosen = np.zeros(possible.shape, bool)
+    for axis in (0, 1):
+        if possible.shape[axis] <= most_each:
+            chosen |= possible
+        else:
+            least = np.argpartition(share, most_each - 1, axis=axis)
+            best = np.take(least, np.arange(most_each), axis=axis)
+            marks = np.zeros(possible.shape, bool)
+            np.put_along_axis(marks, best, True, axis=axis)
+            chosen |= marks & possible
+    x, y = np.nonzero(chosen)
+    return x, y, bool((possible & ~chosen).any())
 
 
 def _sketch_table(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, keys, sign) of (doc_id, node, text)."""
+    """(doc_id, node, keys, sign, span) of (doc_id, node, text); texts that are alike have spans of at most one apart."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +221,15 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
                 part = batch.slice(first, last - first)
+                # A little wider than the similarity asks for, so that rounding can't put alike texts two apart.
+                spans = np.floor(np.log(np.maximum(np.diff(ends), 1)) / (np.log(1 / SIMILARITY) + 1e-6)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("node"), lists, pa.array(signs(hashes, ends), pa.binary())],
-                    names=["doc_id", "node", "keys", "sign"],
+                    [part.column("doc_id"), part.column("node"), lists, pa.array(signs(hashes, ends), pa.binary()), pa.array(spans)],
+                    names=["doc_id", "node", "keys", "sign", "span"],
                 )
                 first = last
 
-    return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>, sign binary")
+    return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>, sign binary, span int")
 
 
 def edit_distance_within(one: np.ndarray, other: np.ndarray, most: int) -> int | None:
@@ -336,50 +374,104 @@ def _words_of(pairs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
     return _word_table(texts.join(wanted, same, "left_semi"))
 
 
+def _ruled(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the signs do not rule out."""
+    one = signed.select(F.col("node").alias("u"), F.col("sign").alias("one"))
+    other = signed.select(F.col("node").alias("v"), F.col("sign").alias("other"))
+    return _possible(pairs.join(one, "u").join(other, "v"))
+
+
+def _block_pairs(members: DataFrame, most_each: int, path: str) -> DataFrame:
+    """(u, v) of different classes that the signs do not rule out, from members (key, node, class, sign, span) of buckets.
+
+    A row with nulls says that some pairs were left for a further round.
+    """
+    parts = members.groupBy("key", "span").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = _table(parts, f"{path}/parts")
+    salted = members.join(parts, ["key", "span"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    blocks = _table(
+        salted.groupBy("key", "span", "part").agg(F.collect_list(F.struct("node", "class", "sign")).alias("texts")), f"{path}/blocks"
+    )
+    # Only blocks of one length class, each two once, or of neighbouring ones.
+    one = blocks.select("key", F.explode(F.array("span", F.col("span") + 1)).alias("span"), F.col("span").alias("own"), F.col("part").alias("own_part"), F.col("texts").alias("one"))
+    other = blocks.select("key", "span", "part", F.col("texts").alias("other"))
+    met = one.join(other, ["key", "span"]).where((F.col("own") < F.col("span")) | (F.col("own_part") <= F.col("part")))
+
+    def side(texts: pa.StructArray) -> tuple:
+        return texts.field("node").to_numpy(), texts.field("class").to_numpy(), _parts(texts.field("sign").to_pylist())
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs, more = [], [], False
+            for first, second in zip(batch.column("one"), batch.column("other"), strict=True):
+                (u, u_class, u_sign), (v, v_class, v_sign) = side(first.values), side(second.values)
+                x, y, left = closest(u_sign, v_sign, u_class[:, None] != v_class[None], most_each)
+                us.append(u[x])
+                vs.append(v[y])
+                more |= left
+            u, v = (np.concatenate(of) if of else np.empty(0, np.int64) for of in (us, vs))
+            high, low = np.maximum(u, v), np.minimum(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["u", "v"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["u", "v"])
+
+    return met.select("one", "other").mapInArrow(releasing(compare), "u bigint, v bigint").distinct()
+
+
 def _classes(single: DataFrame, ids: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     """(node, component) of the nodes with links."""
     rows = single.select("node", F.explode("keys").alias("key")).distinct()
     sizes = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
     # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
-    leaders = _table(sizes.where("size > 1"), f"{path}/leaders")
+    leaders = _table(sizes.where("size > 1").select("key", "leader"), f"{path}/leaders")
     rows = _table(rows.join(leaders.select("key"), "key", "left_semi"), f"{path}/rows")
-    pairs = rows.join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    # The leader is the smallest, so u > v as in the rounds.
-    tried = pairs = _table(pairs.distinct(), f"{path}/pairs")
-    links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{path}/words")), f"{path}/links")
-    classes = _table(components(links), f"{path}/components")
-    signed = single.select("node", "sign")
-    number, first, last = 0, 0, GROWTH
+    signed = single.select("node", "sign", "span")
+    classes: DataFrame | None = None
+    tried: DataFrame | None = None
+
+    def link(pairs: DataFrame, at: str) -> None:
+        """Verify the pairs (a table) and add their links to the classes."""
+        nonlocal classes, tried
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{at}/words")), f"{at}/links")
+        if classes is not None:
+            links = links.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        classes = _table(components(links), f"{at}/components")
+
+    def of_class(column: str) -> DataFrame:
+        return classes.select(F.col("node").alias(column), F.col("component").alias(f"{column}_class"))
+
+    # Each node and one leader: in a group of copies nearly all then have one class, and the other leaders need no look.
+    met = rows.join(leaders, "key").where("node <> leader")
+    first = met.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    link(_table(_ruled(first, signed), f"{path}/first-pairs"), f"{path}/first")
+    placed = rows.join(of_class("node"), "node", "left").withColumn("class", F.coalesce("node_class", "node"))
+    led = leaders.join(of_class("leader"), "leader", "left").withColumn("leader_class", F.coalesce("leader_class", "leader"))
+    led = _table(led, f"{path}/led")
+    placed = _table(placed.select("key", "node", "class"), f"{path}/placed")
+    others = placed.join(led, "key").where(F.col("class") != F.col("leader_class")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    others = _ruled(_table(others.distinct(), f"{path}/leader-pairs").join(tried, ["u", "v"], "left_anti"), signed)
+    link(_table(others, f"{path}/other-pairs"), f"{path}/others")
+
+    number, most_each = 0, CLOSEST
     while True:
         number, at = number + 1, f"{path}/round-{number}"
         placed = rows.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
         several = placed.groupBy("key").agg(
             F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
         )
-        # Members not compared as a chosen one yet are left only in buckets with more than ``first``.
-        left = _table(several.where((F.col("low") < F.col("high")) & (F.col("size") > max(2, first))).select("key", "size"), f"{at}/open")
+        # The two of a pair have met as member and leader.
+        left = _table(several.where("low < high AND size > 2").select("key"), f"{at}/open")
         if left.isEmpty():
             return classes
-        place = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-        members = placed.join(left, "key").withColumn("place", place).join(signed, "node")
-        members = _table(members, f"{at}/members")
-        chosen = _table(members.where((F.col("place") >= first) & (F.col("place") < last)), f"{at}/chosen")
-        one = chosen.select("key", F.col("node").alias("a"), F.col("class").alias("one_class"), F.col("place").alias("one_place"), F.col("sign").alias("a_sign"))
-        other = members.select("key", F.col("node").alias("b"), "class", "place", F.col("sign").alias("b_sign"))
-        # Of two members the one that is chosen first is compared with the other.
-        before = F.struct("one_place", "a") < F.struct("place", "b")
-        met = one.join(other, "key").where((F.col("one_class") != F.col("class")) & before)
-        met = met.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_sign").alias("one"), F.col("b_sign").alias("other"))
-        # The signs are compared as the pairs are met, so that only what they leave is written.
-        fresh = _possible(met).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = _table(fresh.join(tried, ["u", "v"], "left_anti"), f"{at}/pairs")
-        tried = tried.unionByName(pairs)
+        members = _table(placed.join(left, "key").join(signed, "node"), f"{at}/members")
+        found = _table(_block_pairs(members, most_each, at), f"{at}/found")
+        pairs = _table(found.where("u IS NOT NULL").join(tried, ["u", "v"], "left_anti"), f"{at}/pairs")
         if not pairs.isEmpty():
-            links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{at}/words")), f"{at}/links")
-            if not links.isEmpty():
-                known = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
-                classes = _table(components(known.unionByName(links)), f"{at}/components")
-        first, last = last, last * GROWTH
+            link(pairs, at)
+        if found.where("u IS NULL").isEmpty():
+            return classes
+        most_each *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -389,7 +481,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = _table(_sketch_table(texts), f"{path}/sketches")
-    single = _table(sketches.select("node", "keys", "sign").dropDuplicates(["node"]), f"{path}/single")
+    single = _table(sketches.select("node", "keys", "sign", "span").dropDuplicates(["node"]), f"{path}/single")
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     classes = _classes(single, ids, texts, path)
     members = sketches.select("doc_id", "node").join(classes, "node", "left").select(
@@ -406,13 +498,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct(),
         new_table_path(docs.sparkSession, "near-duplicates-kept"),
     )
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["_node"].eqNullSafe(kept["node"]) & keyed["doc_id"].eqNullSafe(kept["doc_id"])
+    # The row as one column, so that no name of the user's can clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    keyed = keyed.withColumn("doc_id", F.col("row.doc_id"))
+    same = keyed["node"].eqNullSafe(kept["node"]) & keyed["doc_id"].eqNullSafe(kept["doc_id"])
     stay = keyed.join(kept, same, "left_semi")
     twice = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).count() > kept.count()
     if twice:  # the same row more than once: an id and its text stand for it
-        stay = stay.dropDuplicates(["doc_id", "_node"])
-    return stay.drop("_node")
+        stay = stay.dropDuplicates(["doc_id", "node"])
+    return stay.select("row.*")
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

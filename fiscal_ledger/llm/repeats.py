@@ -575,6 +575,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:
-    """What is left of all documents without repeated strings of 400 bytes."""
+    """What is left of all documents without repeated strings of 400 bytes; the text has marks where a character was cut."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)

@@ -123,13 +123,16 @@ def test_fingerprints_follow_order(spark):
 def test_repeats(spark, folder, monkeypatch, kinds):
     monkeypatch.setattr(repeats, "MOST_KINDS", kinds)
     docs = [(d[0], (d[1] or "").encode()) for d in fixture.documents()]
-    expected = []
+    expected, texts = [], []
     for (doc_id, data), gone in zip(docs, brute.removed_bytes([t for _, t in docs]), strict=True):
         kept = bytes(np.frombuffer(data, np.uint8)[~gone])
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         expected.append((doc_id, len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        texts.append((doc_id, kept.decode("utf-8", "replace")))
     assert sum(e[2] for e in expected) > 3000
-    assert canonical(query(4)(spark, folder).collect()) == canonical(expected)
+    found = query(4)(spark, folder)
+    assert canonical(found.drop("text").collect()) == canonical(expected)
+    assert canonical(found.select("doc_id", "text").collect()) == canonical(texts)
 
 
 def test_run_length_index():
