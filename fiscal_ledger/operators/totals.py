@@ -24,39 +24,36 @@ Sum = Callable[[Column], Column]
 # Bits of a limb, and the least power of two that an exact sum tells apart.
 LIMB_BITS = 26
 LOWEST_BITS = 3 * LIMB_BITS
-# Amounts beyond are added plainly, as are infinities and NaN.
-LARGEST = 2.0**80
+# Of amounts beyond only the highest limb counts.
+LARGEST = 2.0**79
 
 
 def exact_sum(value: Column) -> Column:
     """SUM of doubles that is the same bit for bit however the rows are dealt out and whichever tasks run again.
 
     An amount is cut into whole numbers, limbs of 26 bits that stand for multiples of 2^26, 1, 2^-26, 2^-52 and 2^-78: each is what
-    rounding to its multiple leaves over from rounding to the one above, and these differences of doubles are exact. The limbs are
-    added up as bigints, which is exact in any order; only the five totals become a double again, highest first, after their carries.
-    So the result is that of the real sum, but for what an amount has below 2^-78. The limbs' sums hold 2^37 rows a key, and
-    absolute amounts of 2^88 in all. NULL without any amount; with an infinity or NaN what adding it gives.
+    rounding to its multiple leaves over from rounding to the one above, and these differences of doubles are exact. The lower limbs are
+    added up as bigints, the highest, which also carries infinities and NaN, as a double of whole numbers below 2^53; both are exact in any
+    order. Only the five totals become a double again, highest first, after their carries. So the result is
+    that of the real sum, but for what an amount has below 2^-78. The limbs' sums hold 2^37 rows a key, and
+    absolute amounts of 2^79 in all. NULL without any amount.
     """
-    regular = F.abs(value) < LARGEST
-    kept = F.when(regular, value)
+    kept = F.when(F.abs(value) < LARGEST, value).otherwise(F.lit(0.0))
 
     def rounded(bits: int) -> Column:
         return F.rint(kept * 2.0**bits)
 
-    steps = range(-LIMB_BITS, LOWEST_BITS + 1, LIMB_BITS)
-    limbs = [rounded(bits) - (rounded(bits - LIMB_BITS) * 2.0**LIMB_BITS if bits != steps[0] else 0.0) for bits in steps]
-    sums = [F.sum(limb.cast("bigint")) for limb in limbs]
     # Carries, lowest limb first: what a limb keeps is from 0 up to 2^26.
-    carry, digits = F.lit(0).cast("bigint"), []
-    for limb in reversed(sums[1:]):
-        whole = limb + carry
-        digits.append(whole.bitwiseAND(F.lit((1 << LIMB_BITS) - 1)))
-        carry = F.shiftright(whole, LIMB_BITS)
-    lowest, low, middle, high = (d.cast("double") for d in digits)
-    top = (sums[0] + carry).cast("double") * 2.0**LIMB_BITS
-    regular_sum = top + (high + middle * 2.0**-LIMB_BITS) + (low * 2.0 ** (-2 * LIMB_BITS) + lowest * 2.0**-LOWEST_BITS)
-    others = F.sum(F.when(~regular, value))
-    return F.when(others.isNull(), regular_sum).otherwise(others + F.coalesce(regular_sum, F.lit(0.0)))
+    carry, digits = None, []
+    for bits in range(LOWEST_BITS, -1, -LIMB_BITS):
+        limb = F.sum((rounded(bits) - rounded(bits - LIMB_BITS) * 2.0**LIMB_BITS).cast("bigint"))
+        limb = limb if carry is None else limb + carry
+        digits.append(limb.bitwiseAND(F.lit((1 << LIMB_BITS) - 1)))
+        carry = F.shiftright(limb, LIMB_BITS)
+    # Two digits make 52 bits, which a double holds.
+    low, high = ((F.shiftleft(upper, LIMB_BITS) + lower).cast("double") for lower, upper in (digits[:2], digits[2:]))
+    top = (F.sum(F.rint(value * 2.0**-LIMB_BITS)) + carry.cast("double")) * 2.0**LIMB_BITS
+    return top + high * 2.0**-LIMB_BITS + low * 2.0**-LOWEST_BITS
 
 
 def total(measure: str, sum_of: Sum = F.sum) -> Column:
