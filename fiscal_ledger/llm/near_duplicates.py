@@ -453,7 +453,7 @@ def _classes(single: DataFrame, ids: DataFrame, texts: DataFrame, path: str) ->
     others = _ruled(_table(others.distinct(), f"{path}/leader-pairs").join(tried, ["u", "v"], "left_anti"), signed)
     link(_table(others, f"{path}/other-pairs"), f"{path}/others")
 
-    number, most_each = 0, CLOSEST
+    number, most_each = 0, 1
     while True:
         number, at = number + 1, f"{path}/round-{number}"
         placed = rows.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
@@ -461,17 +461,23 @@ def _classes(single: DataFrame, ids: DataFrame, texts: DataFrame, path: str) ->
             F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
         )
         # The two of a pair have met as member and leader.
-        left = _table(several.where("low < high AND size > 2").select("key"), f"{at}/open")
+        left = _table(several.where("low < high AND size > 2").select("key", "size"), f"{at}/open")
         if left.isEmpty():
             return classes
-        members = _table(placed.join(left, "key").join(signed, "node"), f"{at}/members")
+        members = placed.join(left, "key")
+        if number == 1:
+            # To begin with each text only meets the others of its largest bucket, and its closest there: versions of
+            # one original then find it, and their many other buckets are settled without a look.
+            largest = members.groupBy("node").agg(F.max(F.struct("size", "key")).alias("of")).select("node", "of.key")
+            members = members.join(_table(largest, f"{at}/largest"), ["node", "key"], "left_semi")
+        members = _table(members.drop("size").join(signed, "node"), f"{at}/members")
         found = _table(_block_pairs(members, most_each, at), f"{at}/found")
         pairs = _table(found.where("u IS NOT NULL").join(tried, ["u", "v"], "left_anti"), f"{at}/pairs")
         if not pairs.isEmpty():
             link(pairs, at)
-        if found.where("u IS NULL").isEmpty():
+        if number > 1 and found.where("u IS NULL").isEmpty():
             return classes
-        most_each *= GROWTH
+        most_each = CLOSEST if number == 1 else most_each * GROWTH
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def test_nothing_but_blanks(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, folder, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     found = QUERIES[name](spark, folder)
     columns = sorted(found.columns)
