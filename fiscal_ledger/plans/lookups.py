@@ -26,7 +26,7 @@ def filter_options(ledger: DataFrame, column: str, where: Where = None) -> DataF
 SELECTORS = ("year", "level", "sector", "entity", "unit")
 
 
-def cascade_options(ledger: DataFrame, chosen: LedgerFilter | None = None) -> DataFrame:
+def cascade_options(ledger: DataFrame, where: LedgerFilter | None = None) -> DataFrame:
     """The options of all five selectors for the choices made so far: (position, selector, option).
 
     Each list is what its own query gives (``years_available``, ``filter_options`` of a level under the
@@ -34,7 +34,7 @@ def cascade_options(ledger: DataFrame, chosen: LedgerFilter | None = None) -> Da
     through the hierarchy, by partial aggregation before the shuffle; those few rows are
     then turned into options, one per list that their path belongs to. Years come latest first, the others ascending.
     """
-    chosen = chosen or LedgerFilter()
+    chosen = where or LedgerFilter()
     paths = ledger.select(s.YEAR, s.LEVEL, s.SECTOR, s.ENTITY, s.UNIT_CODE, s.UNIT).distinct()
     values = {
         "year": F.col(s.YEAR).cast("int").cast("string"),

@@ -16,7 +16,7 @@ ASIA_2000 = LedgerFilter(year=2000, level="ASIA")
 ON_LEDGER = {
     name: getattr(plans, name)
     for name in entry_points.ledger_queries()
-    if hasattr(plans, name) and name not in ("coercion_report", "monthly_cube", "years_available")
+    if hasattr(plans, name) and name not in ("coercion_report", "monthly_cube", "years_available", "indexed_search")
 }
 ARGUMENTS = {"filter_options": (s.ENTITY,), "project_sheet": ("2000015",), "project_history": ("2000015",), "project_search": ("ring",)}
 
