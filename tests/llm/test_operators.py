@@ -415,9 +415,3 @@ PAGE = (
 )
 def test_main_text(page, text):
     assert main_text(page) == text
-
-
-def test_html(spark, folder):
-    rows = query(9)(spark, folder).collect()
-    expected = [(p[0], p[1], main_text(p[2] or ""), len(main_text(p[2] or ""))) for p in fixture.pages()]
-    assert canonical(rows) == canonical(expected)
