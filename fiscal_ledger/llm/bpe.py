@@ -8,6 +8,9 @@ priority, each as one gadget. Merging (u, v) into w
 * adds a state for w whose arcs are those v's state has at that moment;
 * adds an arc labelled w to each state that still has an arc labelled u.
 
+A merge whose arc from u to v does not stand any more, or never did, has no gadget: an earlier merge has always
+taken one of its parts before. A list that names a merge before those that make its parts is refused.
+
 After the last gadget the paths of the automaton are exactly the token sequences
 that applying the merges in order can produce, and each byte string has one path. A gadget
 differs from the automaton before it in one removed arc and copied rows and
@@ -79,9 +82,16 @@ class MergeAutomaton:
         self.first = [-1] * size  # whose incoming arcs it copies
         self.last = [-1] * size  # whose outgoing arcs it copies
         self.removed_at: dict[int, int] = {}
+        self._gadgets = len(merges)
+        self._arcs: dict[int, bool] = {}
+        named: set[int] = set()  # parts that no merge before had made
         for at, (u, v, w) in enumerate(merges):
-            if self.first[w] >= 0 or len(labels[w]) == 1:
-                raise ValueError(f"token {w} is made by more than one merge")
+            missing = [t for t in (u, v) if len(labels[t]) > 1 and self.first[t] < 0]
+            named.update(missing)
+            if missing or not self._lookup(u, v, at):
+                continue
+            if w in named:
+                raise ValueError(f"a merge of token {w} comes before the one that makes it")
             self.born[w], self.first[w], self.last[w] = at, u, v
             self.removed_at[u << 24 | v] = at
         # Byte trie of the labels as a transition table: (node, byte) -> node, and the token that ends at a node.
@@ -96,7 +106,6 @@ class MergeAutomaton:
                 if node == len(self.ends):
                     self.ends.append(-1)
             self.ends[node] = token
-        self._arcs: dict[int, bool] = {}
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the finished automaton has an arc labelled ``token`` from ``state``."""
@@ -106,13 +115,12 @@ class MergeAutomaton:
         if known is None:
             if len(self._arcs) >= KEPT_ARCS:
                 self._arcs.clear()
-            known = self._arcs[state << 24 | token] = self._lookup(state, token)
+            known = self._arcs[state << 24 | token] = self._lookup(state, token, self._gadgets)
         return known
 
-    def _lookup(self, state: int, token: int) -> bool:
+    def _lookup(self, state: int, token: int, moment: int) -> bool:
         # Back through the gadgets: the younger end copied its side of the arc from a parent when it was made,
         # and the arc then stood unless a gadget of its own removed it, before the moment asked for.
-        moment = len(self.removed_at)
         while True:
             if self.removed_at.get(state << 24 | token, moment) < moment:
                 return False
