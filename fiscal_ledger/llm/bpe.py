@@ -17,8 +17,10 @@ differs from the automaton before it in one removed arc and copied rows and
 columns, so it is stored as that difference: two parents per state and one removed
 arc. Looking an arc up follows the parents back in time, and is memoised.
 
-**Encoding.** A word is read along a byte trie of the token labels, a table of transitions. Of the tokens
-it meets, the automaton's arcs allow those that may follow the state; the path that reaches the end is the encoding.
+**Encoding.** Beginnings of paths are paths, so each beginning of a word has one path too, and a last token. A word is
+read byte by byte along a second table, of the labels' beginnings with links to their longest ends, which names the tokens
+that end at a byte, longest first. Exactly one of them has an arc from the last token of the path before it: that
+is the transition. Nothing is read twice or taken back; at the end the last tokens give the path.
 **Decoding** concatenates the labels of the arcs.
 
 Nulls count as empty text. Rows come out one for one: ties, repeated rows and ids stay,
@@ -94,18 +96,43 @@ class MergeAutomaton:
                 raise ValueError(f"a merge of token {w} comes before the one that makes it")
             self.born[w], self.first[w], self.last[w] = at, u, v
             self.removed_at[u << 24 | v] = at
-        # Byte trie of the labels as a transition table: (node, byte) -> node, and the token that ends at a node.
-        self.moves: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        reachable = {t for t in labels if len(labels[t]) == 1 or self.first[t] >= 0}
-        for token in sorted(reachable):
+        self._read_labels([t for t in labels if len(labels[t]) == 1 or self.first[t] >= 0])
+
+    def _read_labels(self, tokens: list[int]) -> None:
+        """Compile the table that names the tokens ending at each byte of a word."""
+        self.moves: dict[int, int] = {}  # (node, byte) -> node
+        ends = [-1]  # the token whose label leads to a node
+        for token in sorted(tokens):
             node = 0
-            for byte in labels[token]:
-                key = node << 8 | byte
-                node = self.moves.setdefault(key, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = token
+            for byte in self.labels[token]:
+                node = self.moves.setdefault(node << 8 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = token
+        self.sizes = [0] * len(self.born)
+        for token in tokens:
+            self.sizes[token] = len(self.labels[token])
+        # The node of a node's longest proper end; a node's longest token; a token's longest proper end that is one.
+        self.links, self.longest, self.shorter = [0] * len(ends), ends, [-1] * len(self.born)
+        level = [0]
+        moves_of: dict[int, list[tuple[int, int]]] = {}
+        for key, child in self.moves.items():
+            moves_of.setdefault(key >> 8, []).append((key & 255, child))
+        while level:
+            further = []
+            for node in level:
+                for byte, child in moves_of.get(node, ()):
+                    link = self.links[node]
+                    while link and (link << 8 | byte) not in self.moves:
+                        link = self.links[link]
+                    link = self.moves.get(link << 8 | byte, 0) if node else 0
+                    self.links[child] = link
+                    if ends[child] >= 0:
+                        self.shorter[ends[child]] = ends[link]
+                    else:
+                        ends[child] = ends[link]
+                    further.append(child)
+            level = further
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the finished automaton has an arc labelled ``token`` from ``state``."""
@@ -135,47 +162,25 @@ class MergeAutomaton:
                 moment, state = born, self.last[state]
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """The one path of the automaton that spells the word.
-
-        From each state the longest token that an arc allows is tried first. A state
-        and place from which the end can't be reached is left again, once.
-        """
-        size = len(word)
-        choices = self._tokens_at(word, 0)
-        if size and len(self.labels[choices[-1]]) == size:
-            return (choices[-1],)
-        arc, labels = self.arc, self.labels
-        at, state = 0, self.start
+        """The one path of the automaton that spells the word."""
+        moves, links, longest, shorter, sizes, arc = self.moves, self.links, self.longest, self.shorter, self.sizes, self.arc
+        node, at, last = 0, 0, [self.start]
+        for byte in word:
+            at += 1
+            while (follows := moves.get(node << 8 | byte)) is None:
+                node = links[node]
+            node = follows
+            token = longest[node]
+            size = sizes[token]
+            while size != at and not arc(last[at - size], token):
+                token = shorter[token]
+                size = sizes[token]
+            last.append(token)
         path: list[int] = []
-        left: list[tuple[int, int, list[int]]] = []
-        dead: set[tuple[int, int]] = set()
-        while at < size:
-            while choices:
-                token = choices.pop()
-                after = at + len(labels[token])
-                if arc(state, token) and (not dead or (after, token) not in dead):
-                    path.append(token)
-                    left.append((at, state, choices))
-                    at, state = after, token
-                    choices = self._tokens_at(word, at)
-                    break
-            else:
-                dead.add((at, state))
-                at, state, choices = left.pop()
-                path.pop()
-        return tuple(path)
-
-    def _tokens_at(self, word: bytes, at: int) -> list[int]:
-        """The tokens the word continues with at a place, shortest first."""
-        moves, ends = self.moves, self.ends
-        found, node = [], 0
-        for place in range(at, len(word)):
-            node = moves.get(node << 8 | word[place])
-            if node is None:
-                break
-            if ends[node] >= 0:
-                found.append(ends[node])
-        return found
+        while at:
+            path.append(last[at])
+            at -= sizes[last[at]]
+        return tuple(reversed(path))
 
 
 class ByteLevelBpe:
@@ -204,6 +209,8 @@ class ByteLevelBpe:
 
         vocabulary = model["vocab"]
         labels = {number: spelt(token) for token, number in vocabulary.items()}
+        if len({label for label in labels.values() if len(label) == 1}) < 256:
+            raise ValueError(f"{path} has no token for some bytes")
         pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
         merges = [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in pairs]
         self._compile = lambda: MergeAutomaton(labels, merges)
