@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, one per language.
 
-Symbols are characters; those beyond the first 3840 code points share 256 classes. A text's n-grams begin with
-empty symbols. The steps:
+Characters up to U+077F are symbols, others are written as two, so different texts have different symbols.
+A text's n-grams begin with empty symbols. The steps:
 
 1. Documents are packed into blocks of some ``BLOCK_BYTES``, as compressed files in the shared folder. From then on only
    n-grams, counts and scores are shuffled, never texts. The manifest that Spark commits names the blocks.
@@ -45,9 +45,11 @@ TRUSTED_QUANTILE = 0.995
 BAD_QUANTILE = 0.05
 TOWARDS_BAD = 0.5
 
-# n-grams are numbers of 12 bits per symbol, the last symbol lowest.
+# n-grams are numbers of 12 bits per symbol, the last symbol lowest. Code points from PLAIN on are a first symbol
+# from PLAIN on and a second one, of 10 bits of them, from SECOND on.
 BITS = 12
-PLAIN = 0xF00
+PLAIN = 0x780
+SECOND = 0xBC0
 # Keys that a language is dealt over where rows join something known per language.
 SALTS = 64
 # No document's language: those are empty or begin with "=".
@@ -61,16 +63,27 @@ def _low(order: int) -> int:
 
 
 def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram at every character of some texts, end to end, and the number of characters of each."""
+    """The n-gram at every symbol of some texts, end to end, and the number of symbols of each."""
     pad = "\0" * (order - 1)
-    clean = [t.replace("\0", "�") if "\0" in t else t for t in texts]
+    clean = [t.replace("\0", "\ufffd") if "\0" in t else t for t in texts]
     points = np.frombuffer((pad + pad.join(clean)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.where(points < PLAIN, points, PLAIN + (points & 0xFF)).astype(np.int64)
+    symbols = points.astype(np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    wide = points >= PLAIN
+    if wide.any():
+        before = np.concatenate(([0], np.cumsum(wide)))
+        firsts = np.cumsum(lengths + order - 1) - lengths
+        rest = symbols[wide] - PLAIN
+        seconds = np.flatnonzero(wide) + before[:-1][wide] + 1
+        symbols[wide] = PLAIN + (rest >> 10)
+        symbols = np.repeat(symbols, 1 + wide)
+        symbols[seconds] = SECOND + (rest & 0x3FF)
+        lengths = lengths + before[firsts + lengths] - before[firsts]
     count = max(0, len(symbols) - order + 1)
     keys = np.zeros(count, np.int64)
     for step in range(order):
         keys = keys << BITS | symbols[step : step + count]
-    return keys[symbols[order - 1 :] != 0], np.array([len(t) for t in texts], np.int64)
+    return keys[symbols[order - 1 :] != 0], lengths
 
 
 def _slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -287,7 +300,7 @@ def _block_scores(answered: DataFrame, folder: str) -> DataFrame:
                 total = np.concatenate(([0.0], np.cumsum(values[np.searchsorted(known, grams)]) if len(grams) else []))
                 ends = np.cumsum(lengths)
                 at = rows[first : first + len(part)]
-                chars[at] = lengths
+                chars[at] = [len(text) for text in part]
                 nll[at] = -(total[ends] - total[ends - lengths])
         return pa.Table.from_arrays(
             [

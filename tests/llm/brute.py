@@ -153,8 +153,11 @@ class KneserNey:
         symbols = [0] * (self.order - 1)
         for char in text.replace("\0", "�"):
             point = ord(char)
-            symbols.append(point if point < 0xF00 else 0xF00 + (point & 0xFF))
-            yield tuple(symbols[-self.order :])
+            high, low = divmod(point - 0x780, 1024)
+            # The two parts of a wide character differ from each other and from characters.
+            for symbol in [point] if point < 0x780 else [("high", high), ("low", low)]:
+                symbols.append(symbol)
+                yield tuple(symbols[-self.order :])
 
     def p(self, gram: tuple) -> float:
         size = len(gram)
