@@ -24,23 +24,36 @@ from fiscal_ledger.settings import new_table_path, remove_paths, table_paths
 PASSAGE_BYTES = 200
 
 
-_of_last_stage: list[str] = []
+# The tables that a stage made for itself, by session, folder of the tables and stage.
+_own_tables: dict[tuple[str, str, str], list[str]] = {}
 
 
 def _stage(of: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Before a stage, the tables that the stage before it made for itself go: its result has been written."""
+    """Before a stage, the tables that the stage before it made for itself go, unless its documents still read them."""
 
     @wraps(of)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_paths(spark, _of_last_stage)
+        names = [stage.__name__ for _, stage in STAGES]
+        application, at = spark.sparkContext.applicationId, names.index(of.__name__)
+        if at > 0:
+            finished = _own_tables.get((application, sf_dir, names[at - 1]), [])
+            read = docs.inputFiles() if finished else []
+            if not any(path in file for path in map(_bare, finished) for file in read):
+                remove_paths(spark, finished)
+                _own_tables.pop((application, sf_dir, names[at - 1]), None)
         known = len(table_paths())
         made = of(spark, docs, sf_dir)
-        _of_last_stage[:] = table_paths()[known:]
+        _own_tables.setdefault((application, sf_dir, of.__name__), []).extend(table_paths()[known:])
         return made
 
     return run_stage
 
 
+def _bare(path: str) -> str:
+    """A table's path from the application's folder on: names in it are used once, whatever the scheme is spelt like."""
+    return "/".join(path.split("/")[-2:]) + "/"
+
+
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
