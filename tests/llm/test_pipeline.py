@@ -60,3 +60,10 @@ def test_stages_keep_the_columns(spark, tables):
 def test_empty(spark, tmp_path):
     folder = fixture.write(spark, str(tmp_path), empty=True)
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_a_stage_that_is_not_written_keeps_its_tables(spark, tables):
+    docs = spark.read.parquet(f"{tables[1]}/documents.parquet")
+    checked = corpus_pipeline.quality(spark, docs, tables[1])
+    corpus_pipeline.near_duplicates(spark, checked, tables[1])
+    assert checked.count() > 0
