@@ -46,6 +46,8 @@ GROWTH = 16
 # Word counts of a text are kept by so many classes of words.
 KINDS = 64
 SIMILARITY = 0.8
+# Edits up to which a band is aligned as bits; a wider one by diagonals, with the same result.
+MOST_BITS = 2047
 # Bytes of text sketched at once.
 PIECE_BYTES = 2 << 20
 
@@ -232,11 +234,50 @@ def _sketch_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(releasing(of), "doc_id bigint, node bigint, keys array<bigint>, sign binary, span int")
 
 
+def _distance_in_bits(one: list[int], other: list[int], most: int) -> int:
+    """The edit distance if it is at most ``most``, else a number beyond it, for lengths that differ by at most ``most``.
+
+    A column of the band is a whole number per sign: in which of its ``2 * most + 1`` rows the distance is one
+    more, or one less, than in the row above. From column to column the band moves down by one row.
+    """
+    n, top = len(one), 2 * most
+    band = (1 << top + 1) - 1
+    more, less = band ^ ((1 << most) - 1), 0
+    # Rows of the band by word, and the column that they are stated for.
+    rows: dict[int, tuple[int, int]] = {}
+
+    def of(word: int, column: int) -> int:
+        bits, since = rows.get(word, (0, column))
+        return bits >> column - since
+
+    for row in range(min(most, n)):
+        rows[one[row]] = (of(one[row], 0) | 1 << most + row, 0)
+    # Followed along the lower edge until that meets the last row, and along this row from there.
+    distance = min(most, n)
+    for column, word in enumerate(other):
+        entering = column + most
+        if entering < n:
+            rows[one[entering]] = (of(one[entering], column) | 1 << top, column)
+        equal = of(word, column)
+        kept = ((((equal & more) + more) & band) ^ more) | equal | less
+        right_more = less | (band ^ (kept | more))
+        right_less = kept & more
+        if entering < n:
+            distance += not kept >> top
+        else:
+            place = n - 1 - column + most
+            distance += (right_more >> place & 1) - (right_less >> place & 1)
+        kept >>= 1
+        more, less = right_less | (band ^ (kept | right_more)), kept & right_more
+    return distance
+
+
 def edit_distance_within(one: np.ndarray, other: np.ndarray, most: int) -> int | None:
     """The edit distance of two sequences if it is at most ``most``, else None.
 
-    Round d holds, for each diagonal of the band, how far d edits reach. Equal stretches
-    are passed over by comparing prefix hashes, by bisection for the whole band at once.
+    Up to ``MOST_BITS`` the columns of the band are worked off as bits. Beyond, round d holds, for each diagonal of the
+    band, how far d edits reach. Equal stretches are passed over by comparing prefix hashes, by bisection for the
+    whole band at once.
     """
     short = min(len(one), len(other))
     if abs(len(one) - len(other)) > most:
@@ -259,6 +300,9 @@ def edit_distance_within(one: np.ndarray, other: np.ndarray, most: int) -> int |
     common = int(np.minimum(np.bincount(codes[:n], minlength=kinds), np.bincount(codes[n:], minlength=kinds)).sum())
     if max(n, m) - common > most:
         return None
+    if most <= MOST_BITS:
+        edits = _distance_in_bits(codes[:n].tolist(), codes[n:].tolist(), most)
+        return edits if edits <= most else None
 
     powers = np.full(max(n, m) + 1, _ODD, np.uint64)
     powers[0] = 1

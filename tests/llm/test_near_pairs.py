@@ -54,3 +54,21 @@ def test_columns_of_any_name_stay(spark):
     kept = nd.one_of_each(docs)
     assert kept.dtypes == docs.dtypes
     assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] != 50)
+
+
+def test_distances_as_bits_and_by_diagonals_are_plain_distances(monkeypatch):
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        one = rng.integers(0, rng.choice((2, 5, 40)), rng.integers(0, 25)).astype(np.uint32)
+        other = np.delete(one, rng.integers(0, len(one), 3)) if len(one) and rng.random() < 0.5 else one.copy()
+        other = np.insert(other, rng.integers(0, len(other) + 1, rng.integers(0, 4)), rng.integers(0, 40)).astype(np.uint32)
+        row = list(range(len(other) + 1))
+        for i, word in enumerate(one, 1):
+            last, row[0] = row[0], i
+            for j, against in enumerate(other, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + int(word != against))
+        for most in (0, 1, 2, 4, 9, 30):
+            expected = row[-1] if row[-1] <= most else None
+            for bits in (2047, -1):
+                monkeypatch.setattr(nd, "MOST_BITS", bits)
+                assert nd.edit_distance_within(one, other, most) == expected
