@@ -15,8 +15,10 @@ Vectors are compared with those of the same label and length only. Equal vectors
    linked nodes, it is enlarged to the whole connected component: its members are compared block by block and
    only counts leave a task. No list of all pairs is ever made.
 4. **Audit.** The true links of nodes chosen by hash are counted against all rows, for ``AUDITED`` nodes at a time until enough
-   linked ones are met. If the result has less than ``RECALL`` of them, the search goes on with twice the sets of
-   hyperplanes; if that does not help ``MOST_SEARCHES`` times, it is an error.
+   linked ones are met. Where none has a link, probes are made at the threshold from ``AUDITED`` vectors, and those that
+   share a block with their vector are counted. If the result has less than ``RECALL`` of the links, or of the probes less by
+   more than chance explains, the search goes on with twice the sets of hyperplanes; if that does not help
+   ``MOST_SEARCHES`` times, it is an error.
 
 Null, zero and non-finite vectors and vectors without a label link with nothing: no links, their own component. Repeated
 rows are copies like any others. Ids may repeat; a component's id is its smallest id. An empty table gives an empty
@@ -47,6 +49,8 @@ AUDITED = 1000
 AUDITED_LINKED = 100
 MOST_AUDITS = 8
 RECALL = 0.995
+# Three standard deviations of a share of RECALL among AUDITED probes.
+PROBE_ERROR = 0.007
 MOST_SEARCHES = 4
 MOST_ROUNDS = 8
 SEED = 7
@@ -196,8 +200,11 @@ def _tables(bits: int, threshold: float) -> int:
     return tables
 
 
-def _start(nodes: DataFrame, bits: int, tables: range, threshold: float) -> DataFrame:
-    """Candidate pairs from blocks of nodes on the same side of random hyperplanes."""
+_BLOCK_OF = ["grp", "part", "signs"]
+
+
+def _dealt(nodes: DataFrame, bits: int, tables: range) -> DataFrame:
+    """(grp, part, signs, node, half): the sides of random hyperplanes that each node is on, per set of them."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -220,15 +227,58 @@ def _start(nodes: DataFrame, bits: int, tables: range, threshold: float) -> Data
                     names=["grp", "part", "signs", "node", "half"],
                 )
 
-    dealt = nodes.select("grp", "node", "half").mapInArrow(
+    return nodes.select("grp", "node", "half").mapInArrow(
         releasing(deal), "grp string, part bigint, signs bigint, node bigint, half binary"
     )
-    block = ["grp", "part", "signs"]
-    large = dealt.groupBy(block).count().where(F.col("count") > MOST_BLOCK)
-    salted = dealt.join(large, block, "left").withColumn(
+
+
+def _large(dealt: DataFrame) -> DataFrame:
+    """(grp, part, signs, count) of blocks with too many nodes."""
+    return dealt.groupBy(_BLOCK_OF).count().where(F.col("count") > MOST_BLOCK)
+
+
+def _salted(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """Large blocks dealt on by hash, the part as a column salt."""
+    return dealt.join(large, _BLOCK_OF, "left").withColumn(
         "salt", F.pmod(F.xxhash64("node", "part"), F.ceil(F.coalesce("count", F.lit(1)) / MOST_BLOCK))
     )
-    return _best_within(salted.groupBy(*block, "salt"), threshold)
+
+
+def _start(nodes: DataFrame, bits: int, tables: range, threshold: float) -> DataFrame:
+    """Candidate pairs from blocks of nodes on the same side of random hyperplanes."""
+    dealt = _dealt(nodes, bits, tables)
+    return _best_within(_salted(dealt, _large(dealt)).groupBy(*_BLOCK_OF, "salt"), threshold)
+
+
+def _probed(nodes: DataFrame, bits: int, tables: int, threshold: float) -> float:
+    """Share of AUDITED nodes that share a block with a probe, a vector made at the threshold from the node's.
+
+    Probes are dealt into the blocks of all nodes but compared with none, so no result depends on them.
+    """
+    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "grp", "unit").collect()
+    if not chosen:
+        return 1.0
+    rng = np.random.default_rng([SEED, tables])
+    cosine = min(1.0, threshold + ROUNDING)
+    rows = []
+    for number, row in enumerate(chosen):
+        unit = np.frombuffer(row.unit, np.float64)
+        side = rng.standard_normal(len(unit))
+        side -= (side @ unit) * unit
+        length = np.sqrt(side @ side)
+        # In one dimension nothing is at the threshold; the node's copy stands for it.
+        probe = cosine * unit + np.sqrt(1 - cosine**2) * side / length if len(unit) > 1 else unit
+        rows.append((row.node, number, row.grp, unit.astype(np.float16).tobytes(), probe.astype(np.float16).tobytes()))
+    pairs = nodes.sparkSession.createDataFrame(rows, "origin bigint, probe bigint, grp string, own binary, turned binary")
+    large = _large(_dealt(nodes, bits, range(tables)))
+
+    def blocks(name: str, half: str) -> DataFrame:
+        one = pairs.select(F.col(name).alias("node"), "grp", F.col(half).alias("half"))
+        return _salted(_dealt(one, bits, range(tables)), large).select(*_BLOCK_OF, "salt", F.col("node").alias(name))
+
+    origins = blocks("origin", "own").join(pairs.select("origin", "probe"), "origin")
+    met = origins.join(blocks("probe", "turned"), [*_BLOCK_OF, "salt", "probe"])
+    return met.select("probe").distinct().count() / len(chosen)
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
@@ -403,7 +453,7 @@ def near_duplicate_vectors(
 ) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label), and the audited recall.
 
-    ``rounds``: descents between audits at most. Without any true link to audit, the recall is the chance of the blocks.
+    ``rounds``: descents between audits at most. Without any true link to audit, the recall is that of the probes.
     """
     path = new_table_path(vectors.sparkSession, "embeddings")
     read = vectors.select("vec_id", "embedding", "label")
@@ -425,10 +475,10 @@ def near_duplicate_vectors(
             seen = state
             lists = _table(_descend(lists, nodes, f"{at}/lists-{number}", threshold), f"{at}/lists-{number}")
         members, counts = _linked(lists, nodes, threshold, at)
-        recall = _audit(counts, truth)
+        recall, least_recall = _audit(counts, truth), RECALL
         if recall is None:
-            recall = _chance(bits, tables, threshold)
-        if recall >= RECALL:
+            recall, least_recall = _probed(nodes, bits, tables, threshold), RECALL - PROBE_ERROR
+        if recall >= least_recall:
             break
         done, tables = tables, 2 * tables
     else:

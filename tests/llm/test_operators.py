@@ -361,6 +361,23 @@ def test_embeddings_audit_meets_links(spark, monkeypatch):
         embeddings.near_duplicate_vectors(table)
 
 
+def test_embeddings_without_links_are_audited_by_probes(spark, monkeypatch):
+    """Probes measure the blocks as they are, also those dealt on by hash, and change no result."""
+    rng = np.random.default_rng(11)
+    lone = rng.standard_normal((400, 48))
+    lone /= np.linalg.norm(lone, axis=1, keepdims=True)
+    table = vector_table(spark, lone)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rows, recall = embeddings.near_duplicate_vectors(table)
+    assert embeddings.RECALL - embeddings.PROBE_ERROR <= recall <= 1
+    assert {(r.n_links, r.component_id == r.vec_id, r.kept) for r in rows.collect()} == {(0, True, True)}
+    monkeypatch.setattr(embeddings, "MOST_BLOCK", 4)
+    monkeypatch.setattr(embeddings, "MOST_SEARCHES", 1)
+    with pytest.raises(RuntimeError, match="audited links"):
+        embeddings.near_duplicate_vectors(table)
+    assert embeddings.near_duplicate_vectors(table.limit(0))[1] == 1.0
+
+
 def test_mix_in_training_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = mixed(docs).collect()
