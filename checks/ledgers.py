@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.star import star_ledger
+from checks.star import by_goal, by_row_order, by_year, in_no_order, star_ledger
 from fiscal_ledger import schema as s
 from fiscal_ledger.plans import LedgerTables, merge_into_cube, write_cube
 from fiscal_ledger.settings import new_table_path
@@ -36,7 +36,7 @@ def typed_ledger(spark: SparkSession, folder: str) -> DataFrame:
         spark,
         folder,
         "typed",
-        lambda path: ledger_ingest(star_ledger(spark, folder), path, rebalance=True),
+        lambda path: ledger_ingest(star_ledger(spark, folder, by_row_order), path),
     )
 
 
@@ -73,7 +73,7 @@ def unsorted_ledger(spark: SparkSession, folder: str) -> DataFrame:
         spark,
         folder,
         "unsorted",
-        lambda path: ledger_ingest(star_ledger(spark, folder).repartition(2), path, sort=False, row_group_bytes=256 << 10),
+        lambda path: ledger_ingest(star_ledger(spark, folder, in_no_order), path, sort=False, row_group_bytes=256 << 10),
     )
 
 
@@ -86,7 +86,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 
 def many_files_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The raw ledger read back from a folder per goal, in three layouts: text, other types and an extra column, lower-case names."""
-    raw = star_ledger(spark, folder)
+    raw = star_ledger(spark, folder, by_goal)
 
     def write(path: str) -> DataFrame:
         shape = F.col(s.GOAL_CODE).cast("int") % 3
@@ -94,8 +94,8 @@ def many_files_scan(spark: SparkSession, folder: str) -> DataFrame:
         frames = [raw.where(shape == 0), raw.where(shape == 1).withColumns(typed), raw.where(shape == 2).toDF(*(c.lower() for c in s.COLUMNS))]
         paths = []
         for number, frame in enumerate(frames):
-            by_goal = frame.withColumn("goal_folder", F.col(s.GOAL_CODE))
-            by_goal.hint("rebalance", F.col("goal_folder")).write.partitionBy("goal_folder").parquet(f"{path}/{number}")
+            in_folders = frame.withColumn("goal_folder", F.col(s.GOAL_CODE))
+            in_folders.write.partitionBy("goal_folder").parquet(f"{path}/{number}")
             paths += _children(spark, f"{path}/{number}")
         return scan_files(spark, paths)
 
@@ -105,7 +105,7 @@ def many_files_scan(spark: SparkSession, folder: str) -> DataFrame:
 def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
     # The copy of the year names the folders and leaves the column in the files.
     dated = raw.withColumn("file_year", F.col(s.YEAR))
-    dated.hint("rebalance", F.col("file_year")).write.partitionBy("file_year").parquet(path)
+    dated.write.partitionBy("file_year").parquet(path)
     spark = raw.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
@@ -115,7 +115,7 @@ def _write_yearly_files(raw: DataFrame, path: str) -> DataFrame:
 
 def yearly_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The raw ledger read back from one Parquet folder per fiscal year, latest year first."""
-    raw = star_ledger(spark, folder)
+    raw = star_ledger(spark, folder, by_year)
     return _once(spark, folder, "yearly", lambda path: _write_yearly_files(raw, path))
 
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from checks import ledgers
-from checks.star import star_ledger
+from checks import ledgers, star
+from checks.star import by_goal, by_row_order, by_year, in_no_order, star_ledger
 from fiscal_ledger import ledger_ingest, open_ledger, plans, read_ledger, scan_files
 from fiscal_ledger import schema as s
 from fiscal_ledger import settings
@@ -187,3 +187,35 @@ def test_a_part_with_a_third_of_the_lines(spark, tmp_path):
     assert sorted(map(repr, rows_)) == sorted(map(repr, expected.collect()))
     table = open_ledger(spark, path)
     assert table.exceptAll(normalise(expected)).isEmpty() and table.count() == count
+
+
+@pytest.mark.parametrize("deal", [by_row_order, by_year, by_goal, in_no_order])
+def test_only_order_lines_are_shuffled(spark, monkeypatch, deal):
+    """The dealt ledger is the same, its texts and second halves are made behind all shuffles, and tasks are as many as the lines need."""
+    monkeypatch.setattr(star, "ORDER_LINES_PER_TASK", 500)
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        dealt = star_ledger(spark, folder, deal)
+        rows_ = dealt.collect()
+        explained = dealt._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(repr, rows_)) == sorted(map(repr, star_ledger(spark, folder).collect()))
+    # Seen from the result, the doubling comes before the first shuffle, and so do the sectors' joins.
+    final = explained.split("== Initial Plan ==")[0]
+    assert final.index("Generate explode") < final.index(" Exchange ")
+    assert final.index("n_nationkey") < final.index(" Exchange ")
+    assert dealt.rdd.getNumPartitions() >= -(-lines // 500)
+
+
+def test_small_row_groups_have_small_filters(spark, tmp_path):
+    """Filters are sized for what a group can hold; 200,000 CUIs a group took 256 KB each, in a file of groups of 32 KB."""
+    number = F.col("id")
+    constant = raw_ledger(spark, {}).drop(s.YEAR, s.CUI)
+    raw = spark.range(20_000).select(F.lit(2025).alias(s.YEAR), F.sha2(number.cast("string"), 256).alias(s.CUI)).crossJoin(constant)
+    ledger_ingest(raw.coalesce(1), str(tmp_path / "out"), sort=False, row_group_bytes=32 << 10)
+    size = sum(file.stat().st_size for file in (tmp_path / "out").rglob("*.parquet"))
+    assert size < 4 << 20
