@@ -17,6 +17,8 @@ CLUSTERING = (s.YEAR, s.EXPENSE_CLASS, s.CUI)
 # every group spans all CUIs. It is sized for this many distinct CUIs in a row group; with more it only lets more groups through.
 # (A group whose CUIs fit a dictionary needs none: the reader looks into the dictionary.)
 CUIS_PER_ROW_GROUP = 200_000
+# A line takes more than these bytes of a row group, so small groups are given filters in proportion.
+LEAST_LINE_BYTES = 16
 
 
 def write_by_year(frame: DataFrame, path: str, rebalance: bool, sort: bool = True, row_group_bytes: int | None = None) -> None:
@@ -37,13 +39,14 @@ def write_by_year(frame: DataFrame, path: str, rebalance: bool, sort: bool = Tru
         frame = frame.repartitionByRange(*CLUSTERING, s.GOAL_CODE)
     if sort:
         frame = frame.sortWithinPartitions(*CLUSTERING)
+    cuis = CUIS_PER_ROW_GROUP if row_group_bytes is None else min(CUIS_PER_ROW_GROUP, max(1, row_group_bytes // LEAST_LINE_BYTES))
     writer = (
         frame.write.partitionBy(s.YEAR)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option(f"parquet.bloom.filter.enabled#{s.CUI}", "true")
-        .option(f"parquet.bloom.filter.expected.ndv#{s.CUI}", str(CUIS_PER_ROW_GROUP))
+        .option(f"parquet.bloom.filter.expected.ndv#{s.CUI}", str(cuis))
     )
     if row_group_bytes is not None:
         writer = writer.option("parquet.block.size", str(row_group_bytes))
