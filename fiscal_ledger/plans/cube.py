@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscal_ledger import schema as s
-from fiscal_ledger.sources.typed import open_ledger, write_by_year
+from fiscal_ledger.sources.typed import CLUSTERING, open_ledger, write_by_year
 
 # Below the cube's folder; Spark's readers pass over names that begin with an underscore.
 _STAGED = "_staged"
 _MERGED = "_merged"
 
+# Lines that a task turns into cells at most: a cell takes some 600 bytes of its hash map, and cells may be as many as lines.
+LINES_PER_TASK = 500_000
+
 
 def monthly_cube(ledger: DataFrame) -> DataFrame:
     """The seven measures by year, month and every code and name of the contract.
@@ -23,9 +26,20 @@ def monthly_cube(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*s.DIMENSIONS).agg(*[F.sum(m).alias(m) for m in s.MEASURES]).select(*s.COLUMNS)
 
 
+def _cells(ledger: DataFrame) -> DataFrame:
+    """The monthly cube of a ledger, each cell in the range of the row order that its file holds.
+
+    Lines are dealt out in ranges of the cube's own dimensions before they are summed, so a single shuffle serves the sums and the
+    files. Summing first would do so in the tasks that scan, and one that reads a well-compressed file has more cells than its memory holds. The
+    number of ranges follows the number of lines. Dimensions behind the row order spread a CUI and goal with very many lines.
+    """
+    tasks = max(ledger.sparkSession.sparkContext.defaultParallelism, -(-ledger.count() // LINES_PER_TASK))
+    return monthly_cube(ledger.repartitionByRange(tasks, *CLUSTERING, s.GOAL_CODE, s.UNIT_CODE, s.MONTH, s.FUNDING_CODE))
+
+
 def write_cube(ledger: DataFrame, path: str) -> DataFrame:
     """Write the cube partitioned by year and return the written table."""
-    write_by_year(monthly_cube(ledger), path, rebalance=True)
+    write_by_year(_cells(ledger.select(*s.COLUMNS)), path, rebalance=False)
     return open_ledger(ledger.sparkSession, path)
 
 
@@ -57,14 +71,14 @@ def merge_into_cube(late: DataFrame, path: str, batch: str) -> DataFrame:
     entry = spark.createDataFrame([(batch,)], "batch string").coalesce(1)
     complete = f"{path}/{_STAGED}/complete={batch}"
     if not _exists(spark, f"{complete}/_SUCCESS"):
-        delta = monthly_cube(late.select(*s.COLUMNS))
+        late = late.select(*s.COLUMNS)
         # One row per fiscal year, and null for lines without one.
-        years = [row[0] for row in delta.select(s.YEAR).distinct().collect()]
+        years = [row[0] for row in late.select(s.YEAR).distinct().collect()]
         in_years = F.col(s.YEAR).isin([y for y in years if y is not None])
         if None in years:
             in_years = F.coalesce(in_years, F.lit(True))
         touched = open_ledger(spark, path).where(in_years)
-        write_by_year(monthly_cube(touched.unionByName(delta)), staged, rebalance=True)
+        write_by_year(_cells(touched.unionByName(late)), staged, rebalance=False)
         entry.write.mode("overwrite").parquet(complete)
     write_by_year(open_ledger(spark, staged), path, rebalance=False)
     entry.write.mode("append").parquet(f"{path}/{_MERGED}")

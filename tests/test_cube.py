@@ -122,3 +122,16 @@ def test_a_page_reads_the_cube(spark):
     on_ledger = LedgerTables(tables.ledger).page(LedgerFilter(year=2000, level="ASIA"), cui="2000015")
     for name, frame in page.items():
         assert sorted(map(repr, frame.collect())) == sorted(map(repr, on_ledger[name].collect())), name
+
+
+def test_a_cube_is_written_with_one_shuffle(spark, monkeypatch):
+    """Lines reach the tasks that sum and write them in ranges, as many as the lines need, and not as sums per scanning task."""
+    from fiscal_ledger.plans import cube as module
+
+    monkeypatch.setattr(module, "LINES_PER_TASK", 1000)
+    table = ledgers.typed_ledger(spark, SF_DIR)
+    cells = module._cells(table)
+    initial = cells._jdf.queryExecution().sparkPlan().toString() + plan(cells)
+    assert "Exchange rangepartitioning" in initial and "Exchange hashpartitioning" not in initial
+    assert cells.rdd.getNumPartitions() >= table.count() // 1000
+    same(cells, plans.monthly_cube(table))
