@@ -31,6 +31,15 @@ def _small_star(edges: DataFrame, path: str) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, or larger ones only: then each component is a star around its smallest."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    )
+    counts = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return not counts.agg(F.max(F.col("smaller") + F.col("larger") * F.least("smaller", F.lit(1)) > 1)).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on the edges (u, v): the smallest node it is connected to.
 
@@ -41,13 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     path = new_table_path(edges.sparkSession, "components")
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = _table(ordered, f"{path}/0")
-    seen, step = None, 0
-    while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen, step = state, step + 1
+    current, step = _table(ordered, f"{path}/0"), 0
+    while not _settled(current):
+        step += 1
         to = f"{path}/{step}"
         current = _table(_small_star(_large_star(current, to), to), to)
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -7,11 +7,12 @@ Of texts of up to ``SHORT`` words, and of those that could be like them, every r
 threshold leave texts of 6 words or more a run of 3 words in common, and shorter ones (up to 5) a run of 2, so these meet for certain.
 
 Each text is first compared with the smallest member of one of its buckets, then, where they are not in one class by then, with those of
-the others. Buckets that hold more than one class after that are cut into blocks of about ``BLOCK`` members by length class and hash. Only
+the others. Buckets whose other members are of more than one class after that are cut into blocks of about ``BLOCK`` members by length class and hash. Only
 blocks whose lengths can be alike meet, and a task compares the signs of two blocks at once, as arrays: how many words of each of
-``KINDS`` classes a text has, which rules out nearly all unlike texts. Pairs that this leaves, for each text the ``CLOSEST`` of other classes by these counts, are all
-that leaves the task. What was cut off by that number is looked at in further rounds with ``GROWTH`` times as many, until every
-pair of different classes in a bucket has been ruled out or tried. Pairs are verified by the
+``KINDS`` classes a text has, which rules out nearly all unlike texts. A pair is looked at in one bucket only, the smallest that both texts are in.
+What this leaves are tiles of up to ``TILE`` texts of either block, a row each, with the pairs in two bytes each. A task gets the words of a tile's texts and
+tries its pairs, the closest first, but for those that are in one class by then; only the links that join classes leave it, fewer than the tile has texts.
+So every pair of different classes in a bucket has been ruled out or tried, in one round. Pairs are verified by the
 exact word edit distance inside the band that the threshold allows, ``1 - distance / longer >= 0.8``. Classes are
 the connected components.
 
@@ -27,11 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscal_ledger.llm.graph import components
-from fiscal_ledger.llm.memory import releasing
+from fiscal_ledger.llm.memory import release, releasing
 from fiscal_ledger.settings import new_table_path
 
 K = 3
@@ -39,17 +41,17 @@ SKETCHES = 40
 PICKED = 2
 # Words of texts whose every run is a bucket; texts like one of them have at most this over SIMILARITY.
 SHORT = 40
-# Members of a block, partners of a text that leave a comparison of two blocks, and how many more of them in each further round.
+# Members of a block; texts, and words if there are several texts, on one side of a tile.
 BLOCK = 512
-CLOSEST = 4
-GROWTH = 16
+TILE = 128
+TILE_WORDS = 1 << 21
 # Word counts of a text are kept by so many classes of words.
 KINDS = 64
 SIMILARITY = 0.8
 # Edits up to which a band is aligned as bits; a wider one by diagonals, with the same result.
 MOST_BITS = 2047
-# Bytes of text sketched at once.
-PIECE_BYTES = 2 << 20
+# Bytes of text sketched at once; the arrays of a piece take some 60 times as many.
+PIECE_BYTES = 1 << 19
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -183,15 +185,18 @@ def may_be_alike(one: list[bytes], other: list[bytes], similarity: float = SIMIL
 def closest(
     one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], allowed: np.ndarray, most_each: int, similarity: float = SIMILARITY
 ) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of two blocks (words, counts) that may be alike: each text's closest on the other side, and whether there are more."""
+    """Pairs of two blocks (words, counts) that may be alike: each text's closest on the other side, closest first, and whether there are more."""
     (n, a), (m, b) = one, other
-    edits = np.empty((len(n), len(m)), np.int32)
-    step = max(1, (1 << 22) // max(1, len(m) * KINDS))
-    for start in range(0, len(n), step):
-        edits[start : start + step] = _edits(a[start : start + step, None], b[None])
-    most = np.floor((1 - similarity) * np.maximum(n[:, None], m[None]) + 1e-9)
-    possible = allowed & (np.abs(n[:, None] - m[None]) <= most) & (edits <= most)
-    share = np.where(possible, edits / np.maximum(np.maximum(n[:, None], m[None]), 1), np.inf)
+    longer = np.maximum(n[:, None], m[None])
+    most = np.floor((1 - similarity) * longer + 1e-9)
+    x, y = np.nonzero(allowed & (np.abs(n[:, None] - m[None]) <= most))
+    share = np.full(allowed.shape, np.inf)
+    step = (1 << 22) // KINDS
+    for start in range(0, len(x), step):
+        i, j = x[start : start + step], y[start : start + step]
+        edits = _edits(a[i], b[j])
+        share[i, j] = np.where(edits <= most[i, j], edits / np.maximum(longer[i, j], 1), np.inf)
+    possible = share < np.inf
     chosen = np.zeros(possible.shape, bool)
     for axis in (0, 1):
         if possible.shape[axis] <= most_each:
@@ -203,22 +208,24 @@ def closest(
             np.put_along_axis(marks, best, True, axis=axis)
             chosen |= marks & possible
     x, y = np.nonzero(chosen)
-    return x, y, bool((possible & ~chosen).any())
+    order = np.argsort(share[x, y], kind="stable")
+    return x[order], y[order], bool((possible & ~chosen).any())
 
 
 def _sketch_table(texts: DataFrame) -> DataFrame:
     """(doc_id, node, keys, sign, span) of (doc_id, node, text); texts that are alike have spans of at most one apart."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what an earlier stage has left in this worker
         for batch in batches:
-            values = batch.column("text").to_pylist()
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
             first = 0
-            while first < len(values):
+            while first < len(sizes):
                 last, held = first, 0
-                while last < len(values) and (last == first or held + len(values[last]) <= PIECE_BYTES):
-                    held += len(values[last])
+                while last < len(sizes) and (last == first or held + sizes[last] <= PIECE_BYTES):
+                    held += int(sizes[last])
                     last += 1
-                hashes, ends = hash_words(values[first:last])
+                hashes, ends = hash_words(batch.column("text").slice(first, last - first).to_pylist())
                 keys, counts = sketch(hashes, ends)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
@@ -410,10 +417,9 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(releasing(check), "u bigint, v bigint")
 
 
-def _words_of(pairs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, words) of the text of one document for each node on a pair."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ids, "node")
+def _words_of(nodes: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, words) of the text of one document for each of the nodes."""
+    wanted = nodes.distinct().join(ids, "node")
     same = texts["node"].eqNullSafe(wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     return _word_table(texts.join(wanted, same, "left_semi"))
 
@@ -425,103 +431,170 @@ def _ruled(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return _possible(pairs.join(one, "u").join(other, "v"))
 
 
-def _block_pairs(members: DataFrame, most_each: int, path: str) -> DataFrame:
-    """(u, v) of different classes that the signs do not rule out, from members (key, node, class, sign, span) of buckets.
+def _sharing(one: pa.ListArray, other: pa.ListArray) -> np.ndarray:
+    """Whether the lists of two blocks have a number in common."""
+    owners = [np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy())) for of in (one, other)]
+    values = [of.values.to_numpy()[of.offsets[0].as_py() : of.offsets[-1].as_py()] for of in (one, other)]
+    found = np.zeros((len(one), len(other)), bool)
+    common = np.intersect1d(*values)
+    sides = []
+    for own, numbers in zip(owners, values, strict=True):
+        inside = np.isin(numbers, common)
+        own, numbers = own[inside], numbers[inside]
+        order = np.argsort(numbers, kind="stable")
+        sides.append(np.split(own[order], np.searchsorted(numbers[order], common[1:])) if len(common) else [])
+    for x, y in zip(*sides, strict=True):
+        found[np.ix_(x, y)] = True
+    return found
 
-    A row with nulls says that some pairs were left for a further round.
+
+def _cuts(words: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of a block, of at most ``TILE`` texts and ``TILE_WORDS`` words, or of one text."""
+    parts, part, texts, held = np.zeros(len(words), np.int64), 0, 0, 0
+    for at, size in enumerate(words.tolist()):
+        if texts and (texts == TILE or held + size > TILE_WORDS):
+            part, texts, held = part + 1, 0, 0
+        parts[at], texts, held = part, texts + 1, held + size
+    return parts
+
+
+_TILES = pa.schema([("nodes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64())), ("pairs", pa.binary())])
+
+
+def _tiles(members: DataFrame, path: str) -> DataFrame:
+    """Tiles (nodes, classes, pairs) of what the signs do not rule out, from members (node, class, sign, span, keys) of buckets.
+
+    The pairs are of different classes, two bytes each, places among the nodes, the closest first. Each pair comes once.
     """
-    parts = members.groupBy("key", "span").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    parts = _table(parts, f"{path}/parts")
-    salted = members.join(parts, ["key", "span"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    rows = members.withColumn("key", F.explode("keys")).withColumn("lesser", F.filter("keys", lambda key: key < F.col("key"))).drop("keys")
+    parts = members.select("span", F.explode("keys").alias("key")).groupBy("key", "span")
+    parts = _table(parts.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), f"{path}/parts")
+    salted = rows.join(parts, ["key", "span"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = _table(
-        salted.groupBy("key", "span", "part").agg(F.collect_list(F.struct("node", "class", "sign")).alias("texts")), f"{path}/blocks"
+        salted.groupBy("key", "span", "part").agg(F.collect_list(F.struct("node", "class", "sign", "lesser")).alias("texts")), f"{path}/blocks"
     )
     # Only blocks of one length class, each two once, or of neighbouring ones.
     one = blocks.select("key", F.explode(F.array("span", F.col("span") + 1)).alias("span"), F.col("span").alias("own"), F.col("part").alias("own_part"), F.col("texts").alias("one"))
     other = blocks.select("key", "span", "part", F.col("texts").alias("other"))
     met = one.join(other, ["key", "span"]).where((F.col("own") < F.col("span")) | (F.col("own_part") <= F.col("part")))
+    same = (F.col("own") == F.col("span")) & (F.col("own_part") == F.col("part"))
 
     def side(texts: pa.StructArray) -> tuple:
-        return texts.field("node").to_numpy(), texts.field("class").to_numpy(), _parts(texts.field("sign").to_pylist())
+        return texts.field("node").to_numpy(), texts.field("class").to_numpy(), _parts(texts.field("sign").to_pylist()), texts.field("lesser")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs, more = [], [], False
-            for first, second in zip(batch.column("one"), batch.column("other"), strict=True):
-                (u, u_class, u_sign), (v, v_class, v_sign) = side(first.values), side(second.values)
-                x, y, left = closest(u_sign, v_sign, u_class[:, None] != v_class[None], most_each)
-                us.append(u[x])
-                vs.append(v[y])
-                more |= left
-            u, v = (np.concatenate(of) if of else np.empty(0, np.int64) for of in (us, vs))
-            high, low = np.maximum(u, v), np.minimum(u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["u", "v"])
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["u", "v"])
-
-    return met.select("one", "other").mapInArrow(releasing(compare), "u bigint, v bigint").distinct()
-
-
-def _classes(single: DataFrame, ids: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+            found: list[tuple[list, list, bytes]] = []
+            for first, second, itself in zip(batch.column("one"), batch.column("other"), batch.column("same").to_pylist(), strict=True):
+                (u, u_class, u_sign, u_keys), (v, v_class, v_sign, v_keys) = side(first.values), side(second.values)
+                allowed = u_class[:, None] != v_class[None]
+                if itself:
+                    allowed = np.triu(allowed, 1)
+                if not allowed.any():
+                    continue
+                allowed &= ~_sharing(u_keys, v_keys)
+                x, y, _ = closest(u_sign, v_sign, allowed, max(allowed.shape))
+                if not len(x):
+                    continue
+                of = _cuts(u_sign[0])[x] * len(v) + _cuts(v_sign[0])[y]
+                order = np.argsort(of, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                    ends = np.concatenate((u[x[at]], v[y[at]]))
+                    nodes, once, places = np.unique(ends, return_index=True, return_inverse=True)
+                    classes = np.concatenate((u_class[x[at]], v_class[y[at]]))[once]
+                    pairs = places.astype(np.uint8).reshape(2, -1).T.tobytes()
+                    found.append((nodes.tolist(), classes.tolist(), pairs))
+                if sum(len(pairs) for *_, pairs in found) > PIECE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), _TILES, strict=True)], schema=_TILES)
+                    found.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), _TILES, strict=True)], schema=_TILES)
+
+    return met.select("one", "other", same.alias("same")).mapInArrow(releasing(compare), "nodes array<bigint>, classes array<bigint>, pairs binary")
+
+
+def joined(classes: np.ndarray, pairs: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs of classes that the pairs of alike texts join, without those that others have joined."""
+    names, own = np.unique(classes, return_inverse=True)
+    above, links = list(range(len(names))), []
+
+    def top(of: int) -> int:
+        while above[of] != of:
+            above[of] = of = above[above[of]]
+        return of
+
+    for one, other in pairs.tolist():
+        a, b = top(int(own[one])), top(int(own[other]))
+        if a != b and alike(words[one], words[other]):
+            above[max(a, b)] = min(a, b)
+            links.append((int(names[max(a, b)]), int(names[min(a, b)])))
+    return links
+
+
+def _tried(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of the classes that the pairs of the tiles (tile, classes, pairs) join, from their texts (of, at, words)."""
+
+    def join(tile: pa.Table, members: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if tile.num_rows:
+            words = {at: np.frombuffer(w, np.uint32) for at, w in zip(members.column("at").to_pylist(), members.column("words").to_pylist(), strict=True)}
+            pairs = np.frombuffer(tile.column("pairs")[0].as_py(), np.uint8).reshape(-1, 2)
+            links = joined(np.array(tile.column("classes")[0].as_py()), pairs, [words[at] for at in range(len(words))])
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return tiles.groupBy("tile").cogroup(texts.groupBy("of")).applyInArrow(join, "u bigint, v bigint")
+
+
+def _merged(classes: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """The classes (node, component) joined by links (u, v) between classes, or nodes without one."""
+    found = _table(components(links), f"{path}/joined")
+    known = classes.unionByName(found.select("node", F.col("node").alias("component"))).distinct()
+    to = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return _table(known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), f"{path}/classes")
+
+
+def _classes(single: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     """(node, component) of the nodes with links."""
-    rows = single.select("node", F.explode("keys").alias("key")).distinct()
+    rows = single.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
     # Tables of their own: Spark splits a hot key only where both sides of a join come straight from a shuffle.
     leaders = _table(sizes.where("size > 1").select("key", "leader"), f"{path}/leaders")
-    rows = _table(rows.join(leaders.select("key"), "key", "left_semi"), f"{path}/rows")
-    signed = single.select("node", "sign", "span")
-    classes: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def link(pairs: DataFrame, at: str) -> None:
-        """Verify the pairs (a table) and add their links to the classes."""
-        nonlocal classes, tried
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _table(_verified(pairs, _table(_words_of(pairs, ids, texts), f"{at}/words")), f"{at}/links")
-        if classes is not None:
-            links = links.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        classes = _table(components(links), f"{at}/components")
-
-    def of_class(column: str) -> DataFrame:
-        return classes.select(F.col("node").alias(column), F.col("component").alias(f"{column}_class"))
+    rows = _table(rows.join(leaders, "key").where("node <> leader"), f"{path}/rows")
+    signed, ids = single.select("node", "sign", "span"), single.select("node", "doc_id")
+
+    def links(pairs: DataFrame, at: str) -> DataFrame:
+        """The pairs (a table) that are alike."""
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+        return _table(_verified(pairs, _table(_words_of(ends, ids, texts), f"{at}/words")), f"{at}/links")
+
+    def classed(frame: DataFrame, column: str, name: str) -> DataFrame:
+        """With the class of a column's nodes."""
+        of = classes.select(F.col("node").alias(column), F.col("component").alias("_component"))
+        return frame.join(of, column, "left").withColumn(name, F.coalesce("_component", column)).drop("_component")
 
     # Each node and one leader: in a group of copies nearly all then have one class, and the other leaders need no look.
-    met = rows.join(leaders, "key").where("node <> leader")
-    first = met.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    link(_table(_ruled(first, signed), f"{path}/first-pairs"), f"{path}/first")
-    placed = rows.join(of_class("node"), "node", "left").withColumn("class", F.coalesce("node_class", "node"))
-    led = leaders.join(of_class("leader"), "leader", "left").withColumn("leader_class", F.coalesce("leader_class", "leader"))
-    led = _table(led, f"{path}/led")
-    placed = _table(placed.select("key", "node", "class"), f"{path}/placed")
-    others = placed.join(led, "key").where(F.col("class") != F.col("leader_class")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    others = _ruled(_table(others.distinct(), f"{path}/leader-pairs").join(tried, ["u", "v"], "left_anti"), signed)
-    link(_table(others, f"{path}/other-pairs"), f"{path}/others")
-
-    number, most_each = 0, 1
-    while True:
-        number, at = number + 1, f"{path}/round-{number}"
-        placed = rows.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
-        several = placed.groupBy("key").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
-        )
-        # The two of a pair have met as member and leader.
-        left = _table(several.where("low < high AND size > 2").select("key", "size"), f"{at}/open")
-        if left.isEmpty():
-            return classes
-        members = placed.join(left, "key")
-        if number == 1:
-            # To begin with each text only meets the others of its largest bucket, and its closest there: versions of
-            # one original then find it, and their many other buckets are settled without a look.
-            largest = members.groupBy("node").agg(F.max(F.struct("size", "key")).alias("of")).select("node", "of.key")
-            members = members.join(_table(largest, f"{at}/largest"), ["node", "key"], "left_semi")
-        members = _table(members.drop("size").join(signed, "node"), f"{at}/members")
-        found = _table(_block_pairs(members, most_each, at), f"{at}/found")
-        pairs = _table(found.where("u IS NOT NULL").join(tried, ["u", "v"], "left_anti"), f"{at}/pairs")
-        if not pairs.isEmpty():
-            link(pairs, at)
-        if number > 1 and found.where("u IS NULL").isEmpty():
-            return classes
-        most_each = CLOSEST if number == 1 else most_each * GROWTH
+    first = rows.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    first = _table(_ruled(first, signed), f"{path}/first-pairs")
+    classes = _table(components(links(first, f"{path}/first")), f"{path}/first/classes")
+
+    others = _table(rows.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), f"{path}/leader-pairs")
+    others = classed(classed(others, "u", "u_class"), "v", "v_class").where("u_class <> v_class").join(first, ["u", "v"], "left_anti")
+    others = _table(_ruled(others.select("u", "v"), signed), f"{path}/other-pairs")
+    found = classed(classed(links(others, f"{path}/others"), "u", "u_class"), "v", "v_class")
+    classes = _merged(classes, found.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")), f"{path}/others")
+
+    # All have met their leaders now; the others of a bucket meet where they are not of one class.
+    placed = _table(classed(rows.select("key", "node"), "node", "class"), f"{path}/placed")
+    several = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    members = placed.join(_table(several, f"{path}/open"), "key", "left_semi").groupBy("node", "class").agg(F.collect_list("key").alias("keys"))
+    members = _table(members.join(signed, "node"), f"{path}/members")
+    tiles = _table(_tiles(members, path).withColumn("tile", F.monotonically_increasing_id()), f"{path}/tiles")
+    if tiles.isEmpty():
+        return classes
+    nodes = tiles.select(F.col("tile").alias("of"), F.posexplode("nodes").alias("at", "node"))
+    words = _table(_words_of(nodes.select("node"), ids, texts), f"{path}/tile-words")
+    joins = _tried(tiles.select("tile", "classes", "pairs"), nodes.join(words, "node").select("of", "at", "words"))
+    return _merged(classes, _table(joins, f"{path}/tiled/joins"), f"{path}/tiled")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -531,9 +604,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = _table(_sketch_table(texts), f"{path}/sketches")
-    single = _table(sketches.select("node", "keys", "sign", "span").dropDuplicates(["node"]), f"{path}/single")
-    ids = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classes = _classes(single, ids, texts, path)
+    single = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("keys", "sign", "span")))
+    classes = _classes(_table(single, f"{path}/single"), texts, path)
     members = sketches.select("doc_id", "node").join(classes, "node", "left").select(
         "doc_id", "node", F.coalesce("component", "node").alias("class")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from fiscal_ledger.llm import near_duplicates as nd
 from tests.llm import fixture
@@ -72,3 +73,45 @@ def test_distances_as_bits_and_by_diagonals_are_plain_distances(monkeypatch):
             for bits in (2047, -1):
                 monkeypatch.setattr(nd, "MOST_BITS", bits)
                 assert nd.edit_distance_within(one, other, most) == expected
+
+
+def test_texts_just_below_the_threshold_leave_no_pairs(spark, monkeypatch):
+    """400 texts that share four fifths of their words, but for a few: the signs rule out no pair, and no table grows with the pairs."""
+    rng = np.random.default_rng(21)
+    heads = [[f"w{w}" for w in rng.integers(0, 10**6, 33)] for _ in range(400)]
+    heads[399] = [*heads[0][:30], "x", "y", "z"]
+    rows = [(i, " ".join([*head, *["is onhe"] * 60])) for i, head in enumerate(heads)]
+    written = []
+    table = nd._table
+
+    def counted(frame, path):
+        of = table(frame, path)
+        written.append(of.count())
+        return of
+
+    monkeypatch.setattr(nd, "_table", counted)
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i % 399 for i in range(400)}
+    assert max(written) <= 45 * 400 < 400 * 399 / 4
+
+
+def test_lists_that_share_a_number():
+    rng = np.random.default_rng(5)
+    one, other = ([rng.integers(0, 60, rng.integers(0, 9)).tolist() for _ in range(n)] for n in (40, 30))
+    expected = [[bool(set(a) & set(b)) for b in other] for a in one]
+    assert nd._sharing(pa.array(one, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))).tolist() == expected
+    sliced = pa.array(one, pa.list_(pa.int64()))[7:20]
+    assert nd._sharing(sliced, pa.array([[]], pa.list_(pa.int64()))).tolist() == [[False]] * 13
+
+
+def test_what_is_joined_is_not_tried_again(monkeypatch):
+    tried = []
+    monkeypatch.setattr(nd, "alike", lambda one, other: tried.append((one, other)) or one + other != 5)
+    pairs = np.array([(0, 1), (1, 2), (0, 2), (2, 3), (1, 3), (3, 4)], np.uint8)
+    assert nd.joined(np.array([10, 20, 30, 40, 10]), pairs, [0, 1, 2, 3, 4]) == [(20, 10), (30, 10), (40, 10)]
+    assert tried == [(0, 1), (1, 2), (2, 3), (1, 3)]
+
+
+def test_sides_of_a_tile():
+    assert nd._cuts(np.array([5] * 300)).tolist() == [n // nd.TILE for n in range(300)]
+    assert nd._cuts(np.array([nd.TILE_WORDS, 1, nd.TILE_WORDS - 1, 1, 2])).tolist() == [0, 1, 1, 2, 2]
