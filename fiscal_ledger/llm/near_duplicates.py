@@ -50,7 +50,7 @@ KINDS = 64
 SIMILARITY = 0.8
 # Edits up to which a band is aligned as bits; a wider one by diagonals, with the same result.
 MOST_BITS = 2047
-# Bytes of text sketched at once; the arrays of a piece take some 60 times as many.
+# Bytes of text sketched at once; the arrays of a piece take some 30 times as many.
 PIECE_BYTES = 1 << 19
 
 _U = np.uint64

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -115,3 +117,14 @@ def test_what_is_joined_is_not_tried_again(monkeypatch):
 def test_sides_of_a_tile():
     assert nd._cuts(np.array([5] * 300)).tolist() == [n // nd.TILE for n in range(300)]
     assert nd._cuts(np.array([nd.TILE_WORDS, 1, nd.TILE_WORDS - 1, 1, 2])).tolist() == [0, 1, 1, 2, 2]
+
+
+def test_a_piece_takes_little_memory():
+    """Two workers sketch beside a full heap: the arrays of a piece stay below 32 MB."""
+    text = "some words of a text that is sketched " * 30
+    texts = [text] * (nd.PIECE_BYTES // len(text))
+    tracemalloc.start()
+    nd.sketch(*nd.hash_words(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
